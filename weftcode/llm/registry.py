@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = (
     "exact_dedup",
     "quality_rules",
+    "packing",
+    "byte_bpe",
 )
 
 
