@@ -10,6 +10,7 @@ MODULES = (
     "quality_rules",
     "packing",
     "byte_bpe",
+    "quality_model",
 )
 
 
