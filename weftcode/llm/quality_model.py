@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import load
 from .packing import few
@@ -206,7 +207,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     if score_col in docs.columns:
         docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
-    schema = docs.schema.add(score_col, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def kernel(batches):
         for b in few(batches, 256):
