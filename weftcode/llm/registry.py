@@ -11,6 +11,7 @@ MODULES = (
     "packing",
     "byte_bpe",
     "quality_model",
+    "line_dedup",
 )
 
 
