@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -265,12 +266,18 @@ class Codec:
         return self.blob[np.repeat(self.first[n] - at, size) + np.arange(at[-1] + size[-1])].tobytes()
 
 
+@cache
+def codec_of(vocab: str) -> Codec:
+    """One for all tasks of a worker process."""
+    return Codec(vocab)
+
+
 def encode(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (binary, little-endian unsigned 32-bit), offsets (binary, unsigned 64-bit)."""
     vocab = vocab or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def kernel(batches):
-        codec = Codec(vocab)
+        codec = codec_of(vocab)
         for b in few(batches):
             ids = codec.encode(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array(map(codec.offsets, ids), pa.binary())], names=["id", "ids", "offsets"])
@@ -284,7 +291,7 @@ def decode(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
     vocab = vocab or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def kernel(batches):
-        codec = Codec(vocab)
+        codec = codec_of(vocab)
         for b in few(batches):
             out = [codec.decode(i, o) for i, o in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["id", "ids", "decoded"])
