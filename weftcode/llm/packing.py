@@ -18,6 +18,8 @@ Other columns are ignored.
 from __future__ import annotations
 
 import os
+from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -30,9 +32,11 @@ from .common import load
 MAX_LENGTH = 2048
 END_ID = 1
 #: Chunks that a worker remembers; its memory, not the result, depends on it.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 #: Longer chunks are not remembered.
 LONG_CHUNK = 64
+#: A control character that is one token.
+MARK = b"\x01"
 
 
 class ChunkEncoder:
@@ -44,9 +48,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(vocab)
         self.known: dict[bytes, bytes] = {}
-        # a special token, which the tokenizer finds before all else, stands between chunks that are encoded together
-        self.mark_id, token = next(iter(sorted(self.tokenizer.get_added_tokens_decoder().items())))
-        self.mark = token.content.encode()
+        # stands between chunks that are encoded together; a chunk that holds it is encoded alone
+        self.mark, self.mark_id = MARK, self._ids(MARK.decode()).item()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -54,15 +57,17 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        chunks = [(t or "").encode().split() for t in texts]
-        new = list(set().union(*chunks).difference(self.known)) if chunks else []
+        chunks, fresh = [chunks_of(t or "") for t in texts], set()
+        for c in chunks:
+            fresh.update(filterfalse(self.known.__contains__, c))
+        new = list(fresh)
         odd = [c for c in new if self.mark in c]
         for c in odd:
             self.known[c] = self._ids(c.decode()).tobytes()
         plain = [c for c in new if self.mark not in c] if odd else new
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = self._ids(self.mark.join(some).decode())
+            ids = self._ids((b" " + self.mark + b" ").join(some).decode())
             cut, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
             self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)])]))
         look = self.known.__getitem__
@@ -73,6 +78,18 @@ class ChunkEncoder:
         return out
 
 
+def chunks_of(text: str) -> list[bytes]:
+    """White-space delimited chunks; in lower case, as the tokenizer will have them, unless a special token may be there."""
+    data = text.encode()
+    return data.split() if b"<|" in data else data.lower().split()
+
+
+@cache
+def chunk_encoder(vocab: str) -> ChunkEncoder:
+    """One for all tasks of a worker process."""
+    return ChunkEncoder(vocab)
+
+
 def piece_lengths(n: int, longest: int = MAX_LENGTH) -> list[int]:
     """Lengths of the pieces of n tokens, longest first."""
     out = [longest] * (n // longest)
@@ -101,7 +118,7 @@ def pack(docs: DataFrame, vocab: str | None = None, longest: int = MAX_LENGTH, e
     schema = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
     def kernel(batches):
-        encoder = ChunkEncoder(vocab)
+        encoder = chunk_encoder(vocab)
         for b in few(batches):
             cols = [[] for _ in schema]
             for key, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
