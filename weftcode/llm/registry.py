@@ -12,6 +12,7 @@ MODULES = (
     "byte_bpe",
     "quality_model",
     "line_dedup",
+    "substring_dedup",
 )
 
 
