@@ -13,6 +13,7 @@ MODULES = (
     "quality_model",
     "line_dedup",
     "substring_dedup",
+    "near_dedup",
 )
 
 
