@@ -13,7 +13,7 @@ in blocks, so a worker's memory does not grow with a text's length beyond the te
 
 Defined results: null counts as empty, and the empty text has a score like any
 other. Without labelled rows every score is 0.5. Labels that are null or neither
-0 nor 1 are passed over; of an id's several labels each counts once. Rows that
+0 nor 1 are passed over; of an id's several labels or texts one counts. Rows that
 repeat an id are scored one by one. An empty table gives an empty result.
 """
 
@@ -179,18 +179,19 @@ def backward(model: Model, text: bytes, label: float, weight: float, grads: dict
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[bytes], list[int]]:
     """The bounded sample, from rows that are not held out."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    known = known.filter(~held_out(F.col("id")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(known.filter(~held_out(F.col("id"))), "id")
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    sizes = docs.select(F.col(id_col).alias("id"), F.octet_length(text).alias("n")).join(known, "id")  # no text is exchanged
     order = [F.xxhash64("id"), F.col("id"), F.col("y"), F.col("n")]
-    few_rows = rows.select("id", "y", F.octet_length("text").alias("n")).orderBy(*order).limit(SAMPLE_ROWS).collect()
-    chosen, left = set(), SAMPLE_BYTES
-    for r in few_rows:
+    chosen, left = {}, SAMPLE_BYTES
+    for r in sizes.orderBy(*order).limit(SAMPLE_ROWS).collect():
         if r.n <= left and r.id not in chosen:
-            chosen.add(r.id)
+            chosen[r.id] = r.y
             left -= r.n
-    got = rows.filter(F.col("id").isin(sorted(chosen))).collect() if chosen else []
-    got.sort(key=lambda r: (r.id, r.y, r.text))
-    return [r.text.encode() for r in got], [r.y for r in got]
+    got = texts.filter(F.col("id").isin(sorted(chosen))).collect() if chosen else []
+    got = sorted({r.id: (r.id, r.text.encode(), chosen[r.id]) for r in sorted(got)}.values())
+    return [r[1] for r in got], [r[2] for r in got]
 
 
 def held_out(doc_id):
