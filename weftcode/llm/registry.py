@@ -14,6 +14,8 @@ MODULES = (
     "line_dedup",
     "substring_dedup",
     "near_dedup",
+    "warc",
+    "license_scan",
 )
 
 
