@@ -56,12 +56,20 @@ class Workspace:
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later step reads."""
         for t in tables:
-            self._delete(t._weft_path)
+            self.delete(t._weft_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {t._weft_path for t in tables}
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for f in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if not any(f.getPath().toString().endswith(k.rpartition("/")[2]) for k in kept):
+                self.delete(f.getPath().toString())
 
     def clean(self) -> None:
-        self._delete(self.root)
+        self.delete(self.root)
 
-    def _delete(self, where: str) -> None:
+    def delete(self, where: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

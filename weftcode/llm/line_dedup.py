@@ -348,8 +348,11 @@ def remove_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """remove_lines over an index of the documents themselves."""
-    index = LineIndex(docs.sparkSession).insert(docs, id_col, text_col)
-    return remove_lines(docs, index.drops(), id_col, text_col)
+    ws = Workspace(docs.sparkSession)
+    index = LineIndex(docs.sparkSession, ws.path("index")).insert(docs, id_col, text_col)
+    drops = ws.table(index.drops(), "drops")
+    ws.delete(index.root)  # nobody asked for the index itself
+    return remove_lines(docs, drops, id_col, text_col)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -337,7 +337,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = near.sets.select("id", F.col("n").alias("n_shingles"), "f1", "f2")
     out = rows.join(names, ["f1", "f2"], "left")
     part = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")))
-    out = out.select("id", "n_shingles", part.alias("component_id"))
+    out = ws.table(out.select("id", "n_shingles", part.alias("component_id")), "result")
+    ws.keep_only(out)
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 

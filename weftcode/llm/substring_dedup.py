@@ -293,9 +293,12 @@ def repeated_ranges(docs: DataFrame, ws: Workspace, window: int = WINDOW, rounds
     published = docs.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "list")
     windows = ws.table(published.mapInArrow(window_kernel(window), "name long, hash long, doc long, tag int, s long, wanted boolean"), "windows")
     shared = windows.groupBy("name", "hash").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select("name", "hash")
+    shared = ws.table(shared, "shared")  # a table on both sides lets the planner split the join where a hash is hot
     found = windows.filter("wanted").join(shared, ["name", "hash"]).select("doc", "tag", "s", F.lit(1).alias("n"))
     ranges = marks.filter("covered").select("doc", "tag", "s", "n").unionByName(found)
-    return ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("s", "n")).alias("ranges"))
+    ranges = ws.table(ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "ranges")
+    ws.drop(marks, windows, shared)
+    return ranges
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
