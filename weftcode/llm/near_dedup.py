@@ -14,9 +14,11 @@ with equal sets are one class, named by its smallest id; all that follows works
    (one byte a coordinate: no agreement is missed) and pairs below 28 or of too
    different set sizes go. The rest are confirmed on the full sets.
 4. Components of the confirmed links. A hot list whose members are all in one component
-   is done. In any other, members of different components are compared, in blocks
-   dealt over tasks, until all pairs that agree 28 times are in one component or refuted:
-   first each member's best partner, then, for what is left, all.
+   is done. Of the members of other lists, those go that hold too few shingles which another component's
+   member holds (no link is possible). The remaining ones that are connected by hot lists are
+   a cluster; its members are compared in blocks dealt over tasks, the most alike pairs first,
+   until every pair of different components that agrees 28 times and whose shared shingles may
+   suffice is confirmed, refuted on the full sets, or has its components joined by another link.
 
 Defined results: null counts as empty; an empty text, or one without words, has no set,
 is linked with nothing and stays. Sets that have the same smallest id (rows that repeat an id)
@@ -41,8 +43,8 @@ COORDINATES, MATCHES = 64, 28
 PREFIX = COORDINATES - MATCHES + 1
 #: Lists of more classes than this are hot.
 HOT = 16
-#: Members of a hot list that one task compares with as many others at a time.
-BLOCK = 2048
+#: Members of a cluster, and shingles of them, that one task compares with as many others at a time.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 _rng = np.random.default_rng(64)
 XORS = _rng.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
@@ -188,59 +190,76 @@ def confirm_kernel(batches):
         yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
 
-def block_kernel(best_only: bool):
-    """Rows (key, p, q, block, node, n, component, sig), sorted by key, p, q: pairs of different components.
+class Sets:
+    """Disjoint sets of component names."""
 
-    A group is one pair of blocks of a hot list, at most about 2 * BLOCK rows.
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
+
+
+def compare_blocks(block, node, n, m, component, sig, sets) -> pa.RecordBatch:
+    """Links between members of different components that join these components: a spanning forest of them.
+
+    All pairs of the two blocks are looked at, the most alike first; a pair whose components are
+    joined by then needs no confirmation.
     """
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 21) // len(right))
+    for at in range(0, len(left), step):
+        i = left[at : at + step]
+        most = np.minimum(m[i][:, None], m[right])  # of an intersection; a link needs 3/7 of both sizes
+        ok = (component[i][:, None] != component[right]) & (7 * most >= 3 * (n[i][:, None] + n[right]))
+        x, y = np.nonzero(ok)
+        for part in range(0, len(x), 1 << 18):
+            a, b = i[x[part : part + (1 << 18)]], right[y[part : part + (1 << 18)]]
+            agree = (sig[a] == sig[b]).sum(1)
+            good = agree >= MATCHES
+            found.append((agree[good], a[good], b[good]))
+    joined, out = Sets(), []
+    agree, a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    for k in np.argsort(-agree, kind="stable").tolist():
+        i, j = int(a[k]), int(b[k])
+        x, y = joined.find(int(component[i])), joined.find(int(component[j]))
+        if x != y and linked(sets[i], sets[j]):
+            joined.join(x, y)
+            out.append((min(node[i], node[j]), max(node[i], node[j])))
+    low, high = zip(*out) if out else ((), ())
+    return pa.record_batch([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+
+def block_kernel(batches):
+    """Rows (cluster, p, q, block, node, n, m, component, sig, set), sorted by the first three: a group is two blocks of a cluster."""
+    now, rows = None, []
+
+    def close():
+        block, node, n, m, component, sig = (np.concatenate(x) for x in zip(*(r[:6] for r in rows)))
+        return compare_blocks(block, node, n, m, component, sig, [x for r in rows for x in r[6]])
 
-    def compare(rows: list) -> pa.RecordBatch:
-        block, node, n, component, sig = (np.concatenate(x) for x in zip(*rows))
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        out_a, out_b = [], []
-        step = max(1, (1 << 22) // max(1, len(right)))
-        for at in range(0, len(left), step):
-            i = left[at : at + step]
-            agree = np.zeros((len(i), len(right)), np.int16)
-            for c in range(COORDINATES):
-                agree += sig[i, c][:, None] == sig[right, c]
-            ok = (agree >= MATCHES) & (component[i][:, None] != component[right]) & similar_size(n[i][:, None], n[right])
-            agree[~ok] = 0
-            if best_only:
-                for axis in (0, 1):  # best of each member on either side
-                    top = agree.argmax(1 - axis)
-                    x, y = (np.arange(len(i)), top) if axis == 0 else (top, np.arange(len(right)))
-                    keep = agree[x, y] > 0
-                    out_a.append(node[i[x[keep]]])
-                    out_b.append(node[right[y[keep]]])
-            else:
-                x, y = np.nonzero(ok)
-                out_a.append(node[i[x]])
-                out_b.append(node[right[y]])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        pairs = np.unique(np.stack((low, high), 1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
-        return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    def kernel(batches):
-        now, rows = None, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, p, q = (b.column(i).to_numpy() for i in range(3))
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
-            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-                group = (key[at], p[at], q[at])
-                if group != now and rows:
-                    yield compare(rows)
-                    rows = []
-                now = group
-                part = b.slice(at, to - at)
-                rows.append([*(part.column(i).to_numpy() for i in (3, 4, 5, 6)), matrix(part.column(7), np.uint8)])
-        if rows:
-            yield compare(rows)
-
-    return kernel
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, p, q = (b.column(i).to_numpy() for i in range(3))
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+        for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+            group = (key[at], p[at], q[at])
+            if group != now and rows:
+                yield close()
+                rows = []
+            now = group
+            part = b.slice(at, to - at)
+            sets = [np.frombuffer(x, np.uint64) for x in part.column(9).to_pylist()]
+            rows.append([*(part.column(i).to_numpy() for i in (3, 4, 5, 6, 7)), matrix(part.column(8), np.uint8), sets])
+    if rows:
+        yield close()
 
 
 class NearLinks:
@@ -276,56 +295,97 @@ class NearLinks:
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
         return self.ws.table(both.mapInArrow(match_kernel, "a long, b long").distinct(), "matching")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of these pairs, those that the full sets confirm."""
-        need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def full_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of these nodes: the one exchange of texts."""
 
         def kernel(batches):
             for b in batches:
                 for part, texts in joined(b, 1):
-                    yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["id", "set"])
+                    yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["node", "set"])
+
+        texts = self.docs.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
+        return self.ws.table(texts.mapInArrow(kernel, "node long, set binary"), "full")
 
-        full = self.docs.join(need, "id", "left_semi").select("id", "text").mapInArrow(kernel, "id long, set binary")
-        full = self.ws.table(full, "full")
-        side = lambda x: full.select(F.col("id").alias(x), F.col("set").alias(f"s{x}"))
+    def confirmed(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
+        """Of these pairs, those that the full sets confirm."""
+        side = lambda x: full.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
         return self.ws.table(both.mapInArrow(confirm_kernel, "a long, b long").distinct(), "links")
 
-    def unsettled(self, postings: DataFrame, parts: DataFrame, short: DataFrame) -> DataFrame:
-        """Rows of block_kernel: hot lists that have more than one component."""
-        rows = postings.filter("hot").select("key", "node").join(parts, "node", "left")
-        rows = rows.select("key", "node", F.coalesce("component", "node").alias("component"))
-        open_lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-        open_lists = open_lists.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(open_lists, "key").join(short, "node")
+    def viable(self, nodes: DataFrame, parts: DataFrame, full: DataFrame, short: DataFrame) -> DataFrame:
+        """(node, n, m, s, component): m shingles of a node are held in another component of these nodes too.
+
+        Its intersection with a node of another component has at most m elements, so a
+        node with m < 0.75 n has no link that would join components.
+        """
+
+        def kernel(batches):
+            for b in few(batches, 256):
+                sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+                each = [len(x) for x in sets]
+                columns = [pa.array(np.concatenate(sets)), *(pa.array(np.repeat(b.column(i).to_numpy(), each)) for i in (0, 2))]
+                yield pa.record_batch(columns, names=["h", "node", "component"])
+
+        now = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        rows = full.join(now, "node").select("node", "set", "component").mapInArrow(kernel, "h long, node long, component long")
+        shared = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
+        m = rows.join(shared, "h").groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+        out = short.join(now, "node").join(m, "node").filter("100 * m >= 75 * n")
+        return self.ws.table(out.select("node", "n", "m", "s", "component"), "viable")
+
+    def blocks(self, hot: DataFrame, viable: DataFrame, full: DataFrame) -> DataFrame | None:
+        """Rows of block_kernel. Nodes that share a hot list are one cluster; None if no list has two components."""
+        rows = hot.join(viable.select("node", "component"), "node")
+        lists = rows.groupBy("key").agg(F.min("node").alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        stars = self.ws.table(rows.join(lists.filter("lo <> hi"), "key").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        if stars.isEmpty():
+            return None
+        clusters = self.ws.table(components(stars, self.ws).withColumnRenamed("component", "cluster"), "clusters")
+        rows = viable.join(clusters, "node")
+        size = rows.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        rows = rows.join(self.ws.table(size, "sizes"), "cluster").join(full, "node")
         rows = rows.withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        return rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "component", "s")
-
-    def settle(self, postings: DataFrame, links: DataFrame, short: DataFrame, best_only: bool) -> tuple[DataFrame, int]:
-        """Links and what one pass over the unsettled lists adds to them."""
-        parts = self.ws.table(components(links, self.ws), "parts")
-        rows = self.unsettled(postings, parts, short)
-        rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-        pairs = self.ws.table(rows.mapInArrow(block_kernel(best_only), "a long, b long").distinct(), "pairs")
-        if pairs.isEmpty():
-            return links, 0
-        new = self.confirmed(pairs)
-        found = new.count()
-        return (links.unionByName(new) if found else links), found
+        rows = rows.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "m", "component", "s", "set")
+        return rows.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
 
     def components(self) -> DataFrame:
         """(node, component) of all nodes that have links."""
         postings, short = self.postings(), self.ws.table(self.short(), "short")
         ordered = postings.repartition("key").sortWithinPartitions("key", "node")
-        pairs = ordered.mapInArrow(pair_kernel, "a long, b long").distinct()
-        links = self.confirmed(self.matching(pairs, short))
-        if not postings.filter("hot").isEmpty():
-            found = 1
-            while found:  # each pass that finds a link leaves fewer components
-                links, found = self.settle(postings, links, short, True)
-            links, _ = self.settle(postings, links, short, False)
-        return components(links, self.ws)
+        pairs = self.matching(ordered.mapInArrow(pair_kernel, "a long, b long").distinct(), short)
+        hot = postings.filter("hot").select("key", "node")
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
+        full = self.full_sets(nodes)
+        links = self.confirmed(pairs, full)
+        parts = self.ws.table(components(links, self.ws), "parts")
+        nodes = self.open_nodes(hot, parts)
+        if nodes is None:
+            return parts
+        viable = self.viable(nodes, parts, full, short)
+        viable = self.viable(viable.select("node"), parts, full, short)  # without what the others held
+        blocks = self.blocks(hot, viable, full)
+        if blocks is None:
+            return parts
+        new = self.ws.table(blocks.mapInArrow(block_kernel, "a long, b long").distinct(), "joins")
+        return parts if new.isEmpty() else self.merged(parts, new)
+
+    def open_nodes(self, hot: DataFrame, parts: DataFrame) -> DataFrame | None:
+        """Members of hot lists that have more than one component; None if there are none."""
+        rows = hot.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        lists = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        out = self.ws.table(hot.join(lists, "key", "left_semi").select("node").distinct(), "open-nodes")
+        return None if out.isEmpty() else out
+
+    def merged(self, parts: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after these links are added."""
+        of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        edges = edges.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        new = self.ws.table(components(edges, self.ws), "joined").select(F.col("node").alias("component"), F.col("component").alias("to"))
+        moved = parts.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        alone = new.select(F.col("component").alias("node"), F.col("to").alias("component")).join(parts, "node", "left_anti")
+        return self.ws.table(moved.unionByName(alone), "parts")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
