@@ -65,12 +65,12 @@ class Model:
         return (np.concatenate(out) if out else np.zeros((0, FILTERS), np.float32)), counts
 
     def _halves(self, parts: list[tuple[bytes, int]]) -> np.ndarray:
-        pad, starts, stops, at, data = bytes(WIDTH), [], [], 0, []
+        pad, starts, stops, at, data = bytes(WIDTH + 1), [], [], 0, []
         for part, n in parts:
             starts.append(np.arange(at, at + n, HALF))
             stops.append(at + n)
             data += [part, pad]
-            at += len(part) + WIDTH
+            at += len(part) + len(pad)
         x = np.frombuffer(b"".join(data), np.uint8)
         n = len(x) - WIDTH + 1
         s = self.filters[0][x[:n]]
