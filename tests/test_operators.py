@@ -454,3 +454,17 @@ def test_online_learning_replays(spark, tmp_path):
     first = learner.before(1)
     learner(frame(spark), 0)  # a replay gives the same
     assert np.allclose(first, learner.before(1)) and once.shape == D.shape
+
+
+def test_rates_are_those_of_the_streams(spark):
+    df = frame(spark, RNG.uniform(0, 255, (30, 64)))
+    coded = jpeg.run_lengths(jpeg.quantize(jpeg.analyze(df), jpeg.bin_widths() * 2))
+    bits = jpeg.encode(coded, *jpeg.huffman_tables(coded)).agg(F.avg(F.length("bits")) / 64).first()[0]
+    rate = jpeg.rate_distortion(df, [2.0, 3.0]).filter("multiplier = 2").first()
+    assert rate.bits_per_component == pytest.approx(bits, abs=1e-6)
+
+
+def test_tiles_as_arrays_are_the_tiles(spark):
+    long = patches.tile(patches.as_image(frame(spark), 4), 4, 4, 2, 3).collect()
+    arrays = {(r.id, r.tv, r.th): r.x for r in patches.tile_arrays(frame(spark), 4, 4, 2, 3).collect()}
+    assert len(arrays) == 80 and all(arrays[r.id, r.tv, r.th][r.v * 3 + r.h] == r.x for r in long)

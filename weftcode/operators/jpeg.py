@@ -129,7 +129,11 @@ def huffman_code(counts: dict[str, int]) -> dict[str, str]:
 
 def huffman_tables(coded: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
     """AC and DC codes from the rows' symbols; unseen symbols of the alphabets count once."""
-    found = {(r.kind, r.symbol): r.n for r in symbol_counts(coded).collect()}  # a few hundred rows at most
+    return tables_of({(r.kind, r.symbol): r.n for r in symbol_counts(coded).collect()})  # a few hundred rows at most
+
+
+def tables_of(found: dict[tuple[str, str], int]) -> tuple[dict[str, str], dict[str, str]]:
+    """The same from counts by (kind, symbol)."""
     tables = []
     for kind, alphabet in (("ac", ac_alphabet()), ("dc", dc_alphabet())):
         seen = {s: n for (k, s), n in found.items() if k == kind}
@@ -184,19 +188,32 @@ def fixed_table(alphabet: list[str], width: int = 8) -> dict[str, str]:
 
 
 def rate_distortion(df: DataFrame, multipliers: list[float], widths=None, scale_range: float = 255.0, col: str = "x", digits: int = 6) -> DataFrame:
-    """(multiplier, bits_per_component, mse, psnr) of the whole dataset, each with Huffman tables of its own."""
-    widths = bin_widths() if widths is None else widths
-    base = analyze(df, col=col)
-    out = None
-    for m in multipliers:
-        w = [float(x) * m for x in widths]
-        coded = run_lengths(quantize(base, w))
-        ac, dc = huffman_tables(coded)
-        # the transform is orthonormal: errors of codes are errors of pixels
-        back = dequantize(encode(coded, ac, dc), w, out="__back")
-        error = F.aggregate(F.zip_with("code", "__back", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        row = back.agg((F.avg(F.length("bits")) / len(w)).alias("bits_per_component"), (F.avg(error) / len(w)).alias("mse"))
-        psnr = F.when(F.col("mse") > 0, 10 * F.log10(F.lit(scale_range**2) / F.col("mse"))).otherwise(F.lit(float("inf")))
-        row = row.select(F.lit(float(m)).alias("multiplier"), *(F.round(c, digits).alias(c) for c in ("bits_per_component", "mse")), F.round(psnr, digits).alias("psnr"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(multiplier, bits_per_component, mse, psnr) of the whole dataset, each with Huffman tables of its own.
+
+    Two passes, whatever the number of multipliers: symbols, raw bits and errors are counted for all of them side by
+    side; a code's total length follows from the symbols' counts and the lengths of their codes.
+    """
+    widths = [float(x) for x in (bin_widths() if widths is None else widths)]
+    each = analyze(df, col=col).select("code", F.explode(F.array(*(F.lit(float(m)) for m in multipliers))).alias("multiplier"))
+    w = F.array(*(F.lit(x) for x in widths))
+    scaled = each.withColumn("q", F.zip_with("code", w, lambda c, b: F.floor(F.round(c, 9) / (b * F.col("multiplier")) + 0.5).cast("int")))
+    coded = run_lengths(scaled)
+    both = F.concat(F.transform("ac", lambda s: F.struct(F.lit("ac").alias("kind"), s.alias("symbol"))), F.array(F.struct(F.lit("dc").alias("kind"), F.col("dc").alias("symbol"))))
+    counts: dict[float, dict] = {float(m): {} for m in multipliers}
+    for r in coded.select("multiplier", F.explode(both).alias("s")).groupBy("multiplier", "s.kind", "s.symbol").count().collect():
+        counts[r[0]][r[1], r[2]] = r[3]
+    code_bits = []
+    for m, found in counts.items():  # the transform is orthonormal: errors of codes are errors of pixels
+        tables = dict(zip(("ac", "dc"), tables_of(found)))
+        code_bits.append((m, sum(n * len(tables[k][s]) for (k, s), n in found.items())))
+    back = F.zip_with("q", w, lambda q, b: q * b * F.col("multiplier"))
+    error = F.aggregate(F.zip_with("code", back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    raw = F.length(F.array_join("ac_bits", "")) + F.length("dc_bits")
+    sums = coded.groupBy("multiplier").agg(F.sum(raw).alias("raw"), F.sum(error).alias("error"), F.count(F.lit(1)).alias("n"))
+    rows = sums.join(F.broadcast(df.sparkSession.createDataFrame(code_bits, "multiplier double, coded long")), "multiplier")
+    size = F.col("n") * len(widths)
+    mse = F.col("error") / size
+    psnr = F.when(mse > 0, 10 * F.log10(F.lit(scale_range**2) / mse)).otherwise(F.lit(float("inf")))
+    return rows.select(
+        "multiplier", F.round((F.col("raw") + F.col("coded")) / size, digits).alias("bits_per_component"), F.round(mse, digits).alias("mse"), F.round(psnr, digits).alias("psnr")
+    )

@@ -102,6 +102,11 @@ def bin_of(x, lo: float, hi: float, bins: int):
     return F.when((x >= lo) & (x <= hi), at.cast("int"))
 
 
+def with_bins(keys: DataFrame, bins: int) -> DataFrame:
+    """A row per key and bin."""
+    return keys.select(*keys.columns, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+
+
 def histogram(long: DataFrame, bins: int, by: list[str] | None = None, col: str = "x") -> DataFrame:
     """(by..., bin, density): share of values in each bin of the common range; empty bins are there.
 
@@ -113,9 +118,8 @@ def histogram(long: DataFrame, bins: int, by: list[str] | None = None, col: str
         raise ValueError("no values")
     hi = hi if hi > lo else lo + 1.0
     counts = long.withColumn("bin", bin_of(F.col(col), lo, hi, bins)).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = long.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    keys = counts.select(*by).distinct().crossJoin(grid) if by else grid  # keys are components, not rows
-    full = keys.join(counts, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    keys = counts.select(*by).distinct() if by else long.sparkSession.range(1).select()
+    full = with_bins(keys, bins).join(counts, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(W.partitionBy(*by) if by else W.partitionBy())
     return full.select(*by, "bin", (F.col("n") / total).alias("density"))
 
@@ -156,9 +160,8 @@ def rotational_average(image: DataFrame, bins: int, v: str = "v", h: str = "h",
     radius = F.sqrt((F.col(v) * F.col(v) + F.col(h) * F.col(h)).cast("double"))
     rings = image.withColumn("bin", bin_of(radius, 0.0, float(top), bins)).filter("bin is not null")
     means = rings.groupBy(*by, "bin").agg(F.avg(col).alias("mean"))
-    grid = image.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    keys = image.select(*by).distinct().crossJoin(grid) if by else grid
-    return keys.join(means, [*by, "bin"], "left").select(*by, "bin", (F.col("bin") * F.lit(float(top) / bins)).alias("left"), "mean")
+    keys = image.select(*by).distinct() if by else image.sparkSession.range(1).select()
+    return with_bins(keys, bins).join(means, [*by, "bin"], "left").select(*by, "bin", (F.col("bin") * F.lit(float(top) / bins)).alias("left"), "mean")
 
 
 def adjacent_pairs(image: DataFrame) -> DataFrame:

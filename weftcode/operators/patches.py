@@ -53,6 +53,18 @@ def tile(image: DataFrame, height: int, width: int, tile_height: int, tile_width
     )
 
 
+def tile_arrays(df: DataFrame, height: int, width: int, tile_height: int, tile_width: int, col: str = "x") -> DataFrame:
+    """(id, tv, th, x): the same tiles as arrays, cut out of each image's array without an exchange."""
+    down, across = height // tile_height, width // tile_width
+    row = lambda tv, th, r: F.slice(col, (tv * tile_height + r) * width + th * tile_width + 1, tile_width)
+    cut = lambda tv, th: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile_height - 1)), lambda r: row(tv, th, r)))
+    tiles = F.transform(
+        F.sequence(F.lit(0), F.lit(down * across - 1)),
+        lambda k: F.struct((k / across).cast("int").alias("tv"), (k % across).alias("th"), cut((k / across).cast("int"), k % across).alias("x")),
+    )
+    return df.select("id", F.explode(tiles).alias("t")).select("id", "t.tv", "t.th", "t.x")
+
+
 def assemble(tiles: DataFrame, tile_height: int, tile_width: int) -> DataFrame:
     """(id, v, h, x) from tiles placed at (top, left); the image reaches to the last tile's end, uncovered places are 0.
 
@@ -118,7 +130,11 @@ def sample_patches(images: DataFrame, n: int, height: int, width: int, patch: tu
     rows, cols = height - patch[0] - 2 * edge, width - patch[1] - 2 * edge
     if k == 0 or rows < 1 or cols < 1:
         raise ValueError("no patch fits")
-    draw = lambda what, m: F.pmod(F.xxhash64(F.lit(what), F.col("patch_id"), F.lit(seed)), F.lit(m)).cast("int")
+
+    def draw(what: str, m: int):
+        digest = F.md5(F.concat_ws("-", F.lit(what), F.col("patch_id"), F.lit(seed)))
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % m).cast("int")
+
     picks = images.sparkSession.range(n).withColumnRenamed("id", "patch_id")
     picks = picks.select("patch_id", draw("image", k).cast("long").alias("id"), (draw("v", rows) + edge).alias("top"), (draw("h", cols) + edge).alias("left"))
     cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(patch[0] - 1)), lambda r: F.slice("x", (F.col("top") + r) * width + F.col("left") + 1, patch[1])))
@@ -182,10 +198,9 @@ class Pipeline:
                 df = sample_patches(df, args[0], h, w, args[1]).select(F.col("patch_id").alias("id"), "x")
                 h, w = args[1]
             elif name == "tile":
-                tiles = tile(as_image(df, w), h, w, *args[0])
                 per = (h // args[0][0]) * (w // args[0][1])
                 number = F.col("id") * per + F.col("tv") * (w // args[0][1]) + F.col("th")
-                df = as_vectors(tiles.select(number.alias("id"), "v", "h", "x"))
+                df = tile_arrays(df, h, w, *args[0]).select(number.alias("id"), "x")
                 h, w = args[0]
             elif name == "center_components":
                 df, found["means"] = center_components(df)

@@ -103,7 +103,9 @@ def normalize_variance(spark, sf_dir):
 
 @query("SELECT id, v // 4 AS tv, h // 4 AS th, v % 4 AS v, h % 4 AS h, x FROM img")
 def tile_patches(spark, sf_dir):
-    return patches.tile(image(spark, sf_dir), SIDE, SIDE, 4, 4)
+    tiles = patches.tile_arrays(embedded(spark, sf_dir), SIDE, SIDE, 4, 4)
+    cells = tiles.select("id", "tv", "th", F.posexplode("x").alias("i", "x"))
+    return cells.select("id", "tv", "th", (F.col("i") / 4).cast("int").alias("v"), (F.col("i") % 4).alias("h"), "x")
 
 
 @query("SELECT id, v, h, CASE WHEN v < 4 AND h >= 4 THEN 0.0 ELSE x END AS x FROM img")
@@ -144,7 +146,12 @@ def minibatches(spark, sf_dir):
     return patches.minibatches(df, 64, epoch=1).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("keys"))
 
 
-@query()
+def _draw(what: str, m: str) -> str:
+    return f"(('0x' || substr(md5('{what}-' || p || '-3'), 1, 13))::BIGINT % {m})"
+
+
+@query(f"SELECT p AS patch_id, {_draw('image', 'n')} AS id, ({_draw('v', '2')} + 1)::INT AS top, ({_draw('h', '2')} + 1)::INT AS \"left\" "
+       "FROM range(2000) AS r(p), (SELECT count(*) AS n FROM vec)")
 def sample_patches(spark, sf_dir):
     dense = embedded(spark, sf_dir)
     return patches.sample_patches(dense, 2000, SIDE, SIDE, (4, 4), edge=1, seed=3).select("patch_id", "id", "top", "left")
@@ -217,7 +224,13 @@ def filter_images(spark, sf_dir):
     return out.withColumn("x", rounded("x"))
 
 
-@query()
+_GRID = "grid AS (SELECT a.v, b.h FROM range(8) AS a(v), range(8) AS b(h))"
+
+
+@query(f""", {_GRID}, fq AS (SELECT v, h, sqrt(pow((CASE WHEN v < 4 THEN v ELSE v - 8 END) / 8.0, 2) + pow((CASE WHEN h < 4 THEN h ELSE h - 8 END) / 8.0, 2)) AS f FROM grid),
+gain AS (SELECT v, h, greatest(f, 1e-3) * exp(-pow(f / 0.45, 8)) AS g FROM fq), norm AS (SELECT v, h, greatest(g / max(g) OVER (), 1e-3) AS g FROM gain),
+ker AS (SELECT p.v, p.h, sum(g * cos(2 * pi() * (p.v * q.v + p.h * q.h) / 8.0)) / 64 AS k FROM grid p, norm q GROUP BY p.v, p.h)
+SELECT id, grid.v * 8 + grid.h AS i, {R('sum(k * x)')} AS x FROM grid, img JOIN ker ON ker.v = (grid.v - img.v + 8) % 8 AND ker.h = (grid.h - img.h + 8) % 8 GROUP BY id, grid.v, grid.h""")
 def whiten_center_surround(spark, sf_dir):
     return long_codes(whitening.whiten_center_surround(embedded(spark, sf_dir), SIDE, SIDE), "x", "i", "x")
 
@@ -230,8 +243,8 @@ def covariance(spark, sf_dir):
 
 def _quarters(spark, sf_dir):
     """Four 4x4 tiles of each embedding: enough rows for a ZCA fit of 16 components."""
-    tiles = patches.tile(image(spark, sf_dir), SIDE, SIDE, 4, 4)
-    return patches.as_vectors(tiles.select((F.col("id") * 4 + F.col("tv") * 2 + F.col("th")).alias("id"), "v", "h", "x"))
+    tiles = patches.tile_arrays(embedded(spark, sf_dir), SIDE, SIDE, 4, 4)
+    return tiles.select((F.col("id") * 4 + F.col("tv") * 2 + F.col("th")).alias("id"), "x")
 
 
 @query()
@@ -255,16 +268,23 @@ _LISTS = """, rws AS (SELECT list(r ORDER BY s) AS rws FROM (SELECT s, list(w OR
 cls AS (SELECT list(r ORDER BY i) AS cls FROM (SELECT i, list(w ORDER BY s) AS r FROM frame GROUP BY i)), """
 
 
-def _ista_sql(shrink: str) -> str:
+def _ista_sql(codes: str, more: str = "") -> str:
+    """Steps from zero; codes makes the next ones from the list zz that a gradient step gives."""
     return _LISTS + f"""
 it AS (
   SELECT id, e, 0 AS k, list_transform(range(128), lambda j: 0.0::DOUBLE) AS c FROM vec
   UNION ALL
-  SELECT id, e, k + 1, list_transform(list_transform(range(128), lambda j: c[j + 1] - 0.5 * list_dot_product(res, rws[j + 1])), lambda z: {shrink})
-  FROM (SELECT id, e, k, c, rws, list_transform(range(64), lambda i: list_dot_product(c, cls[i + 1]) - e[i + 1]) AS res FROM it, rws, cls WHERE k < {_STEPS}))
+  SELECT id, e, k + 1, {codes}
+  FROM (SELECT *{more} FROM (
+    SELECT *, list_transform(range(128), lambda j: c[j + 1] - 0.5 * list_dot_product(res, rws[j + 1])) AS zz
+    FROM (SELECT id, e, k, c, rws, list_transform(range(64), lambda i: list_dot_product(c, cls[i + 1]) - e[i + 1]) AS res FROM it, rws, cls WHERE k < {_STEPS}))))
 SELECT id, s, {R('c[s + 1]')} AS code FROM it, range(128) AS r(s) WHERE k = {_STEPS}"""
 
 
+def _shrunk(z: str) -> str:
+    return f"list_transform(zz, lambda z: {z})"
+
+
 _SOFT = "CASE WHEN abs(z) > 0.05 THEN sign(z) * (abs(z) - 0.05) ELSE 0.0 END"
 
 
@@ -272,17 +292,17 @@ def _coded(spark, sf_dir, **options):
     return inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, _STEPS, step=_FRAME_STEP, **options)
 
 
-@query(_ista_sql(_SOFT))
+@query(_ista_sql(_shrunk(_SOFT)))
 def ista_codes(spark, sf_dir):
     return long_codes(_coded(spark, sf_dir), "code", "s", "code")
 
 
-@query(_ista_sql("greatest(z - 0.05, 0.0)"))
+@query(_ista_sql(_shrunk("greatest(z - 0.05, 0.0)")))
 def nonneg_ista_codes(spark, sf_dir):
     return long_codes(_coded(spark, sf_dir, nonnegative=True), "code", "s", "code")
 
 
-@query(_ista_sql("CASE WHEN abs(z) < 0.05 THEN 0.0 ELSE z END"))
+@query(_ista_sql(_shrunk("CASE WHEN abs(z) < 0.05 THEN 0.0 ELSE z END")))
 def hard_ista_codes(spark, sf_dir):
     return long_codes(_coded(spark, sf_dir, hard=True), "code", "s", "code")
 
@@ -307,12 +327,29 @@ def early_stopping_codes(spark, sf_dir):
     return long_codes(coded, "code", "s", "code")
 
 
+@query(_ista_sql("list_transform(range(128), lambda j: zz[j + 1] * greatest(1 - 0.05 / CASE WHEN nn[j % 64 + 1] = 0 THEN 1 ELSE nn[j % 64 + 1] END, 0))",
+                 ", list_transform(range(64), lambda j: sqrt(zz[j + 1] * zz[j + 1] + zz[j + 65] * zz[j + 65])) AS nn"))
+def subspace_pair_codes(spark, sf_dir):
+    """Groups of a cosine and a pixel each: without overlap the frame stays tight."""
+    pairs = [[k, k + N] for k in range(N)]
+    return long_codes(inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, _STEPS, groups=pairs), "code", "s", "code")
+
+
 @query()
 def subspace_codes(spark, sf_dir):
     groups = [[k, k + N] for k in range(N)] + [[0, 1, 2]]
     return long_codes(inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, 10, groups=groups, variant="fista"), "code", "s", "code")
 
 
+@query(", haar AS (SELECT s, a, b, CASE WHEN s = 0 OR (s = 1 AND a = 0) OR (s = 2 AND b = 0) OR (s = 3 AND a = b) THEN 0.5 ELSE -0.5 END AS w FROM range(4) AS p(s), range(2) AS q(a), range(2) AS r(b)), "
+       "z AS (SELECT id, s * 16 + (v // 2) * 4 + h // 2 AS s, sum(x * w) AS z FROM img JOIN haar ON a = v % 2 AND b = h % 2 GROUP BY ALL) "
+       f"SELECT id, s, {R('CASE WHEN abs(z) > 0.05 THEN sign(z) * (abs(z) - 0.05) ELSE 0.0 END')} AS code FROM z")
+def conv_haar_codes(spark, sf_dir):
+    """Orthonormal kernels side by side: the iterations stay where the first one goes."""
+    haar = 0.5 * np.array([[[1, 1], [1, 1]], [[1, 1], [-1, -1]], [[1, -1], [1, -1]], [[1, -1], [-1, 1]]])[:, None]
+    return long_codes(inference.infer_conv(embedded(spark, sf_dir), haar, (1, SIDE, SIDE), (2, 2), 0.05, 3, variant="fista"), "code", "s", "code")
+
+
 @query()
 def conv_codes(spark, sf_dir):
     kernels = learning.unit_rows(np.random.default_rng(4).normal(size=(6, 1, 4, 4)))
@@ -575,7 +612,10 @@ def rotational_average(spark, sf_dir):
     return out.select("id", "bin", rounded("left").alias("left"), rounded("mean").alias("mean"))
 
 
-@query()
+@query(f""", {_GRID}, ft AS (SELECT id, grid.v, grid.h, sum(x * cos(2 * pi() * (grid.v * img.v + grid.h * img.h) / 8.0)) AS re,
+sum(x * sin(2 * pi() * (grid.v * img.v + grid.h * img.h) / 8.0)) AS im FROM grid, img GROUP BY id, grid.v, grid.h),
+ring AS (SELECT least(floor(sqrt(v * v + h * h)), 3)::INT AS bin, p FROM (SELECT CASE WHEN v < 4 THEN v ELSE v - 8 END AS v, CASE WHEN h < 4 THEN h ELSE h - 8 END AS h, re * re + im * im AS p FROM ft) WHERE sqrt(v * v + h * h) <= 4)
+SELECT bin, bin::DOUBLE AS "left", {R('avg(p)')} AS mean FROM ring GROUP BY bin""")
 def power_spectrum(spark, sf_dir):
     spectra = patches.as_image(whitening.power_spectrum(embedded(spark, sf_dir), SIDE, SIDE), SIDE)
     centred = spectra.withColumns({"v": F.col("v") - SIDE // 2, "h": F.col("h") - SIDE // 2})
