@@ -6,8 +6,8 @@ sequence by itself, so none crosses documents and none is padded; sequences of
 one length form a bucket, from which batches of equal shape are drawn.
 
 Tokenization: white space never joins a token of this vocabulary, so a text is
-the concatenation of its white-space delimited chunks. A worker keeps a bounded
-table of chunks it has met and hands only new ones to the tokenizer.
+the concatenation of its white-space delimited chunks, and a chunk that is a lower-case word and marks is that of the two.
+A worker keeps a bounded table of chunks it has met and hands only new ones to the tokenizer.
 
 Defined results: a null or empty text is the end-of-text id alone, one piece of
 length 1. Rows that repeat an id are packed one by one, each with sequences of
@@ -17,9 +17,9 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import cache
-from itertools import filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +37,8 @@ REMEMBERED = 1_000_000
 LONG_CHUNK = 64
 #: A control character that is one token.
 MARK = b"\x01"
+#: ASCII marks that end a word's piece: all but the apostrophe, which may begin a contraction.
+MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 class ChunkEncoder:
@@ -50,40 +52,110 @@ class ChunkEncoder:
         self.known: dict[bytes, bytes] = {}
         # stands between chunks that are encoded together; a chunk that holds it is encoded alone
         self.mark, self.mark_id = MARK, self._ids(MARK.decode()).item()
+        self.plain = plain_tokenizer(vocab)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def _ids(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunks, fresh = [chunks_of(t or "") for t in texts], set()
-        for c in chunks:
-            fresh.update(filterfalse(self.known.__contains__, c))
-        new = list(fresh)
-        odd = [c for c in new if self.mark in c]
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Make these chunks known; also words and ends of which some are made, which are returned."""
+        if self.plain is None:
+            self._encode(new, None)
+            return []
+        pairs, words, rest = [], set(), []
+        for c in new:
+            word = c.rstrip(MARKS)
+            if word.isalpha() and word.islower() if word.isascii() else is_latin_word(word.decode()):
+                pairs.append((c, word, c[len(word) :]))
+                words.add(word)
+            else:
+                rest.append(c)
+        ends = {e for _, _, e in pairs}
+        words = [w for w in words if w not in self.known]
+        ends = [e for e in ends if e not in self.known]
+        self._encode(words, self.plain)
+        self._encode(rest + ends, None)
+        self.known.update([(c, self.known[w] + self.known[e]) for c, w, e in pairs])
+        return words + ends
+
+    def _encode(self, chunks: list[bytes], tokenizer) -> None:
+        odd = [c for c in chunks if self.mark in c]
         for c in odd:
             self.known[c] = self._ids(c.decode()).tobytes()
-        plain = [c for c in new if self.mark not in c] if odd else new
+        plain = [c for c in chunks if self.mark not in c] if odd else chunks
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            ids = self._ids((b" " + self.mark + b" ").join(some).decode())
+            ids = self._ids((b" " + self.mark + b" ").join(some).decode(), tokenizer)
             cut, raw = np.flatnonzero(ids == self.mark_id) * 4, ids.tobytes()
             self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)])]))
-        look = self.known.__getitem__
-        out = [b"".join(map(look, c)) for c in chunks]
-        for c in new:
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        made: list[bytes] = []
+
+        def learn(new: list[bytes]) -> None:
+            made.extend(new)
+            made.extend(self._learn(new))
+
+        out = joined_values(self.known, map(chunks_of, texts), learn)
+        for c in made:
             if len(c) > LONG_CHUNK:
-                del self.known[c]
+                self.known.pop(c, None)
         return out
 
 
-def chunks_of(text: str) -> list[bytes]:
+def joined_values(known: dict[bytes, bytes], rows, learn) -> list[bytes]:
+    """Each row's keys' values, joined; learn(keys) adds those that the table lacks.
+
+    One look-up a key: what is not found leaves a hole that is filled afterwards.
+    """
+    get, found, holes = known.get, [], []
+    for row in rows:
+        values, gaps, at = list(map(get, row)), [], -1
+        for _ in range(values.count(None)):
+            at = values.index(None, at + 1)
+            gaps.append((at, row[at]))
+        found.append(values)
+        holes.append(gaps)
+    new = {key for gaps in holes for _, key in gaps}
+    if new:
+        learn(list(new))
+    for values, gaps in zip(found, holes):
+        for at, key in gaps:
+            values[at] = known[key]
+    return [b"".join(v) for v in found]
+
+
+def chunks_of(text: str | None) -> list[bytes]:
     """White-space delimited chunks; in lower case, as the tokenizer will have them, unless a special token may be there."""
-    data = text.encode()
+    data = (text or "").encode()
     return data.split() if b"<|" in data else data.lower().split()
 
 
+def is_latin_word(text: str) -> bool:
+    """Only lower-case letters of the Latin blocks, which no normalization changes."""
+    return text.isalpha() and max(text) < "\u0250" and text == text.lower()
+
+
+def plain_tokenizer(vocab: str):
+    """The vocabulary's tokenizer for lower-case words, without the normalizer and the pattern that don't touch them.
+
+    None if the vocabulary has other steps than those known here.
+    """
+    from tokenizers import Tokenizer
+
+    with open(vocab, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    before = [n["type"] for n in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    if steps != ["NFC", "Replace", "Lowercase"] or before != ["Split", "ByteLevel"]:
+        return None
+    spec["normalizer"], spec["added_tokens"] = None, []
+    spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
 @cache
 def chunk_encoder(vocab: str) -> ChunkEncoder:
     """One for all tasks of a worker process."""
