@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import load
-from .packing import few
+from .packing import few, joined_values
 
 #: Pieces that a worker remembers, and the longest of them.
 REMEMBERED, LONG_PIECE = 500_000, 48
@@ -243,11 +243,14 @@ class Codec:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, long = self.known, []
-        for p in set().union(*split).difference(known) if split else ():
-            known[p] = b"".join([i.to_bytes(4, "little") for i in merge(p, self.ranks)]) if p else b""
-            if len(p) > LONG_PIECE:
-                long.append(p)
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
+
+        def learn(new: list[bytes]) -> None:
+            for p in new:
+                known[p] = b"".join([i.to_bytes(4, "little") for i in merge(p, self.ranks)]) if p else b""
+                if len(p) > LONG_PIECE:
+                    long.append(p)
+
+        out = joined_values(known, split, learn)
         for p in long:
             del known[p]
         return out
