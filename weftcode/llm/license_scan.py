@@ -101,6 +101,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
     near = dirs.select("dir", F.explode(F.array_distinct(up)).alias("above")).join(licensed, "above")
     near = near.groupBy("dir").agg(F.max_by(F.struct("above", "above_license", "above_score"), F.length("above")).alias("a"))
+    near = ws.table(near, "near")  # so that the planner may split the join where a directory is hot
     rows = paths.withColumn("dir", directory(F.col("path"))).join(own, "path", "left").join(near, "dir", "left")
     mine = F.col("license").isNotNull()
     theirs = F.col("path").isNotNull() & F.col("a").isNotNull()
