@@ -195,6 +195,7 @@ def with_verdicts(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     seen = rows.filter(F.octet_length("payload") >= min_bytes).select("id", F.unhex(F.sha1("payload")).alias("sha"))
     first = seen.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    first = Workspace(pages.sparkSession).table(first, "repeated")  # so that the planner may split the join where a payload is hot
     again = seen.join(first, "sha").filter("first is not null and (id is null or id <> first)")
     again = again.select(F.col("id").alias("i"), F.col("sha").alias("s"), F.col("first").alias("refers_to")).distinct()
     keyed = rows.withColumn("sha", F.unhex(F.sha1("payload")))
