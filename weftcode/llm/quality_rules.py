@@ -104,7 +104,7 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Measures, rule and host verdict of every document."""
     ws = Workspace(docs.sparkSession)
     ruled = ws.table(with_base_rule(measure(docs, id_col, text_col, host_col)), "measured")
-    verdicts = host_verdicts(ruled, max_rate).select(F.col("host").alias("h"), "rate", "host_rejected")
+    verdicts = ws.table(host_verdicts(ruled, max_rate).select(F.col("host").alias("h"), "rate", "host_rejected"), "verdicts")
     out = ruled.join(verdicts, ruled.host.eqNullSafe(verdicts.h), "left").drop("h")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
