@@ -39,6 +39,8 @@ from .packing import few
 
 MIN_POINTS = 10
 SHARDS = 1024
+#: Batches in which line_dedup inserts a corpus.
+INCREMENTS = 2
 SLOTS, MAX_LOAD, MAX_KICKS = 4, 0.85, 500
 HEADER, MEMBER, ADDED, GONE = range(4)
 
@@ -346,10 +348,15 @@ def remove_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text
     return joined.mapInArrow(kernel, schema)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """remove_lines over an index of the documents themselves."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", increments: int = INCREMENTS) -> DataFrame:
+    """remove_lines over an index of the documents themselves, built in increments of about equal size.
+
+    An increment's keys meet the filters of those before it, and what these can't rule out the exact counts.
+    """
     ws = Workspace(docs.sparkSession)
-    index = LineIndex(docs.sparkSession, ws.path("index")).insert(docs, id_col, text_col)
+    index, part = LineIndex(docs.sparkSession, ws.path("index")), F.pmod(F.xxhash64(id_col), F.lit(increments))
+    for k in range(increments):
+        index = index.insert(docs.filter(part == k), id_col, text_col)
     drops = ws.table(index.drops(), "drops")
     ws.delete(index.root)  # nobody asked for the index itself
     return remove_lines(docs, drops, id_col, text_col)
