@@ -468,3 +468,27 @@ def test_tiles_as_arrays_are_the_tiles(spark):
     long = patches.tile(patches.as_image(frame(spark), 4), 4, 4, 2, 3).collect()
     arrays = {(r.id, r.tv, r.th): r.x for r in patches.tile_arrays(frame(spark), 4, 4, 2, 3).collect()}
     assert len(arrays) == 80 and all(arrays[r.id, r.tv, r.th][r.v * 3 + r.h] == r.x for r in long)
+
+
+def test_preprocessing_steps_keep_sides_in_place(spark):
+    steps = [("local_luminance", 1), ("tile", (2, 2)), ("pad", 1, 0, 0, 0)]
+    out = patches.Pipeline(steps, 4, 4).run(frame(spark))[0]
+    want = patches.pad(patches.tile_arrays(frame(spark), 4, 4, 2, 2).select((F.col("id") * 4 + F.col("tv") * 2 + F.col("th")).alias("id"), "x"), 2, 2, 1, 0, 0, 0)
+    assert np.allclose(column(out) + column(out, "subtractor"), column(want))
+    steps = [("standardize",), ("whiten_center_surround", 1e-3, 0.9), ("local_contrast", 1), ("patch", 50, (2, 2), 0, 5), ("center_components",), ("whiten_zca",)]
+    out, found = patches.Pipeline(steps, 4, 4).run(frame(spark))
+    assert out.count() == 50 and {"means", "zca"} == set(found) and "normalizer" in out.columns
+
+
+def test_maintenance_by_kind(spark):
+    rng = np.random.default_rng(1)
+    d, groups = np.concatenate([D[:5], D[:1]]), [[0, 1], [2, 3], [4, 5]]
+    fresh, same, which = learning.maintain(d, "cosine", "reset", rng, threshold=0.99)
+    assert which in ([0], [5]) and same is None and not np.allclose(fresh[which], d[which])
+    left, renumbered, which = learning.maintain(d, "random", "prune", rng, groups, count=2)
+    assert len(left) == 6 - len(which) and sum(map(len, renumbered)) == len(left)
+    codes = frame(spark, RNG.normal(size=(500, 6))).withColumnRenamed("x", "code")
+    assert learning.maintain(d, "nonuniform", "reset", rng, groups, codes)[1] == groups
+    for bad in ({"kind": "spin", "action": "reset"}, {"kind": "cosine", "action": "reset"}, {"kind": "random", "action": "hide"}, {"kind": "nonuniform", "action": "prune"}):
+        with pytest.raises((KeyError, ValueError)):
+            learning.maintain(d, rng=rng, **bad)

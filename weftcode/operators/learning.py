@@ -280,3 +280,29 @@ def nonuniformity(df: DataFrame, groups: list[list[int]], circles: int, seed: in
 def outlier_groups(values: np.ndarray, least: float = 0.002) -> list[int]:
     """Groups more than a standard deviation from the mean and above the least value."""
     return [int(i) for i in np.flatnonzero((np.abs(values - values.mean()) > values.std()) & (np.abs(values) > least))]
+
+
+def maintain(d: np.ndarray, kind: str, action: str, rng: np.random.Generator, groups: list[list[int]] | None = None, codes: DataFrame | None = None, count: int = 0, threshold: float | None = None, within_groups: bool = False, circles: int = 10) -> tuple[np.ndarray, list[list[int]] | None, list[int]]:
+    """Reset or prune elements of a fully-connected dictionary: the next dictionary, its groups, which elements.
+
+    kind random: ``count`` draws with replacement; cosine: one of each pair above the threshold; nonuniform: elements
+    of groups whose codes are spread unlike those of the other groups.
+    """
+    if action not in ("reset", "prune"):
+        raise ValueError("the action is reset or prune")
+    if kind == "random":
+        which = sorted(set(rng.integers(len(d), size=count).tolist()))
+    elif kind == "cosine":
+        if threshold is None or (within_groups and groups is None):
+            raise ValueError("a threshold is needed, and groups to stay within them")
+        which = one_of_each(similar_pairs(d, threshold, groups if within_groups else None), rng)
+    elif kind == "nonuniform":
+        if groups is None or codes is None:
+            raise ValueError("groups and codes are needed")
+        odd = outlier_groups(nonuniformity(codes, groups, circles, int(rng.integers(1 << 31))))
+        which = sorted({i for g in odd for i in groups[g]})
+    else:
+        raise KeyError(f"no filter {kind}")
+    if action == "reset":
+        return reset_elements(d, which, rng), groups, which
+    return *prune_elements(d, which, groups), which

@@ -53,16 +53,20 @@ def tile(image: DataFrame, height: int, width: int, tile_height: int, tile_width
     )
 
 
-def tile_arrays(df: DataFrame, height: int, width: int, tile_height: int, tile_width: int, col: str = "x") -> DataFrame:
-    """(id, tv, th, x): the same tiles as arrays, cut out of each image's array without an exchange."""
+def tile_arrays(df: DataFrame, height: int, width: int, tile_height: int, tile_width: int, cols: tuple[str, ...] = ("x",)) -> DataFrame:
+    """(id, tv, th, columns): the same tiles as arrays, cut out of each image's arrays without an exchange."""
     down, across = height // tile_height, width // tile_width
-    row = lambda tv, th, r: F.slice(col, (tv * tile_height + r) * width + th * tile_width + 1, tile_width)
-    cut = lambda tv, th: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile_height - 1)), lambda r: row(tv, th, r)))
-    tiles = F.transform(
-        F.sequence(F.lit(0), F.lit(down * across - 1)),
-        lambda k: F.struct((k / across).cast("int").alias("tv"), (k % across).alias("th"), cut((k / across).cast("int"), k % across).alias("x")),
-    )
-    return df.select("id", F.explode(tiles).alias("t")).select("id", "t.tv", "t.th", "t.x")
+
+    def cut(c, tv, th):
+        row = lambda r: F.slice(c, (tv * tile_height + r) * width + th * tile_width + 1, tile_width)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(tile_height - 1)), row))
+
+    def one(k):
+        tv, th = (k / across).cast("int"), k % across
+        return F.struct(tv.alias("tv"), th.alias("th"), *(cut(c, tv, th).alias(c) for c in cols))
+
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(down * across - 1)), one)
+    return df.select("id", F.explode(tiles).alias("t")).select("id", "t.*")
 
 
 def assemble(tiles: DataFrame, tile_height: int, tile_width: int) -> DataFrame:
@@ -120,15 +124,15 @@ def center_samples(df: DataFrame, col: str = "x") -> DataFrame:
     return df.withColumn("__mean", mean).withColumn(col, F.transform(col, lambda v: v - F.col("__mean"))).drop("__mean")
 
 
-def sample_patches(images: DataFrame, n: int, height: int, width: int, patch: tuple[int, int], edge: int = 0, seed: int = 0) -> DataFrame:
-    """n random patches: (patch_id, id, top, left, x). images: id 0..k-1 dense, x in (v, h) order.
+def sample_patches(images: DataFrame, n: int, height: int, width: int, patch: tuple[int, int], edge: int = 0, seed: int = 0, cols: tuple[str, ...] = ("x",)) -> DataFrame:
+    """n random patches: (patch_id, id, top, left, columns). images: id 0..k-1 dense, x in (v, h) order.
 
     The image and the corner come from seeded hashes of the patch's number, uniform over the
     images and over corners edge <= corner < size - patch - edge.
     """
     k = images.count()
-    rows, cols = height - patch[0] - 2 * edge, width - patch[1] - 2 * edge
-    if k == 0 or rows < 1 or cols < 1:
+    down, across = height - patch[0] - 2 * edge, width - patch[1] - 2 * edge
+    if k == 0 or down < 1 or across < 1:
         raise ValueError("no patch fits")
 
     def draw(what: str, m: int):
@@ -136,9 +140,9 @@ def sample_patches(images: DataFrame, n: int, height: int, width: int, patch: tu
         return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % m).cast("int")
 
     picks = images.sparkSession.range(n).withColumnRenamed("id", "patch_id")
-    picks = picks.select("patch_id", draw("image", k).cast("long").alias("id"), (draw("v", rows) + edge).alias("top"), (draw("h", cols) + edge).alias("left"))
-    cut = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(patch[0] - 1)), lambda r: F.slice("x", (F.col("top") + r) * width + F.col("left") + 1, patch[1])))
-    return picks.join(images.select("id", "x"), "id").select("patch_id", "id", "top", "left", cut.alias("x"))
+    picks = picks.select("patch_id", draw("image", k).cast("long").alias("id"), (draw("v", down) + edge).alias("top"), (draw("h", across) + edge).alias("left"))
+    cut = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(patch[0] - 1)), lambda r: F.slice(c, (F.col("top") + r) * width + F.col("left") + 1, patch[1])))
+    return picks.join(images.select("id", *cols), "id").select("patch_id", "id", "top", "left", *(cut(c).alias(c) for c in cols))
 
 
 def minibatches(df: DataFrame, batch_size: int, epoch: int = 0, id_col: str = "id") -> DataFrame:
@@ -165,42 +169,55 @@ def minibatches(df: DataFrame, batch_size: int, epoch: int = 0, id_col: str = "i
 class Pipeline:
     """Ordered preprocessing of (id, x) images into patches, with the order checks made up front.
 
-    Steps: ("standardize",), ("patch", n, (h, w)), ("tile", (h, w)), ("filter", fn) on whole images,
-    ("center_components",), ("normalize_variance",), ("center_samples",), ("pad", t, b, l, r).
+    On whole images: ("standardize",) first, ("filter", fn), ("whiten_center_surround", low, high),
+    ("local_contrast", sigma) and ("local_luminance", sigma); what the last two divide or subtract by is cut at
+    the same places and padded alike, as columns normalizer and subtractor. To cut: ("patch", n, (h, w), edge, seed) or
+    ("tile", (h, w)). On patches: ("center_components",), ("normalize_variance",), ("center_samples",),
+    ("whiten_zca",), ("pad", top, bottom, left, right).
     """
 
-    BEFORE, AFTER = {"standardize", "filter"}, {"center_components", "normalize_variance", "center_samples", "pad"}
+    BEFORE = {"standardize", "filter", "whiten_center_surround", "local_contrast", "local_luminance"}
+    AFTER = {"center_components", "normalize_variance", "center_samples", "whiten_zca", "pad"}
+    SIDES = {"local_contrast": "normalizer", "local_luminance": "subtractor"}
 
     def __init__(self, steps: list[tuple], height: int, width: int):
         cut = [i for i, s in enumerate(steps) if s[0] in ("patch", "tile")]
         if len(cut) > 1:
             raise ValueError("images are cut once")
-        for i, s in enumerate(steps):
-            if s[0] == "standardize" and i:
+        for i, (name, *_) in enumerate(steps):
+            if name == "standardize" and i:
                 raise ValueError("the range is standardized first, once")
-            if s[0] == "filter" and cut and i > cut[0]:
-                raise ValueError("whole images are filtered before they are cut")
-            if s[0] in self.AFTER and not (cut and i > cut[0]):
-                raise ValueError(f"{s[0]} works on patches")
-            if s[0] not in self.BEFORE | self.AFTER | {"patch", "tile"}:
-                raise ValueError(f"no step {s[0]}")
+            if name in self.BEFORE and cut and i > cut[0]:
+                raise ValueError(f"{name} works on whole images")
+            if name in self.AFTER and not (cut and i > cut[0]):
+                raise ValueError(f"{name} works on patches")
+            if name not in self.BEFORE | self.AFTER | {"patch", "tile"}:
+                raise ValueError(f"no step {name}")
         self.steps, self.height, self.width = steps, height, width
 
     def run(self, images: DataFrame) -> tuple[DataFrame, dict]:
-        """Patches and what the steps found (means, variances)."""
-        df, h, w, found = images, self.height, self.width, {}
+        """Patches and what the steps found (means, variances, zca)."""
+        from . import whitening
+
+        df, h, w, found, cols = images, self.height, self.width, {}, ("x",)
         for name, *args in self.steps:
             if name == "standardize":
                 df = standardize_range(df)
             elif name == "filter":
                 df = args[0](df)
+            elif name == "whiten_center_surround":
+                df = whitening.whiten_center_surround(df, h, w, *args, norm_and_threshold=False)
+            elif name in self.SIDES:
+                df = getattr(whitening, name)(df, h, w, *args)
+                cols += (self.SIDES[name],)
             elif name == "patch":
-                df = sample_patches(df, args[0], h, w, args[1]).select(F.col("patch_id").alias("id"), "x")
-                h, w = args[1]
+                n, size, *rest = args
+                df = sample_patches(df, n, h, w, size, *rest, cols=cols).select(F.col("patch_id").alias("id"), *cols)
+                h, w = size
             elif name == "tile":
                 per = (h // args[0][0]) * (w // args[0][1])
                 number = F.col("id") * per + F.col("tv") * (w // args[0][1]) + F.col("th")
-                df = tile_arrays(df, h, w, *args[0]).select(number.alias("id"), "x")
+                df = tile_arrays(df, h, w, *args[0], cols=cols).select(number.alias("id"), *cols)
                 h, w = args[0]
             elif name == "center_components":
                 df, found["means"] = center_components(df)
@@ -208,7 +225,11 @@ class Pipeline:
                 df, found["variances"] = normalize_variance(df)
             elif name == "center_samples":
                 df = center_samples(df)
+            elif name == "whiten_zca":
+                found["zca"] = whitening.fit_zca(df)
+                df = whitening.whiten_zca(df, found["zca"])
             else:
-                df = pad(df, h, w, *args)
+                for c in cols:
+                    df = pad(df, h, w, *args, col=c)
                 h, w = h + args[0] + args[1], w + args[2] + args[3]
         return df, found
