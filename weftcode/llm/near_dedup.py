@@ -125,40 +125,26 @@ def prefix_kernel(batches):
 
 
 def pair_kernel(batches):
-    """Postings sorted by key and node to pairs a < b; of a hot list those with its first member."""
+    """Postings sorted by key and node to pairs a < b of all members of a list, which are HOT at most."""
     keys, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the end of a list that may go on
-    star = None  # key and first member of the hot list that may go on
     for b in batches:
-        k, n, hot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not b.num_rows:
+            continue
+        held = len(keys)
+        keys, nodes = (np.concatenate((x, b.column(i).to_numpy())) for i, x in enumerate((keys, nodes)))
         out = []
-        cold = ~hot.astype(bool)
-        if cold.any():
-            keys, nodes = np.concatenate((keys, k[cold])), np.concatenate((nodes, n[cold]))
-            fresh = len(keys) - int(cold.sum())
-            for d in range(1, HOT):
-                if d >= len(keys):
-                    break
-                same = keys[d:] == keys[:-d]
-                same[: max(0, fresh - d)] = False
-                if not same.any():
-                    break
-                at = np.flatnonzero(same)
-                out.append((nodes[at], nodes[at + d]))
-            keys, nodes = keys[-HOT:], nodes[-HOT:]
-        k, n = k[~cold], n[~cold]
-        if len(k):
-            new = np.ones(len(k), bool)
-            new[1:] = k[1:] != k[:-1]
-            first = n[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-            if star and star[0] == k[0]:
-                first[k == k[0]] = star[1]
-            out.append((first, n))
-            star = (k[-1], first[-1])
+        for d in range(1, HOT):
+            same = keys[d:] == keys[:-d]
+            same[: max(0, held - d)] = False  # pairs of the batch before
+            if not same.any():
+                break
+            at = np.flatnonzero(same)
+            out.append((nodes[at], nodes[at + d]))
+        keys, nodes = keys[-HOT:], nodes[-HOT:]
         if out:
             a, c = (np.concatenate(x) for x in zip(*out))
             keep = a != c
-            a, c = a[keep], c[keep]
-            yield pa.record_batch([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], names=["a", "b"])
+            yield pa.record_batch([pa.array(np.minimum(a, c)[keep]), pa.array(np.maximum(a, c)[keep])], names=["a", "b"])
 
 
 def similar_size(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -337,7 +323,8 @@ class NearLinks:
         """Rows of block_kernel. Nodes that share a hot list are one cluster; None if no list has two components."""
         rows = hot.join(viable.select("node", "component"), "node")
         lists = rows.groupBy("key").agg(F.min("node").alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        stars = self.ws.table(rows.join(lists.filter("lo <> hi"), "key").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        lists = self.ws.table(lists.filter("lo <> hi").select("key", "first"), "lists")
+        stars = self.ws.table(rows.join(lists, "key").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
         if stars.isEmpty():
             return None
         clusters = self.ws.table(components(stars, self.ws).withColumnRenamed("component", "cluster"), "clusters")
@@ -352,9 +339,11 @@ class NearLinks:
     def components(self) -> DataFrame:
         """(node, component) of all nodes that have links."""
         postings, short = self.postings(), self.ws.table(self.short(), "short")
-        ordered = postings.repartition("key").sortWithinPartitions("key", "node")
-        pairs = self.matching(ordered.mapInArrow(pair_kernel, "a long, b long").distinct(), short)
+        cold = postings.filter("not hot").select("key", "node").repartition("key").sortWithinPartitions("key", "node")
         hot = postings.filter("hot").select("key", "node")
+        firsts = self.ws.table(hot.groupBy("key").agg(F.min("node").alias("a")), "firsts")
+        stars = hot.join(firsts, "key").filter("a <> node").select("a", F.col("node").alias("b"))
+        pairs = self.matching(cold.mapInArrow(pair_kernel, "a long, b long").unionByName(stars).distinct(), short)
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
         full = self.full_sets(nodes)
         links = self.confirmed(pairs, full)
@@ -374,6 +363,7 @@ class NearLinks:
         """Members of hot lists that have more than one component; None if there are none."""
         rows = hot.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         lists = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        lists = self.ws.table(lists, "lists")
         out = self.ws.table(hot.join(lists, "key", "left_semi").select("node").distinct(), "open-nodes")
         return None if out.isEmpty() else out
 
