@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import messy
-from weftcode.llm import byte_bpe, license_scan, packing, quality_model, quality_rules, warc
+from weftcode.llm import byte_bpe, license_scan, near_dedup, packing, quality_model, quality_rules, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,8 @@ def test_byte_bpe_of_rows(spark, tiktoken_encoding):
     out = byte_bpe.decode(byte_bpe.encode(messy.frame(spark))).collect()
     want = Counter((d, np.array(tiktoken_encoding.encode_ordinary(t or ""), np.uint32).tobytes(), (t or "").encode()) for d, t in messy.texts())
     assert Counter((r.id, bytes(r.ids), bytes(r.decoded)) for r in out) == want
+    both = byte_bpe.encode(messy.frame(spark), round_trip=True).collect()
+    assert Counter((r.id, bytes(r.ids), bytes(r.decoded)) for r in both) == want
     assert byte_bpe.decode(byte_bpe.encode(messy.frame(spark, True))).count() == 0
 
 
@@ -293,3 +295,23 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     columns = ("doc_id", "start", "length", "ids_crc32")
     assert Counter(tuple(r[c] for c in columns) for r in final.collect()) == Counter(tuple(r[c] for c in columns) for r in pieces)
     assert hashlib.sha256(b"").hexdigest()  # the digest of an empty text, as queries give it
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_bear_messy_rows(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    spark.createDataFrame([(6, 1, 0), (None, 1, 0), (16, 0, None), (7, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = messy.frame(spark, empty)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if stage is corpus_pipeline.pack:
+            assert (out.count() == 0) == empty
+        else:
+            assert out.columns == docs.columns
+            rows = out.collect()
+            assert (not rows) if empty else {r.doc_id for r in rows} <= {d for d, _ in messy.texts()}
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+    if not empty:
+        kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+        assert kept == {r.id for r in near_dedup.near_dedup(docs).filter("kept").collect()}
