@@ -16,7 +16,8 @@ it determines at the highest level at which there are any; level 0 always has
 all its words. Equal windows have equal anchors, and consecutive windows mostly share one.
 
 1. Each stretch of windows with one anchor name is one row: anchor name, hash of the words
-   that the stretch spans, place. Rows meet by anchor name.
+   that the stretch spans, place. Rows meet by anchor name: in a window function, or, for names that
+   Misra-Gries counters find frequent, in an aggregation and a join that split.
 2. Stretches equal to another one are repeated as a whole. Where an anchor has
    several different stretches (ends of passages, edited copies), or a stretch may repeat
    within itself (runs), one of each publishes
@@ -44,8 +45,10 @@ from .packing import few
 
 WINDOW = 35
 ROUNDS = 3
+#: Share of the stretches from which an anchor's name is frequent.
+SUPPORT = 0.005
 #: Bytes of text that a kernel treats at a time (one longer text is treated alone).
-JOINED = 1 << 20
+JOINED = 1 << 18
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
@@ -278,17 +281,42 @@ def removal_kernel(window: int, text_at: int, ranges_at: int, names: list[str]):
     return kernel
 
 
-def repeated_ranges(docs: DataFrame, ws: Workspace, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc, tag, ranges): window starts s..s+n-1 that start elsewhere too. docs: doc, tag, text."""
-    rows = docs.mapInArrow(anchor_kernel(window, rounds), ANCHORS)
+def frequent_names(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """Misra-Gries: all names of more than this share of the stretches, and perhaps others, 1 / support at most."""
+    found = rows.freqItems(["name"], support).first()
+    names = [(n,) for n in (found[0] or []) if n is not None] if found else []
+    return rows.sparkSession.createDataFrame(names, "name long")
+
+
+def marked_by_window(rows: DataFrame) -> DataFrame:
+    """Stretches with covered (an equal one is elsewhere) and publish (others of the anchor differ); names that aren't frequent."""
     group = W.partitionBy("name")
     order, whole = group.orderBy("span"), group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before, after = F.lag("span").over(order), F.lead("span").over(order)
     same_before = F.coalesce(before == F.col("span"), F.lit(False))
     covered = same_before | F.coalesce(after == F.col("span"), F.lit(False))
     several = F.min("span").over(whole) != F.max("span").over(whole)
-    marks = rows.select("name", "doc", "tag", "s", "n", covered.alias("covered"), ((~same_before & several) | (F.col("moves") & ~covered)).alias("publish"))
+    return rows.select("name", "doc", "tag", "s", "n", covered.alias("covered"), ((~same_before & several) | (F.col("moves") & ~covered)).alias("publish"))
+
+
+def marked_by_join(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """The same for frequent names: counts with a map-side combine, and a join that the planner may split."""
+    place = F.struct("doc", "tag", "s")
+    kinds = ws.table(rows.groupBy("name", "span").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")), "kinds")
+    several = kinds.groupBy("name").agg((F.min("span") != F.max("span")).alias("several"))  # a row for each frequent name
+    joined = rows.join(kinds, ["name", "span"]).join(F.broadcast(several), "name")
+    covered = F.col("c") > 1
+    return joined.select("name", "doc", "tag", "s", "n", covered.alias("covered"), (((place == F.col("first")) & F.col("several")) | (F.col("moves") & ~covered)).alias("publish"))
+
+
+def repeated_ranges(docs: DataFrame, ws: Workspace, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, tag, ranges): window starts s..s+n-1 that start elsewhere too. docs: doc, tag, text."""
+    rows = ws.table(docs.mapInArrow(anchor_kernel(window, rounds), ANCHORS), "stretches")
+    hot = frequent_names(rows)
+    marks = marked_by_window(rows.join(F.broadcast(hot), "name", "left_anti"))
+    marks = marks.unionByName(marked_by_join(rows.join(F.broadcast(hot), "name", "left_semi"), ws))
     marks = ws.table(marks.filter("covered or publish"), "marks")
+    ws.drop(rows)
     lists = marks.filter("publish").groupBy("doc", "tag").agg(F.collect_list(F.struct("name", "s", "n", "covered")).alias("list"))
     published = docs.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "list")
     windows = ws.table(published.mapInArrow(window_kernel(window), "name long, hash long, doc long, tag int, s long, wanted boolean"), "windows")
