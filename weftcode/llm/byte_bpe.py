@@ -275,18 +275,26 @@ def codec_of(vocab: str) -> Codec:
     return Codec(vocab)
 
 
-def encode(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (binary, little-endian unsigned 32-bit), offsets (binary, unsigned 64-bit)."""
+def encode(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False) -> DataFrame:
+    """id, ids (binary, little-endian unsigned 32-bit), offsets (binary, unsigned 64-bit).
+
+    With round_trip also decoded (binary): what the decoder makes of the ids in the same worker.
+    """
     vocab = vocab or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    schema = "id long, ids binary, offsets binary" + ", decoded binary" * round_trip
 
     def kernel(batches):
         codec = codec_of(vocab)
-        for b in few(batches):
+        for b in few(batches, 128):
             ids = codec.encode(b.column(1).to_pylist())
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array(map(codec.offsets, ids), pa.binary())], names=["id", "ids", "offsets"])
+            offsets = list(map(codec.offsets, ids))
+            columns = [b.column(0), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())]
+            if round_trip:
+                columns.append(pa.array(map(codec.decode, ids, offsets), pa.binary()))
+            yield pa.record_batch(columns, names=["id", "ids", "offsets", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(kernel, "id long, ids binary, offsets binary")
+    return rows.mapInArrow(kernel, schema)
 
 
 def decode(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
@@ -303,7 +311,7 @@ def decode(encoded: DataFrame, vocab: str | None = None) -> DataFrame:
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    out = decode(encode(load(spark, sf_dir, "documents")))
+    out = encode(load(spark, sf_dir, "documents"), round_trip=True)
     return out.select(
         F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
