@@ -77,9 +77,8 @@ def filter_frequency(image: np.ndarray, dft: np.ndarray) -> np.ndarray:
     """Multiply in the frequency domain; the filter covers the image at least, the result is cropped."""
     if dft.shape[0] < image.shape[0] or dft.shape[1] < image.shape[1]:
         raise ValueError("the filter is smaller than the image")
-    if image.ndim == 3:
-        return np.stack([filter_frequency(image[..., c], dft) for c in range(image.shape[2])], -1)
-    out = np.fft.ifft2(np.fft.fft2(image, dft.shape) * dft).real
+    gain = dft.reshape(dft.shape + (1,) * (image.ndim - 2))
+    out = np.fft.ifft2(np.fft.fft2(image, dft.shape, axes=(0, 1)) * gain, axes=(0, 1)).real
     return out[: image.shape[0], : image.shape[1]]
 
 

@@ -59,6 +59,15 @@ def matrix_batch(m: np.ndarray, item=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))
 
 
+def sliced(batches, at: list[int], most: int = 1 << 22):
+    """Slices of Arrow batches with at most so many components, so that what a kernel makes of one stays small."""
+    for b in batches:
+        size = max([1, *(len(b.column(i).flatten()) // max(1, b.num_rows) for i in at)])
+        step = max(1, most // size)
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
 def apply_rows(df: DataFrame, ins: list[str], outs: list[str], fn: Callable[..., tuple]) -> DataFrame:
     """Add array columns ``outs``: fn gets a matrix per input column and returns a matrix per output."""
     at = [df.columns.index(c) for c in ins]
@@ -67,7 +76,7 @@ def apply_rows(df: DataFrame, ins: list[str], outs: list[str], fn: Callable[...,
     fields = [df.schema.fields[i] for i in kept] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in outs]
 
     def kernel(batches):
-        for b in batches:
+        for b in sliced(batches, at):
             if b.num_rows:
                 got = fn(*(batch_matrix(b.column(i)) for i in at))
                 got = got if isinstance(got, tuple) else (got,)
@@ -86,7 +95,7 @@ def sum_matrices(df: DataFrame, ins: list[str], fn: Callable[..., dict[str, np.n
 
     def kernel(batches):
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches, list(range(len(ins)))):
             if b.num_rows:
                 for k, m in fn(*(batch_matrix(b.column(i)) for i in range(len(ins)))).items():
                     m = np.atleast_2d(np.asarray(m, np.float64))

@@ -44,15 +44,13 @@ def ssim(df: DataFrame, height: int, width: int, target: str = "x", recon: str =
     c1, c2 = (0.01 * magnitude) ** 2, (0.03 * magnitude) ** 2
     edge = min(5, (height - 1) // 2, (width - 1) // 2)
 
-    def one(x, y):
+    def fn(x, y):
+        x, y = (i.T.reshape(height, width, -1) for i in (x, y))
         mean = lambda i: filter_spatial(i, taps)
         ux, uy = mean(x), mean(y)
         vx, vy, cov = mean(x * x) - ux * ux, mean(y * y) - uy * uy, mean(x * y) - ux * uy
         s = (2 * ux * uy + c1) * (2 * cov + c2) / ((ux * ux + uy * uy + c1) * (vx + vy + c2))
-        return s[edge : height - edge, edge : width - edge].mean()
-
-    def fn(x, y):
-        return np.array([[one(a.reshape(height, width), b.reshape(height, width))] for a, b in zip(x, y)]).reshape(-1, 1)
+        return s[edge : height - edge, edge : width - edge].mean((0, 1))[:, None]
 
     return apply_rows(df, [target, recon], ["__s"], fn).withColumn(out, F.get("__s", F.lit(0))).drop("__s")
 
@@ -164,13 +162,19 @@ def rotational_average(image: DataFrame, bins: int, v: str = "v", h: str = "h",
     return with_bins(keys, bins).join(means, [*by, "bin"], "left").select(*by, "bin", (F.col("bin") * F.lit(float(top) / bins)).alias("left"), "mean")
 
 
-def adjacent_pairs(image: DataFrame) -> DataFrame:
-    """(id, x, y) of all pairs of 8-neighbours, in both directions: each pixel meets its shifted neighbours in an equi-join."""
+def adjacent_pairs(df: DataFrame, height: int, width: int, col: str = "x") -> DataFrame:
+    """(id, x, y) of all pairs of 8-neighbours, in both directions, out of each image's own array."""
     moves = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
     shifts = F.array(*(F.struct(F.lit(a).alias("dv"), F.lit(b).alias("dh")) for a, b in moves))
-    moved = image.select("id", "v", "h", F.col("x"), F.explode(shifts).alias("m"))
-    moved = moved.select("id", (F.col("v") + F.col("m.dv")).alias("v"), (F.col("h") + F.col("m.dh")).alias("h"), "x")
-    return moved.join(image.select("id", "v", "h", F.col("x").alias("y")), ["id", "v", "h"]).select("id", "x", "y")
+
+    def of(i):
+        v, h = (i / width).cast("int"), i % width
+        inside = lambda m: (v + m["dv"]).between(0, height - 1) & (h + m["dh"]).between(0, width - 1)
+        pair = lambda m: F.struct(F.get(col, i).alias("x"), F.get(col, i + m["dv"] * width + m["dh"]).alias("y"))
+        return F.transform(F.filter(shifts, inside), pair)
+
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), of))
+    return df.select("id", F.explode(pairs).alias("p")).select("id", "p.x", "p.y")
 
 
 def safe_log10(df: DataFrame, col: str = "x", out: str = "log") -> DataFrame:

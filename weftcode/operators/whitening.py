@@ -63,14 +63,16 @@ def unwhiten_zca(df: DataFrame, model: ZCA, col: str = "x", scalar_mean: bool =
 
 
 def per_image(df: DataFrame, height: int, width: int, fn, col: str = "x", outs: list[str] | None = None) -> DataFrame:
-    """Apply fn to each image as a (height, width) or (height, width, c) array; it returns one image per output."""
+    """Apply fn to all images of a batch at once, as a (height, width, planes) array; it returns one such array per output.
+
+    A plane is a channel of an image; fn treats planes independently.
+    """
 
     def rows(x):
-        images = x.reshape(len(x), height, width, -1)
-        images = images[..., 0] if images.shape[-1] == 1 else images
-        got = [fn(i) for i in images]
-        got = [g if isinstance(g, tuple) else (g,) for g in got]
-        return tuple(np.stack([g[k].ravel() for g in got]) for k in range(len(got[0])))
+        planes = x.reshape(len(x), height, width, -1).transpose(1, 2, 0, 3)
+        got = fn(planes.reshape(height, width, -1))
+        got = got if isinstance(got, tuple) else (got,)
+        return tuple(g.reshape(planes.shape).transpose(2, 0, 1, 3).reshape(x.shape) for g in got)
 
     return apply_rows(df, [col], outs or [col], rows)
 
@@ -118,4 +120,4 @@ def local_luminance(df: DataFrame, height: int, width: int, sigma: int, col: str
 
 def power_spectrum(df: DataFrame, height: int, width: int, col: str = "x") -> DataFrame:
     """|FFT|^2 of each image, zero frequency in the middle."""
-    return per_image(df, height, width, lambda i: np.fft.fftshift(np.abs(np.fft.fft2(i)) ** 2), col)
+    return per_image(df, height, width, lambda i: np.fft.fftshift(np.abs(np.fft.fft2(i, axes=(0, 1))) ** 2, axes=(0, 1)), col)

@@ -589,12 +589,12 @@ _ADJACENT = (", adj AS (SELECT a.x AS x, b.x AS y FROM img a JOIN img b ON a.id
 
 @query(_ADJACENT + f"SELECT bx, \"by\", {R('density')} AS density FROM jd")
 def joint_density(spark, sf_dir):
-    return metrics.joint_density(metrics.adjacent_pairs(image(spark, sf_dir)), 30).withColumn("density", rounded("density"))
+    return metrics.joint_density(metrics.adjacent_pairs(embedded(spark, sf_dir), SIDE, SIDE), 30).withColumn("density", rounded("density"))
 
 
 @query(_ADJACENT + f"SELECT bx, \"by\", {R('(ln(density) - min(ln(density)) OVER ()) / (max(ln(density)) OVER () - min(ln(density)) OVER ())')} AS level FROM jd")
 def log_density(spark, sf_dir):
-    joint = metrics.joint_density(metrics.adjacent_pairs(image(spark, sf_dir)), 30)
+    joint = metrics.joint_density(metrics.adjacent_pairs(embedded(spark, sf_dir), SIDE, SIDE), 30)
     return metrics.log_rescale(joint).select("bx", "by", rounded("level").alias("level"))
 
 
