@@ -6,6 +6,8 @@ Results are long tables of integers, strings and numbers rounded to ``DIGITS``.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +20,20 @@ from ..operators import inference, jpeg, learning, metrics, patches, whitening
 DIGITS = 6
 SIDE = 8
 N = SIDE * SIDE
+#: Columns that are 64-bit integers in every result.
+INDICES = {"i", "j", "k", "s", "v", "h", "tv", "th", "pos"}
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def typed(spark, sf_dir):
+            out = fn(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("long") for c, kind in out.dtypes if c in INDICES and kind == "int"})
+
+        QUERIES[fn.__name__] = typed
         if sql is not None:
             ORACLES[fn.__name__] = "WITH RECURSIVE " + BASE + sql
         return fn
@@ -132,14 +141,14 @@ def channel_first(spark, sf_dir):
     return to_long(patches.as_vectors(patches.as_image(embedded(spark, sf_dir), 8, 2), ("c", "v", "h")))
 
 
-@query("SELECT label, count(*) AS n, sum(vec_id) AS ids FROM embeddings WHERE vec_id NOT IN (SELECT n_nationkey FROM nation) GROUP BY label")
+@query("SELECT label, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings WHERE vec_id NOT IN (SELECT n_nationkey FROM nation) GROUP BY label")
 def exclude_vectors(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
     kept = patches.exclude(df, table(spark, sf_dir, "nation").select("n_nationkey"))
     return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
-@query("SELECT b AS batch_id, count(*) AS n, sum(c_custkey) AS keys FROM (SELECT c_custkey, "
+@query("SELECT b AS batch_id, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM (SELECT c_custkey, "
        "(row_number() OVER (ORDER BY md5(c_custkey || '-1'), c_custkey) - 1) // 64 AS b FROM customer) GROUP BY b")
 def minibatches(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
@@ -396,7 +405,7 @@ def padding_dims(spark, sf_dir):
     return spark.createDataFrame(rows, "image int, kernel int, stride int, lead int, trail int, code int")
 
 
-@query("SELECT v, h, CASE WHEN v < 2 OR v >= 9 OR h < 1 THEN 0.0 ELSE 1.0 END AS inside FROM range(10) AS a(v), range(9) AS b(h)")
+@query("SELECT v, h, CASE WHEN v < 2 OR v >= 9 OR h < 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS inside FROM range(10) AS a(v), range(9) AS b(h)")
 def padding_mask(spark, sf_dir):
     m = small(spark, inference.mask_of(10, 9, ((2, 1), (1, 0))), "v", "h", "inside")
     return m.select(F.col("v").cast("long").alias("v"), F.col("h").cast("long").alias("h"), "inside")
