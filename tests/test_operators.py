@@ -346,7 +346,9 @@ def test_metrics(spark):
     for r in joint:
         table[r.bx, r["by"]] = r.density
     assert np.allclose(table, np.histogram2d(X[:, 0], X[:, 1], 4, density=True)[0])
-    assert metrics.contour_levels(1.0, 3)[0] == pytest.approx(np.exp(-4.5))
+    levels = metrics.contour_levels(0.25, 0.9, 5)
+    assert np.allclose([levels[0], levels[-1]], [0.25, 0.9]) and (np.diff(levels, 2) > 0).all()
+    assert (np.diff(metrics.contour_levels(0.25, 0.9, 5, True), 2) < 0).all()
     grouped = metrics.grouped_layout(spark, [[0, 1], [2]], 8, 8).collect()
     assert [(r.element, r.top, r.left) for r in grouped] == [(0, 2, 2), (1, 2, 12), (2, 12, 2)]
 
@@ -355,6 +357,7 @@ def test_walks_stay_on_the_sphere():
     walk = unit_sphere_walk(np.ones(5), 0.1, 30, True)
     assert np.allclose(np.linalg.norm(walk, axis=1), 1) and np.allclose((walk[1:] * walk[:-1]).sum(1), np.cos(0.1))
     assert np.allclose(walk[20] @ walk[0], np.cos(2.0))
+    assert len(walk) == 30 and np.allclose(unit_sphere_walk([1, 0], np.pi / 2, 2, True, other=[1, 3])[1], [0, 1])
     loose = unit_sphere_walk(np.ones(5), 0.1, 30)
     assert np.allclose((loose[1:] * loose[:-1]).sum(1), np.cos(0.1))
 

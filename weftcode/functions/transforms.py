@@ -39,15 +39,20 @@ def inverse_zigzag(a: np.ndarray, height: int, width: int) -> np.ndarray:
     return out
 
 
-def unit_sphere_walk(start: np.ndarray, angle: float, steps: int, great_circle: bool = False, seed: int = 0) -> np.ndarray:
-    """Points after rotations by the angle: in one random plane through the start, or in a new one each step."""
+def unit_sphere_walk(start: np.ndarray, angle: float, count: int, great_circle: bool = False, other: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    """count points, a row each, the start first: each is the one before, turned by the angle.
+
+    The turn is in a new random plane each time, or always in one: that of the start and ``other``, or a random one.
+    """
+    if other is not None and not great_circle:
+        raise ValueError("another vector defines a great circle")
     rng = np.random.default_rng(seed)
     x = np.asarray(start, np.float64) / np.linalg.norm(start)
     out, towards = [x], None
-    for _ in range(steps):
+    for _ in range(count - 1):
         if towards is None or not great_circle:
-            towards = rng.normal(size=x.shape)
-            towards -= (towards @ x) * x
+            towards = rng.normal(size=x.shape) if other is None else np.asarray(other, np.float64)
+            towards = towards - (towards @ x) * x
             towards /= np.linalg.norm(towards)
         x, towards = np.cos(angle) * x + np.sin(angle) * towards, np.cos(angle) * towards - np.sin(angle) * x
         out.append(x)

@@ -146,9 +146,13 @@ def log_rescale(density: DataFrame, col: str = "density", out: str = "level") ->
     return density.withColumn(out, F.coalesce((v - F.lit(lo)) / F.lit(hi - lo), F.lit(0.0)))
 
 
-def contour_levels(peak: float, count: int) -> list[float]:
-    """Levels at equal steps of a gaussian's radius, rising, below the peak."""
-    return [float(peak * np.exp(-0.5 * r * r)) for r in np.linspace(3.0, 0.0, count + 1)[:-1]]
+def contour_levels(low: float, high: float, count: int, log_density: bool = False) -> list[float]:
+    """Rising levels from low to high whose steps follow the root of geometric ones (of equal ones for log densities)."""
+    if count < 2:
+        raise ValueError("two levels at least")
+    share = np.arange(count) / (count - 1)
+    root = np.sqrt(1 + share) if log_density else 2.0 ** (share / 2)
+    return (low + (high - low) * (root - root[0]) / (root[-1] - root[0])).tolist()
 
 
 def rotational_average(image: DataFrame, bins: int, v: str = "v", h: str = "h", col: str = "x", by: list[str] | None = None, highest: float | None = None) -> DataFrame:
