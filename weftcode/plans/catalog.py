@@ -197,7 +197,7 @@ def low_pass_grid(spark, sf_dir):
 @query("SELECT v, h, " + R("greatest(f / max(f) OVER (), 1e-5)") + " AS g FROM (SELECT v, h, sqrt(pow((CASE WHEN v < 4 THEN v ELSE v - 8 END) / 8.0, 2) + "
        "pow((CASE WHEN h < 4 THEN h ELSE h - 8 END) / 8.0, 2)) AS f FROM range(8) AS a(v), range(8) AS b(h))")
 def whitening_ramp(spark, sf_dir):
-    return small(spark, filters.whitening_ramp((8, 8)), "v", "h", "g").select(F.col("v").cast("long").alias("v"), F.col("h").cast("long").alias("h"), "g")
+    return small(spark, filters.whitening_ramp((8, 8)), "v", "h", "g")
 
 
 _MIRROR = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} > 7 THEN 15 - ({0}) ELSE {0} END"
@@ -246,8 +246,7 @@ def whiten_center_surround(spark, sf_dir):
 
 @query(f"SELECT a.i, b.i AS j, {R('avg(a.x * b.x) - avg(a.x) * avg(b.x)')} AS c FROM long a JOIN long b USING (id) GROUP BY a.i, b.i")
 def covariance(spark, sf_dir):
-    out = small(spark, whitening.covariance(embedded(spark, sf_dir))[0], "i", "j", "c")
-    return out.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "c")
+    return small(spark, whitening.covariance(embedded(spark, sf_dir))[0], "i", "j", "c")
 
 
 def _quarters(spark, sf_dir):
@@ -407,8 +406,7 @@ def padding_dims(spark, sf_dir):
 
 @query("SELECT v, h, CASE WHEN v < 2 OR v >= 9 OR h < 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS inside FROM range(10) AS a(v), range(9) AS b(h)")
 def padding_mask(spark, sf_dir):
-    m = small(spark, inference.mask_of(10, 9, ((2, 1), (1, 0))), "v", "h", "inside")
-    return m.select(F.col("v").cast("long").alias("v"), F.col("h").cast("long").alias("h"), "inside")
+    return small(spark, inference.mask_of(10, 9, ((2, 1), (1, 0))), "v", "h", "inside")
 
 
 # learning
@@ -424,13 +422,9 @@ def _one_step_stats(spark, sf_dir):
     return learning.code_stats(inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, 1, step=_FRAME_STEP))
 
 
-def _wide(df: DataFrame, *ints: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in ints})
-
-
 @query(_CODES + _GRADIENT + f"d AS (SELECT s, i, w - 2.0 * g AS v FROM grad JOIN frame USING (s, i)) SELECT s, i, {R('v / sqrt(sum(v * v) OVER (PARTITION BY s))')} AS value FROM d")
 def sc_gradient_step(spark, sf_dir):
-    return _wide(small(spark, learning.steepest(dct_frame(N), _one_step_stats(spark, sf_dir), 2.0), "s", "i", "value"), "s", "i")
+    return small(spark, learning.steepest(dct_frame(N), _one_step_stats(spark, sf_dir), 2.0), "s", "i", "value")
 
 
 @query(_CODES + _GRADIENT + "hes AS (SELECT s, avg(c * c) / 100 AS e FROM one GROUP BY s), d AS (SELECT s, i, w - 0.01 * g / (e + 0.001) AS v FROM grad JOIN frame USING (s, i) JOIN hes USING (s)) "
@@ -438,7 +432,7 @@ def sc_gradient_step(spark, sf_dir):
 def cheap_quadratic_step(spark, sf_dir):
     stats = _one_step_stats(spark, sf_dir)
     hessian = learning.hessian_update(np.zeros(2 * N), stats.energy)
-    return _wide(small(spark, learning.cheap_quadratic(dct_frame(N), stats, hessian, 0.01), "s", "i", "value"), "s", "i")
+    return small(spark, learning.cheap_quadratic(dct_frame(N), stats, hessian, 0.01), "s", "i", "value")
 
 
 @query(_CODES + f"hes AS (SELECT s, avg(c * c) AS e FROM one GROUP BY s) SELECT s, {R('0.99 * 0.5 + e / 100', 8)} AS hessian FROM hes")
@@ -452,7 +446,7 @@ def hessian_ema(spark, sf_dir):
        f"SELECT s, i, {R('d.w + 0.1 * u.v')} AS value FROM (SELECT cs.k AS s, i, sum(v * w) AS v FROM cs JOIN dct ON cs.l = dct.k GROUP BY cs.k, i) u JOIN (SELECT k AS s, i, w FROM dct) d USING (s, i)")
 def ica_step(spark, sf_dir):
     df = embedded(spark, sf_dir)
-    return _wide(small(spark, learning.train_ica(lambda t: df, 1, dct(N), 0.1), "s", "i", "value"), "s", "i")
+    return small(spark, learning.train_ica(lambda t: df, 1, dct(N), 0.1), "s", "i", "value")
 
 
 @query()
@@ -504,7 +498,7 @@ def checkpoint_latest(spark, sf_dir):
     for t in (0, 5, 20):
         datasets.save_checkpoint(spark, path, t, dct_frame(N) * t)
     last, d = datasets.newest_checkpoint(spark, path)
-    return _wide(small(spark, d, "s", "i", "value").withColumn("iteration", F.lit(last)), "s", "i")
+    return small(spark, d, "s", "i", "value").withColumn("iteration", F.lit(last))
 
 
 @query("SELECT t AS iteration, CASE WHEN t >= 60 THEN 0.01 WHEN t >= 10 THEN 0.05 ELSE 0.1 END::DOUBLE AS value FROM range(100) AS r(t)")
