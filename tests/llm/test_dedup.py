@@ -108,6 +108,18 @@ def test_line_index_is_incremental_and_reversible(spark):
     assert {(r.doc, r.k1, r.k2) for r in back.drops().collect()} == {(r.doc, r.k1, r.k2) for r in one.drops().collect()}
 
 
+@pytest.mark.parametrize("stored, more", [(200, 10), (55746, 55746), (57538, 57538)])
+def test_second_insert_meets_filters_of_any_size(spark, stored, more):
+    """Sizes whose bytes are not ASCII; half of the keys that come are known, and the last two filters grow."""
+    lines = [f"line number {i} of many" for i in range(stored)]
+    again = lines[: more // 2] + [f"another line {i} here" for i in range(more - more // 2)]
+    one = line_dedup.LineIndex(spark, shards=1).insert(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
+    two = one.insert(spark.createDataFrame([(2, "\n".join(again))], "doc_id long, text string"))
+    got, want = state(two), line_counts([(1, "\n".join(lines)), (2, "\n".join(again))])
+    assert two.counts.count() == len(want) and not sum(got.get(k) != v for k, v in want.items())
+    assert fingerprints(two) == len(want)
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
     f = line_dedup.CuckooFilter(4000)

@@ -209,6 +209,14 @@ def filter_kernel(batches):
         yield last()
 
 
+def little_endian(column: str, at: int):
+    """The 8-byte number at this place (from 1) of a binary column, as a double.
+
+    Byte by byte: Spark's reverse() takes binary for text and turns its characters round.
+    """
+    return F.conv(F.concat(*(F.hex(F.substring(column, k, 1)) for k in range(at + 7, at - 1, -1))), 16, 10).cast("double")
+
+
 class LineIndex:
     """See the module's text. Each change makes a new version; older ones stay readable."""
 
@@ -244,7 +252,7 @@ class LineIndex:
         none = F.lit(None)
         if self.version:
             header = self.filters.join(incoming, "shard", "full")
-            room = F.expr(f"conv(hex(reverse(substr(blob, 1, 8))), 16, 10) * {SLOTS * MAX_LOAD} - conv(hex(reverse(substr(blob, 9, 8))), 16, 10)")
+            room = little_endian("blob", 1) * F.lit(SLOTS * MAX_LOAD) - little_endian("blob", 9)
             growing = header.filter(F.col("blob").isNotNull() & (room < F.col("incoming"))).select("shard") if kind == ADDED else None
         else:
             header, growing = incoming.withColumn("blob", none.cast("binary")), None
@@ -268,7 +276,8 @@ class LineIndex:
         added = new.groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner"))
         out = self._write(self._through_filters(self._write(added, "added"), ADDED), "filtered")
         keyed = out.filter(F.col("blob").isNull()).drop("blob")
-        counts = keyed.filter(~F.col("known")).select("shard", "k1", "k2", "docs", "owner")
+        # of the first version all keys are new, also those that look like earlier ones of their own batch
+        counts = (keyed.filter(~F.col("known")) if self.version else keyed).select("shard", "k1", "k2", "docs", "owner")
         if self.version:
             key = ["shard", "k1", "k2"]
             known = keyed.filter("known").select(*key, F.col("docs").alias("d"), F.col("owner").alias("o"))
