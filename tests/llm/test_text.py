@@ -72,6 +72,14 @@ def test_chunks_encode_like_whole_texts():
         assert ids == np.array(encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32).tobytes(), text
 
 
+def test_capitals_are_composed_before_they_are_folded():
+    encoder = packing.ChunkEncoder(WORDS)
+    pairs = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"]
+    texts = [*pairs, *(f"Before {x}ab. {x}! A\u0301{x} \u00c9T\u00c9 END" for x in pairs)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids == np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes(), text
+
+
 @given(st.integers(1, 10**6))
 def test_pieces_are_powers_of_two(n):
     lengths = packing.piece_lengths(n)

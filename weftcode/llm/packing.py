@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -40,6 +41,9 @@ MARK = b"\x01"
 #: ASCII marks that end a word's piece: all but the apostrophe, which may begin a contraction.
 MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
+#: An ASCII capital before a character that NFC may join to it. Small and capital letters do not compose alike (J and U+030C, H and U+0331).
+COMPOSABLE = re.compile(rb"[A-Z][\x80-\xff]")
+
 
 class ChunkEncoder:
     """Texts to ids (little-endian unsigned 32-bit bytes), chunk by chunk."""
@@ -128,9 +132,16 @@ def joined_values(known: dict[bytes, bytes], rows, learn) -> list[bytes]:
 
 
 def chunks_of(text: str | None) -> list[bytes]:
-    """White-space delimited chunks; in lower case, as the tokenizer will have them, unless a special token may be there."""
+    """White-space delimited chunks; in lower case, as the tokenizer will have them, unless a special token may be there.
+
+    A chunk with a capital that may be composed with what follows keeps its case: the tokenizer composes first.
+    """
     data = (text or "").encode()
-    return data.split() if b"<|" in data else data.lower().split()
+    if b"<|" in data:
+        return data.split()
+    if COMPOSABLE.search(data) is None:
+        return data.lower().split()
+    return [c if COMPOSABLE.search(c) else c.lower() for c in data.split()]
 
 
 def is_latin_word(text: str) -> bool:
