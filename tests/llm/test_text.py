@@ -263,6 +263,27 @@ def test_damaged_archives_are_salvaged(compressed):
     assert [type(x) for x in warc.salvage(b"nothing here")] == [warc.Gap]
 
 
+def numbers(found):
+    return [x.headers["warc-record-id"][12:-1] for x in found if isinstance(x, warc.Record)]
+
+
+def test_members_of_several_records_are_salvaged():
+    parts = [warc.record(i, f"http://x/{i}", random.Random(i).randbytes(30_000)) for i in range(6)]
+    bad = [*parts]
+    bad[2] = bad[2][:-40] + b"?" + bad[2][-39:]
+    whole, after = warc.member(b"".join(parts)), warc.member(warc.record(9, "http://x/9", b"last"))
+    assert numbers(warc.salvage(whole + after)) == ["0", "1", "2", "3", "4", "5", "9"]
+    out = list(warc.salvage(warc.member(b"".join(bad)) + after))
+    assert numbers(out) == ["0", "1", "3", "4", "5", "9"] and len(out) == 7
+    cut = whole[: len(whole) * 7 // 12]
+    for data, last in ((cut, []), (cut + after, ["9"])):
+        out = list(warc.salvage(data))
+        assert numbers(out) == ["0", "1", "2", *last] and any(isinstance(x, warc.Gap) for x in out)
+    hurt = bytearray(whole)
+    hurt[-6] ^= 1  # the checksum at its end: all records have digests of their own
+    assert numbers(warc.salvage(bytes(hurt) + after)) == ["0", "1", "2", "3", "4", "5", "9"]
+
+
 def test_long_records_end_in_a_zero():
     assert warc.member(b"x" * (1 << 24))[-1] == 0 and zlib.decompressobj(31).decompress(warc.member(b"abc")) == b"abc"
 

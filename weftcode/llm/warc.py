@@ -10,7 +10,8 @@ the map side; of equal ones the smallest id is the response, the others revisit
 Reading. A record must have a version line, a length that fits, its end mark
 and digests that agree; a member must decompress and its checksum agree. If not, the reader looks for the next
 gzip member or version line from which a record can be read, goes on there and logs the
-bytes between as a gap. It reads compressed and plain archives.
+bytes between as a gap. It does the same inside a member's content, and of a member that is cut off or damaged
+it keeps the records before that (of a damaged one, those whose digests agree). It reads compressed and plain archives.
 
 Defined results: a null payload is empty. A null URL is written as the record's own
 name. Rows that repeat an id: with equal payloads each is a response (or each a
@@ -135,55 +136,89 @@ def check(headers: dict, name: str, data: bytes) -> None:
         raise Damaged(f"{name} differs")
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at this place."""
+CUT = "the member is cut off"
+
+
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content, end and problem of the gzip member at this place; if it has a problem, what comes before that."""
     d, out, pos = zlib.decompressobj(31), [], at
     view = memoryview(data)
     while not d.eof:
         part = view[pos : pos + (1 << 16)]
         if not part:
-            raise Damaged("the member is cut off")
+            return b"".join(out), pos, CUT
         try:
             out.append(d.decompress(part))
         except zlib.error as x:
-            raise Damaged(f"the member is damaged ({x})") from None
+            return b"".join(prefix(view[at:], pos - at)), pos, f"the member is damaged ({x})"
         pos += len(part)
-    return b"".join(out), pos - len(d.unused_data)
+    return b"".join(out), pos - len(d.unused_data), ""
 
 
-def records_at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """Records that begin here: one if plain, those of the member if compressed (an empty one has none)."""
-    if data[at : at + 3] == b"\x1f\x8b\x08":
-        content, end = inflate(data, at)
-        out, pos = [], 0
-        while pos < len(content):
-            headers, block, pos = parse_record(content, pos)
-            out.append(Record(at, end, headers, block))
-        return out, end
-    headers, block, end = parse_record(data, at)
-    return [Record(at, end, headers, block)], end
+def prefix(view: memoryview, good: int):
+    """What a damaged member gives up to its damage, which lies after so many bytes that can be read."""
+    d = zlib.decompressobj(31)
+    yield from (d.decompress(view[k : min(k + (1 << 16), good)]) for k in range(0, good, 1 << 16))
+    for k in range(good, len(view)):
+        try:
+            yield d.decompress(view[k : k + 1])
+        except zlib.error:
+            return
 
 
 STARTS = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
+VERSIONS = re.compile(rb"WARC/\d\.\d\r\n")
+
+
+def records_at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """What begins here, its end and its problem: a plain record, or what a member holds (an empty one: nothing).
+
+    Records of a member, and gaps between them, have the member's place in the file. Of a
+    damaged member only those records count that have a block digest, which agrees.
+    """
+    if data[at : at + 3] != b"\x1f\x8b\x08":
+        headers, block, end = parse_record(data, at)
+        return [Record(at, end, headers, block)], end, ""
+    content, end, problem = inflate(data, at)
+    found = list(salvage(content, plain=True))
+    if problem:
+        found = [x for x in found if isinstance(x, Record) and (problem == CUT or "warc-block-digest" in x.headers)]
+        if not found:
+            raise Damaged(problem)
+    out: list[Record | Gap] = []
+    for x in found:
+        if isinstance(x, Record):
+            out.append(Record(at, end, x.headers, x.block))
+        else:
+            out.append(Gap(at, end, f"{x.reason} (bytes {x.start} to {x.end} of the member's content)"))
+    return out, end, problem
 
 
-def salvage(data: bytes):
-    """Yield each Record that can be read and a Gap for each stretch of bytes that can't."""
+def salvage(data: bytes, plain: bool = False):
+    """Yield each Record that can be read and a Gap for each stretch of bytes that can't; plain: no members are looked for."""
     at = 0
     while at < len(data):
         try:
-            found, end = records_at(data, at)
+            if plain:
+                headers, block, end = parse_record(data, at)
+                found, reason = [Record(at, end, headers, block)], ""
+            else:
+                found, end, reason = records_at(data, at)
             yield from found
-            at = end
-            continue
+            if not reason:
+                at = end
+                continue
         except Damaged as x:
             reason = str(x)
         start, after = at, len(data)
-        for m in STARTS.finditer(data, at + 1):
+        for m in (VERSIONS if plain else STARTS).finditer(data, at + 1):
             try:
-                if records_at(data, m.start())[0]:
-                    after = m.start()
-                    break
+                if plain:
+                    parse_record(data, m.start())
+                elif not any(isinstance(x, Record) for x in records_at(data, m.start())[0]):
+                    continue
+                after = m.start()
+                break
             except Damaged:
                 continue
         yield Gap(start, after, reason)
