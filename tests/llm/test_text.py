@@ -284,6 +284,16 @@ def test_members_of_several_records_are_salvaged():
     assert numbers(warc.salvage(bytes(hurt) + after)) == ["0", "1", "2", "3", "4", "5", "9"]
 
 
+def test_long_urls_are_read_back(spark, tmp_path, monkeypatch):
+    pages = [(1, "data:," + "x" * 70_000, "<p>same</p>"), (2, " " * 30_000 + "u", "<p>same</p>"), (3, "u3", "<p>3</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.op8_warc(spark, str(tmp_path)).collect()}
+    assert got == {(1, "response", None), (2, "revisit", 1), (3, "response", None)}
+    monkeypatch.setattr(warc, "member", lambda data: b"not a member\0")
+    with pytest.raises(Exception, match="no version line"):
+        warc.op8_warc(spark, str(tmp_path)).collect()
+
+
 def test_long_records_end_in_a_zero():
     assert warc.member(b"x" * (1 << 24))[-1] == 0 and zlib.decompressobj(31).decompress(warc.member(b"abc")) == b"abc"
 
