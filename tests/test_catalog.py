@@ -28,6 +28,12 @@ def test_query_without_sql_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_the_whole_rate_distortion_sweep_is_run(spark):
+    rows = catalog.QUERIES["huffman_rate"](spark, DATA).orderBy("multiplier").collect()
+    assert [r.multiplier for r in rows] == [0.05, 0.1, 0.2, 0.5, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert all(a.bits_per_component > b.bits_per_component and a.mse < b.mse for a, b in zip(rows, rows[1:]))
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 

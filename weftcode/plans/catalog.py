@@ -696,7 +696,8 @@ def bitstream(spark, sf_dir):
 
 @query()
 def huffman_rate(spark, sf_dir):
-    return jpeg.rate_distortion(embedded(spark, sf_dir, 255.0), [0.5, 1.0, 2.0, 4.0])
+    multipliers = [0.05, 0.1, 0.2, 0.5, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    return jpeg.rate_distortion(embedded(spark, sf_dir, 255.0), multipliers)
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:
