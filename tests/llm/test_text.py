@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import messy
 from weftcode.llm import byte_bpe, license_scan, near_dedup, packing, quality_model, quality_rules, warc
@@ -187,6 +188,14 @@ def test_rules_of_rows(spark):
     assert quality_rules.host_rules(messy.frame(spark, True)).count() == 0
 
 
+def test_a_long_text_has_no_false_repeats(spark):
+    """So many windows that some of their hashes agree in the bits beside the position."""
+    n = 2_100_000
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(4_500_000), F.lit(4_500_000 + n - 1)), lambda i: F.hex(i.cast("long"))))
+    rows = spark.range(1).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("h").alias("source"))
+    assert [(r.n_words, r.n_repeat_words) for r in quality_rules.measure(rows).collect()] == [(n, 0)]
+
+
 def test_bad_hosts_lose_all_and_small_hosts_are_shrunk(spark):
     good, bad = " ".join(f"w{i}" for i in range(80)), "short"
     rows = [(i, good if i % 20 else bad, "fine") for i in range(200)] + [(1000 + i, bad if i % 20 else good, "spam") for i in range(200)]

@@ -9,8 +9,8 @@ planner broadcasts that side if it is small and splits skewed partitions if not.
 
 Repeated three-word windows are found by sorting packed longs: the upper bits are
 the window's 64-bit hash without its lowest b bits and the lower b bits its
-position, b = bits of the position. Two different windows of a text would be
-mistaken for equal only if 64 - b hash bits agree.
+position, b = bits of the position. Those whose 64 - b hash bits agree with another's are then
+compared as texts, so the count is exact.
 
 Defined results: a null text has no words and fails the rules. A null
 host is a host of its own. Rows that repeat an id are measured one by one.
@@ -59,7 +59,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         "case when n_words < 4 then cast(array() as array<bigint>) else sort_array(transform(sequence(0, cast(n_words as int) - 3),"
         " i -> shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), b) | i)) end"
     )
-    base = base.withColumn("k", packed).drop("w")
+    base = base.withColumn("k", packed)
     # positions, sorted by hash, whose neighbour has the same hash
     twice = F.expr(
         "case when n_words < 4 then cast(array() as array<int>) else filter(sequence(0, size(k) - 1), j ->"
@@ -69,6 +69,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     base = base.withColumn("twice", twice)
     at = "transform(twice, j -> k[j] & (shiftleft(1L, b) - 1))"
     base = base.withColumn("at", F.expr(at)).drop("k", "twice")
+    # of these few, the windows themselves: words hold no spaces
+    base = base.withColumn("g", F.expr("sort_array(transform(at, i -> struct(concat_ws(' ', w[cast(i as int)], w[cast(i as int) + 1], w[cast(i as int) + 2]) as t, i as p)))")).drop("w", "at")
+    same = F.expr(
+        "case when size(g) < 2 then cast(array() as array<int>) else filter(sequence(0, size(g) - 1), j ->"
+        " (j > 0 and g[j].t = g[greatest(j - 1, 0)].t) or (j < size(g) - 1 and g[j].t = g[least(j + 1, size(g) - 1)].t)) end"
+    )
+    base = base.withColumn("same", same)
+    base = base.withColumn("at", F.expr("transform(same, j -> g[j].p)")).drop("g", "same")
     covered = F.expr("cast(size(array_distinct(concat(at, transform(at, p -> p + 1), transform(at, p -> p + 2)))) as bigint)")
     return base.select("id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
 
