@@ -332,6 +332,12 @@ def test_maintenance(spark):
 # metrics
 
 
+def test_similar_rows_are_all_pairs(spark):
+    x = RNG.normal(size=(100, 8))
+    got = sorted((r.a, r.b, round(r.cosine, 9)) for r in learning.similar_rows(frame(spark, x), 0.2, block=16).collect())
+    assert got == [(a, b, round(c, 9)) for a, b, c in learning.similar_pairs(x, 0.2)]
+
+
 def test_metrics(spark):
     df = apply_rows(frame(spark), ["x"], ["recon"], lambda x: x + 0.1)
     want = 10 * np.log10((X.max(1) - X.min(1)) ** 2 / 0.01)

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.vectors import sum_matrices
 from . import inference
@@ -227,6 +229,29 @@ def similar_pairs(d: np.ndarray, limit: float, groups: list[list[int]] | None =
     return [(a, b, float(cos[a, b])) for g in groups for k, a in enumerate(g) for b in g[k + 1 :] if abs(cos[a, b]) > limit]
 
 
+def similar_rows(df: DataFrame, limit: float, block: int = 512, id_col: str = "id", col: str = "x") -> DataFrame:
+    """(a, b, cosine) with a < b of all rows whose cosine is above the limit; blocks of rows meet in tasks."""
+    blocks = max(1, -(-df.count() // block))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("x"))
+    held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("k")).agg(F.collect_list(F.struct("id", "x")).alias("rows"))
+    left, right = (held.select(F.col("k").alias(f"k{s}"), F.col("rows.id").alias(f"id{s}"), F.col("rows.x").alias(f"x{s}")) for s in "ab")
+    pairs = left.crossJoin(right).filter("ka <= kb").repartition(blocks * (blocks + 1) // 2)
+
+    def kernel(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, others = np.array(r["ida"]), np.array(r["idb"])
+                cos = unit_rows(np.array(r["xa"])) @ unit_rows(np.array(r["xb"])).T
+                hit = cos > limit
+                if r["ka"] == r["kb"]:
+                    hit &= ids[:, None] < others[None, :]
+                i, j = np.nonzero(hit)
+                a, b = np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j])
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(cos[i, j])], names=["a", "b", "cosine"])
+
+    return pairs.mapInArrow(kernel, "a long, b long, cosine double")
+
+
 def one_of_each(pairs, rng: np.random.Generator) -> list[int]:
     """A random member of each pair of which neither is chosen yet."""
     out: list[int] = []

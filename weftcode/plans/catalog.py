@@ -473,6 +473,12 @@ def cosine_pairs(spark, sf_dir):
     return spark.createDataFrame([(rows[a].id, rows[b].id, c) for a, b, c in pairs], "a long, b long, cosine double").withColumn("cosine", rounded("cosine"))
 
 
+@query(f", u AS (SELECT id, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS u FROM vec), "
+       f"p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON a.id < b.id) SELECT a, b, {R('c')} AS cosine FROM p WHERE c > 0.2")
+def cosine_pairs_of_all(spark, sf_dir):
+    return learning.similar_rows(embedded(spark, sf_dir), 0.2).withColumn("cosine", rounded("cosine"))
+
+
 @query(f"SELECT id, {R('sqrt(sum(x * x))')} AS norm FROM long GROUP BY id")
 def element_norms(spark, sf_dir):
     return embedded(spark, sf_dir).select("id", rounded(F.sqrt(metrics.summed(F.transform("x", lambda v: v * v)))).alias("norm"))
