@@ -2,8 +2,10 @@
 
 Intermediate tables are written as Parquet below the folder that the session
 names in ``spark.checkpoint.dir``, so every executor sees them and a lost
-executor costs only a re-read. Where the setting is absent (tests) a folder of
-our own is made.
+executor costs only a re-read. Where the setting is absent a local session (tests)
+gets a folder of our own, and a cluster an error: its executors share no local folder.
+
+Results are read from such tables as they are used, so the tables stay until ``release`` deletes them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +22,12 @@ SPACES = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression.
 SPACES_RE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of text that a kernel treats at a time (one longer text is treated alone).
+JOINED = 1 << 18
+U = np.uint64
+
 _own_dir: str | None = None
+_roots: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="weftcode-shared-")
     return _own_dir
@@ -40,6 +50,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
         self._made = 0
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         self._made += 1
@@ -66,25 +77,49 @@ class Workspace:
             if not any(f.getPath().toString().endswith(k.rpartition("/")[2]) for k in kept):
                 self.delete(f.getPath().toString())
 
-    def clean(self) -> None:
-        self.delete(self.root)
-
     def delete(self, where: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, where)
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def release(spark: SparkSession) -> None:
+    """Delete all tables that operators have written so far; results that read them are gone after that."""
+    while _roots:
+        delete(spark, _roots.pop())
+
 
+def delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores if the input has fewer splits than there are; else df itself.
 
-    That is so for a small table in one file; a table of many splits is never exchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as it lies; one of no more bytes than a single split may have is dealt over all cores."""
+    where = f"{sf_dir}/{name}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    df = spark.read.parquet(where)
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= split else df
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads all bits."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+def joined(batch, text_at: int):
+    """Slices of an Arrow batch with about JOINED bytes of text each, and their texts as bytes."""
+    texts = batch.column(text_at)
+    begin, size, some = 0, 0, []
+    for i in range(batch.num_rows):
+        t = (texts[i].as_py() or "").encode()
+        some.append(t)
+        size += len(t)
+        if size >= JOINED or i + 1 == batch.num_rows:
+            yield batch.slice(begin, len(some)), some
+            begin, size, some = i + 1, 0, []
 
 
 def words_of(text):
