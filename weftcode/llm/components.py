@@ -1,8 +1,8 @@
 """Connected components by alternating stars.
 
 Each round is two aggregations and joins over the edges; edges end as stars whose
-centre is the smallest node of the component. A node with many edges is aggregated on the map side and
-its rows in the joins may be split, so no task gathers a component.
+centre is the smallest node of the component. A node with many edges is aggregated on the map side into a
+written table; in the join with that table its rows may be split, so no task gathers a component.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     now = ws.table(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = checksum(now)
     while True:
-        after = ws.table(small_star(large_star(now)), "stars")
+        large = ws.table(large_star(now, ws), "large-stars")
         ws.drop(now)
+        after = ws.table(small_star(large, ws), "stars")
+        ws.drop(large)
         new = checksum(after)
         now = after
         if new == mark:
@@ -28,16 +30,16 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, ws: Workspace) -> DataFrame:
     """Each node's larger neighbours move to the smallest of it and its neighbours."""
     both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("low"))
+    low = ws.table(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("low")), "low")
     return both.filter("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("low").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, ws: Workspace) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest neighbour."""
-    low = edges.groupBy("u").agg(F.min("v").alias("low"))
+    low = ws.table(edges.groupBy("u").agg(F.min("v").alias("low")), "low")
     moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v")
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
 
