@@ -8,8 +8,8 @@
    aggregation that combines on the map side.
 4. Rows of verified winners get their verdict from a broadcast of those at most
    ``1 / support`` rows, where they are read; all remaining rows go through an
-   ordinary aggregation and join on the digest, in which no key can hold more
-   than ``support`` of the rows.
+   ordinary aggregation, written, and a join with it on the digest, in which no key can
+   hold more than ``support`` of the rows and the planner may split those that hold many.
 
 Defined results: a null text counts as the empty text. Rows that repeat an id
 and a text share one verdict. A null id never beats another id; a group that
@@ -43,14 +43,15 @@ def frequent_digests(digests: DataFrame, support: float = SUPPORT) -> list[str]:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """One row per input row: id, digest, keep_id, group_size, kept."""
     spark = docs.sparkSession
-    digests = Workspace(spark).table(text_digests(docs, id_col, text_col), "digests")
+    ws = Workspace(spark)
+    digests = ws.table(text_digests(docs, id_col, text_col), "digests")
     frequent = frequent_digests(digests, support)
     verdict = [F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     candidates = spark.createDataFrame([(h,) for h in frequent], "h string").select(F.unhex("h").alias("digest"))
     winners = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(*verdict)
     heavy = digests.join(F.broadcast(winners), "digest")
     light = digests.join(F.broadcast(candidates), "digest", "left_anti")
-    light = light.join(light.groupBy("digest").agg(*verdict), "digest")
+    light = light.join(ws.table(light.groupBy("digest").agg(*verdict), "verdicts"), "digest")
     out = heavy.unionByName(light)
     return out.select("id", "digest", "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"))
 
