@@ -1,7 +1,9 @@
 """MinHash near-deduplication by an inverted join of signature coordinates.
 
-A text's set holds the 64-bit hashes of its distinct five-word shingles. Documents
-with equal sets are one class, named by its smallest id; all that follows works on classes.
+A text's set holds 128-bit digests of its distinct five-word shingles: each word's BLAKE2b digest, stirred
+into a state of 128 bits. Documents whose sets have equal 128-bit BLAKE2b digests are one class, named by its
+smallest id; all that follows works on classes. Signatures are made of one half of each digest, which can
+add candidates but lose none; links are confirmed on whole digests.
 
 1. A signature has 64 coordinates. Two sets of similarity 0.75 agree in 48 of them on
    average and in fewer than ``MATCHES`` = 28 with a probability of about 1e-8.
@@ -28,15 +30,16 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, load
+from .common import U, Workspace, joined, load, mix
 from .components import components
 from .packing import few
-from .substring_dedup import Sums, U, Words, joined, mix
 
 SHINGLE = 5
 COORDINATES, MATCHES = 64, 28
@@ -51,23 +54,49 @@ XORS = _rng.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
 FACTORS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
 
 
+def stirred(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """128-bit digests, as two rows, of the n words from each of these places; words are digests too (two rows)."""
+    x, y = np.full(len(at), n, U), np.zeros(len(at), U)
+    for k in range(n):
+        x = mix(x ^ words[0][at + k]) + y * U(0x9E3779B97F4A7C15)
+        y = mix(y + words[1][at + k]) ^ (x >> U(29)) ^ (x << U(35))
+    return np.array([x, y])
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text (given as UTF-8), A-Z lowered."""
-    words = Words([t.lower() for t in texts])
-    sums, out = Sums(words.hash), []
-    for a, b in zip(words.first.tolist(), words.last.tolist()):
-        if b - a >= SHINGLE:
-            at = np.arange(a, b - SHINGLE + 1)
-            out.append(np.unique(sums.of(at, at + SHINGLE)))
-        else:
-            out.append(sums.of(np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64))
-    return out
+    """Distinct shingle digests of each text (given as UTF-8), A-Z lowered: two rows, sorted by the first, then the second."""
+    split = [t.lower().split() for t in texts]
+    count = np.array([len(w) for w in split], np.int64)
+    found = pa.array([w for words in split for w in words], pa.binary()).dictionary_encode()
+    digests = b"".join([blake2b(w, digest_size=16).digest() for w in found.dictionary.to_pylist()])
+    words = np.frombuffer(digests, U).reshape(-1, 2).T[:, found.indices.to_numpy()]
+    first, sets = np.cumsum(count) - count, [np.zeros((2, 0), U)] * len(texts)
+    of = np.repeat(np.arange(len(texts)), np.maximum(count - SHINGLE + 1, 0))
+    at = np.arange(len(of)) - np.searchsorted(of, of) + first[of]
+    x, y = stirred(words, at, SHINGLE)
+    order = np.lexsort((y, x, of))
+    x, y, of = x[order], y[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (of[1:] != of[:-1])
+    x, y, of = x[new], y[new], of[new]
+    begin, end = (np.searchsorted(of, np.arange(len(texts)), side).tolist() for side in ("left", "right"))
+    for i, n in enumerate(count.tolist()):
+        if n >= SHINGLE:
+            sets[i] = np.array([x[begin[i] : end[i]], y[begin[i] : end[i]]])
+        elif n:
+            sets[i] = stirred(words, first[i : i + 1], n)
+    return sets
+
+
+def set_of(data: bytes) -> np.ndarray:
+    """The inverse of a set's tobytes()."""
+    return np.frombuffer(data, U).reshape(2, -1)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Row i: for each coordinate the least of the permuted hashes of set i (none is empty)."""
-    x = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
+    """Row i: for each coordinate the least of the permuted first halves of set i (none is empty)."""
+    x = np.concatenate([s[0] for s in sets])
+    starts = np.cumsum([0, *(s.shape[1] for s in sets[:-1])])
     out = np.empty((len(sets), COORDINATES), np.uint64)
     for j in range(COORDINATES):
         out[:, j] = np.minimum.reduceat((x ^ XORS[j]) * FACTORS[j], starts)
@@ -89,9 +118,9 @@ def set_kernel(batches):
     for b in batches:
         for part, texts in joined(b, 1):
             sets = shingle_sets(texts)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            n = np.array([len(s) for s in sets], np.int64)
-            f1, f2 = ([int(mix(s + U(k)).sum(dtype=np.uint64).view(np.int64)) for s in sets] for k in (1, 2))
+            n = np.array([s.shape[1] for s in sets], np.int64)
+            full = np.flatnonzero(n).tolist()
+            f1, f2 = np.frombuffer(b"".join([blake2b(s.tobytes(), digest_size=16).digest() for s in sets]), np.int64).reshape(-1, 2).T
             sig: list = [None] * len(sets)
             if full:
                 for i, s in zip(full, fixed(signatures([sets[i] for i in full])).to_pylist()):
@@ -160,18 +189,22 @@ def match_kernel(batches):
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 * intersection >= 75 * union, for sorted distinct arrays."""
-    if len(x) > len(y):
-        x, y = y, x
-    at = np.searchsorted(y, x)
-    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return 100 * both >= 75 * (len(x) + len(y) - both)
+    """100 * intersection >= 75 * union, for sets that aren't empty."""
+    n, m = x.shape[1], y.shape[1]
+    if n > m:
+        return linked(y, x)
+    if (y[0][1:] == y[0][:-1]).any():  # halves alone don't tell these apart
+        both = len(set(zip(*x.tolist())) & set(zip(*y.tolist())))
+    else:
+        at = np.minimum(np.searchsorted(y[0], x[0]), m - 1)
+        both = int(((y[0][at] == x[0]) & (y[1][at] == x[1])).sum())
+    return 100 * both >= 75 * (n + m - both)
 
 
 def confirm_kernel(batches):
     """(a, b, set a, set b) to the pairs that are links."""
     for b in few(batches, 256):
-        good = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        good = [linked(set_of(x), set_of(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         mask = pa.array(good, pa.bool_())
         yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
@@ -242,7 +275,7 @@ def block_kernel(batches):
                 rows = []
             now = group
             part = b.slice(at, to - at)
-            sets = [np.frombuffer(x, np.uint64) for x in part.column(9).to_pylist()]
+            sets = [set_of(x) for x in part.column(9).to_pylist()]
             rows.append([*(part.column(i).to_numpy() for i in (3, 4, 5, 6, 7)), matrix(part.column(8), np.uint8), sets])
     if rows:
         yield close()
@@ -299,7 +332,7 @@ class NearLinks:
         return self.ws.table(both.mapInArrow(confirm_kernel, "a long, b long").distinct(), "links")
 
     def viable(self, nodes: DataFrame, parts: DataFrame, full: DataFrame, short: DataFrame) -> DataFrame:
-        """(node, n, m, s, component): m shingles of a node are held in another component of these nodes too.
+        """(node, n, m, s, component): m shingles of a node are held in another component of these nodes too, by half of their digests.
 
         Its intersection with a node of another component has at most m elements, so a
         node with m < 0.75 n has no link that would join components.
@@ -307,7 +340,7 @@ class NearLinks:
 
         def kernel(batches):
             for b in few(batches, 256):
-                sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+                sets = [set_of(x)[0].view(np.int64) for x in b.column(1).to_pylist()]
                 each = [len(x) for x in sets]
                 columns = [pa.array(np.concatenate(sets)), *(pa.array(np.repeat(b.column(i).to_numpy(), each)) for i in (0, 2))]
                 yield pa.record_batch(columns, names=["h", "node", "component"])
