@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 
 import messy
+from pyspark.sql import functions as F
+from weftcode.llm.common import Workspace
 from weftcode.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -189,17 +191,52 @@ def test_near_dedup_of_dense_groups(spark, seed):
     assert near_got(spark.createDataFrame(rows, "doc_id long, text string")) == near_brute(rows)
 
 
-def test_small_blocks_compare_all(monkeypatch):
-    """Blocks of a cluster in one task: links that join components are found whatever the order."""
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 60, 100).astype(np.uint64)
-    sets = [np.unique(np.concatenate([base[:97], rng.integers(0, 1 << 60, 3).astype(np.uint64)])) for _ in range(6)]
+def random_sets(rng, base, own, many):
+    """Sets of digests that share base of their elements."""
+    digests = lambda n: rng.integers(0, 1 << 60, (2, n)).astype(np.uint64)
+    shared, out = digests(base), []
+    for _ in range(many):
+        x = np.concatenate([shared, digests(own)], axis=1)
+        out.append(x[:, np.lexsort((x[1], x[0]))])
+    return out
+
+
+@pytest.mark.parametrize("blocks", [[0] * 6, [0, 1, 0, 1, 1, 0]])
+def test_blocks_compare_all(blocks):
+    """One block with itself, and two blocks: links that join components are found whatever the order."""
+    sets = random_sets(np.random.default_rng(1), 97, 3, 6)
     sig = near_dedup.signatures(sets).astype(np.uint8)
-    n = np.array([len(s) for s in sets])
-    out = near_dedup.compare_blocks(np.zeros(6, int), np.arange(6), n, n, np.arange(6), sig, sets)
+    n = np.array([s.shape[1] for s in sets])
+    out = near_dedup.compare_blocks(np.array(blocks), np.arange(6), n, n, np.arange(6), sig, sets)
     assert out.num_rows == 5
 
 
+def test_links_are_confirmed_on_whole_digests():
+    """Sets that agree in one half of their digests only have nothing in common."""
+    (x,) = random_sets(np.random.default_rng(2), 40, 0, 1)
+    assert near_dedup.linked(x, x) and not near_dedup.linked(x, np.array([x[0], x[1] + np.uint64(1)]))
+    twins = np.array([np.repeat(x[0], 2), np.stack([x[1], x[1] + np.uint64(1)], 1).ravel()])
+    assert near_dedup.linked(twins, twins) and not near_dedup.linked(x, twins)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two strings that agree under any polynomial hash modulo 2 ** 64 (from 1,024 letters on)."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_weak_hashes_confuse_are_unlike(spark):
+    x, y = thue_morse(2048)
+    assert near_got(spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")) == Counter([(1, 1, 1, True), (2, 1, 2, True)])
+    side = [f"w{i}" for i in range(17)]
+    rows = [(i, " ".join([*side, w, *side])) for i, w in ((1, x), (2, y))]
+    assert near_got(spark.createDataFrame(rows, "doc_id long, text string")) == near_brute(rows)
+    assert substring_got(spark.createDataFrame(rows, "doc_id long, text string")) == substring_brute(rows)
+    # the same as sequences of words: long spans under one anchor
+    rows = [(i, " ".join(t) + " end") for i, t in ((1, x), (2, y))]
+    assert substring_got(spark.createDataFrame(rows, "doc_id long, text string")) == substring_brute(rows)
+
+
 # substrings
 
 
@@ -238,14 +275,24 @@ def test_substring_dedup_of_random_rows(spark, seed, window):
     assert substring_got(spark.createDataFrame(rows, "doc_id long, text string"), window=window) == substring_brute(rows, window)
 
 
-def test_equal_windows_have_equal_anchors():
-    rng = np.random.default_rng(5)
-    passage = b" ".join(b"%d" % v for v in rng.integers(0, 50, 35))
-    names = set()
-    for _ in range(20):
-        before, after = (b" ".join(b"%d" % v for v in rng.integers(0, 50, rng.integers(40, 60))) for _ in range(2))
-        words = substring_dedup.Words([before + b" " + passage + b" " + after])
-        name, at, n, _ = substring_dedup.anchors(words)
-        place = len(before.split())
-        names.add(name[(at <= place) & (place < at + n)].item())
-    assert len(names) == 1
+@pytest.mark.parametrize("size", [1, 200, 1 << 18])
+def test_slices_do_not_matter(spark, size):
+    """Texts of one slice, or of many, and copies far more than a frequent anchor's share."""
+    rnd = random.Random(size)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join(rnd.choices(["u", "v", f"o{i}"], k=40) + passage[i % 7 :] + [f"e{i}"])) for i in range(60)]
+    rows += [(100 + i, " ".join(passage + passage[::-1])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert substring_got(df, size=size) == substring_brute(rows)
+
+
+def test_names_are_global_and_exact(spark):
+    """Equal words have one name in all slices, and nothing else has it."""
+    rows = [(i, f"a b c d{i % 3} " * 12) for i in range(9)]
+    texts = spark.createDataFrame(rows, "row long, text string").repartition(4)
+    ws = Workspace(spark)
+    state = ws.table(texts.mapInArrow(substring_dedup.slice_kernel(35, 1), substring_dedup.SLICES), "slices")
+    keys = state.select("slice", F.posexplode("keys").alias("pos", "k")).select("slice", "pos", "k.word", "k.c")
+    lists, names = substring_dedup.named_keys(keys, ["word"], 0, ws)
+    assert lists.count() == 9 and names.count() == names.select("id").distinct().count() == 6
+    assert {bytes(r.word) for r in names.collect()} == {b"a", b"b", b"c", b"d0", b"d1", b"d2"}

@@ -1,191 +1,240 @@
 """Substring deduplication by recompression.
 
-Texts become sequences of word symbols. A round of recompression replaces each
-maximal run of one symbol by a name for (symbol, length), splits all symbols into
-left and right ones by a bit of their name, and replaces every pair (left, right) by
-a name for the pair. A name is the 64-bit hash of what it stands for, so all tasks
-give equal things equal names and a round needs no exchange. What a round does
-depends on neighbours only, so two occurrences of a passage get the same symbols
-except for a few at each end.
-
-For a window (35 words) the symbols that it determines by itself are found
-level by level: a round loses the run at each end, and then a right symbol at the left end
-or a left symbol at the right end, which might pair with something outside. The window's
-anchor is the longest symbol (then that of greatest name, then the leftmost) among those
-it determines at the highest level at which there are any; level 0 always has
-all its words. Equal windows have equal anchors, and consecutive windows mostly share one.
-
-1. Each stretch of windows with one anchor name is one row: anchor name, hash of the words
-   that the stretch spans, place. Rows meet by anchor name: in a window function, or, for names that
-   Misra-Gries counters find frequent, in an aggregation and a join that split.
-2. Stretches equal to another one are repeated as a whole. Where an anchor has
-   several different stretches (ends of passages, edited copies), or a stretch may repeat
-   within itself (runs), one of each publishes
-   its windows' hashes, and single ones learn which of their windows exist elsewhere.
-   Anchor name and hash together, over 120 bits, verify a repeat.
+Texts become sequences of globally named symbols, and Spark rounds rename them. Round 0 names words. Each
+later round groups every maximal run of one symbol, calls each run left or right by a bit of its symbol
+and length, and names every run longer than one and every pair of a left run and a right one after
+it. Names are given by a table over the whole corpus, from the exact key (symbol, length, symbol, length): two
+symbols have one name if and only if the same words stand below them. No hash stands for a name.
+
+What a round does depends on neighbours only, so two occurrences of a passage get the same symbols but
+for a few at each end. The symbols that a window (35 words) determines by itself are found level by
+level: a round loses the run at each end, and then a right run at the left end or a left run at the right end,
+which might pair with something outside. A window that determines a symbol which occurs once in the corpus
+can't be repeated: it is dead, and words that no live window covers leave the sequences. So rounds get small fast.
+Rounds go on until no live window determines a symbol, at most window / 2 times.
+
+A window's anchor is the longest symbol (then that of greatest name, then the leftmost) of those it determines
+at its highest level. Equal windows have equal anchors, and consecutive windows mostly share one.
+
+1. Each stretch of windows with one anchor is one row: anchor, digest of the word names that the stretch
+   spans, place. Rows meet by anchor: in a window function, or, for anchors that Misra-Gries counters
+   find frequent, in an aggregation and a join that split.
+2. Stretches equal to another one are repeated as a whole. Where an anchor has several different
+   stretches (ends of passages, edited copies), or a stretch may repeat within itself (runs), one of each
+   publishes its windows, and single ones learn which of their windows exist elsewhere.
+   What verifies a repeat is the 128-bit BLAKE2b digest of all words of the stretch, or of the window, under the same anchor.
 3. Words that a repeated window covers leave the text.
 
+Sequences live in slices of about ``SLICE`` words (a text is never cut, so one longer text is a slice by
+itself). A slice sends each distinct key once a round, with its count, and gets back names of those that occur twice
+or more: exchanges grow with distinct keys of a slice, a hot key has one row a slice, and no table of names is held in one place.
+
 Defined results: null counts as empty; texts of fewer words than a window lose
-nothing. Rows that repeat an id are told apart by their text; if that is equal too, each is
-a place where the other's windows also start. A null id is carried along. An empty
-table gives an empty result. Other columns stay, but for four names that are replaced.
+nothing. Rows that repeat an id are different places; each is one where the other's windows also start.
+A null id is carried along. An empty table gives an empty result. Other columns stay, but for three names that are replaced.
 """
 
 from __future__ import annotations
 
+import io
+from functools import reduce
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Workspace, load
+from .common import U, Workspace, joined, load, mix
 from .packing import few
 
 WINDOW = 35
-ROUNDS = 3
 #: Share of the stretches from which an anchor's name is frequent.
 SUPPORT = 0.005
-#: Bytes of text that a kernel treats at a time (one longer text is treated alone).
-JOINED = 1 << 18
-
-U = np.uint64
-BASE = U(0x9E3779B97F4A7C15 | 1)
-INVERSE = U(pow(int(BASE), -1, 1 << 64))
-BYTE_VALUES = np.random.default_rng(35).integers(1, 1 << 64, 256, dtype=np.uint64)
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Words of a slice, but for a longer text.
+SLICE = 1 << 18
+#: Names of a level start here; below, partitions times rows of its table of names count up.
+LEVEL = 1 << 52
 
+SLICES = "slice long, state binary, keys array<struct<word: binary, c: long>>"
+STRETCH = "name: long, h1: long, h2: long, row: long, s: long, n: long, moves: boolean"
+STATE = f"slice long, state binary, live long, keys array<struct<a: long, b: long, l: long, c: long>>, stretches array<struct<{STRETCH}>>"
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads all bits."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
 
+def packed(*arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    for x in arrays:
+        np.save(out, x)
+    data = out.getvalue()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
-class Powers:
-    """Powers of BASE and of its inverse modulo 2**64, as many as were needed so far."""
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+def unpacked(blob: bytes):
+    data = io.BytesIO(pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+    while data.tell() < len(data.getbuffer()):
+        yield np.load(data)
 
-    def need(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, base in (("up", BASE), ("down", INVERSE)):
-                steps = np.full(2 * n, base)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """A sorted array as differences, which compress well; np.cumsum undoes it."""
+    return np.diff(x, prepend=0).astype(np.int32 if not len(x) or x[-1] < 1 << 31 else np.int64)
 
-POWERS = Powers()
 
+def after(mask: np.ndarray) -> np.ndarray:
+    """For each place, how many kept ones precede it."""
+    return np.concatenate(([0], np.cumsum(mask)))
 
-class Sums:
-    """Hashes of any stretch of a sequence from its prefix sums."""
 
-    def __init__(self, values: np.ndarray):
-        POWERS.need(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * POWERS.up[: len(values)], out=self.sums[1:])
+def any_in(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    count = after(mask)
+    return count[hi] > count[lo]
 
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * POWERS.down[a])
 
+def in_any(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Mask of the n places that are in one of these ranges."""
+    return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] > 0
 
-class Words:
-    """Word hashes of several texts: hash, first[i] and last[i] of text i."""
 
-    def __init__(self, texts: list[bytes]):
-        data = b" ".join(texts) + b" "
-        x = np.frombuffer(data, np.uint8)
-        space = IS_SPACE[x]
-        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        if not space[0]:
-            edge = np.concatenate(([0], edge))
-        starts, stops = edge[0::2], edge[1::2]
-        self.hash = Sums(BYTE_VALUES[x]).of(starts, stops)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.last = np.searchsorted(starts, ends)
-        self.first = np.concatenate(([0], self.last[:-1])) if len(texts) else self.last
-        self.text = np.repeat(np.arange(len(texts)), self.last - self.first)
+def distinct_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct rows of equally long columns, which of them each row is, and their counts."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = reduce(np.logical_or, (x[order][1:] != x[order][:-1] for x in columns))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return [x[order][new] for x in columns], which, np.bincount(which, minlength=int(new.sum()))
 
 
-def anchors(words: Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first window, number of windows, moves) of each stretch of windows with one anchor name.
+class Sequences:
+    """A slice: its live words, the symbols that live windows determine, and these windows.
 
-    As long as the anchor stays where it is, windows of a stretch differ, since each has it at
-    another offset. If it moves (a run, a period), windows of one stretch may be equal.
+    ``words`` index ``names`` (global names of words). Segment k of them begins at ``seg[k]``, which is
+    word ``seg_at[k]`` of row ``seg_row[k]``. A symbol covers ``size`` words from ``start``; a
+    window begins at word ``p`` and determines the symbols ``lo`` to ``hi`` - 1. Symbols
+    not named yet are -1 - k for the k-th key that the slice sent.
     """
-    n = len(words.hash)
-    w = np.arange(max(0, n - window + 1))
-    w = w[words.text[w] == words.text[w + window - 1]] if n >= window else w[:0]
-    name = np.zeros(len(w), np.uint64)
-    place = np.zeros(len(w), np.int64)
-    symbol, text, start = words.hash, words.text, np.arange(n)
-    live, lo, hi = np.arange(len(w)), w, w + window
-    for level in range(rounds + 1):
-        if not len(live):
-            break
-        span = np.diff(np.append(start, n))
-        rank = (np.minimum(span, 63).astype(np.uint64) << U(58)) | (symbol >> U(6))
-        if level == rounds:
-            done, keep = slice(None), None
-        else:
-            symbol2, text2, start2, lo2, hi2 = next_round(level, symbol, text, start, lo, hi)
-            keep = lo2 < hi2
-            done = ~keep
-        best = range_best(rank, lo[done], hi[done])
-        name[live[done]] = rank[best]
-        place[live[done]] = start[best] * 8 + level
-        if keep is None:
-            break
-        live, lo, hi, symbol, text, start = live[keep], lo2[keep], hi2[keep], symbol2, text2, start2
-    if not len(w):
-        return name, w, w, w > 0
-    new = np.ones(len(w), bool)
-    new[1:] = (name[1:] != name[:-1]) | (w[1:] != w[:-1] + 1)
-    at = np.flatnonzero(new)
-    moved = np.zeros(len(w), bool)
-    moved[1:] = (place[1:] != place[:-1]) & ~new[1:]
-    return name[at], w[at], np.diff(np.append(at, len(w))), np.logical_or.reduceat(moved, at)
-
-
-def next_round(level: int, symbol, text, start, lo, hi):
-    """One round for all texts, and the range of its symbols that each window determines."""
-    n = len(symbol)
-    new = np.ones(n, bool)
-    new[1:] = (symbol[1:] != symbol[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(new)
-    run_of = np.cumsum(new) - 1
-    length = np.diff(np.append(at, n))
-    run, run_text = symbol[at], text[at]
-    many = length > 1
-    run[many] = mix(run[many] * U(0xD6E8FEB86659FD93) + length[many].astype(np.uint64))
-    right = (mix(run ^ U(0xA5A5A5A5 + 77 * level)) >> U(63)).astype(bool)
-    paired = np.zeros(len(run), bool)
-    paired[:-1] = ~right[:-1] & right[1:] & (run_text[:-1] == run_text[1:])
-    head = np.ones(len(run), bool)
-    head[1:] = ~paired[:-1]
-    of = np.cumsum(head) - 1
-    pair = np.flatnonzero(paired)
-    out = run.copy()
-    out[pair] = mix(mix(run[pair] + U(0x632BE59BD9B4E019)) + run[pair + 1])
-    first, last = run_of[lo] + 1, run_of[hi - 1] - 1  # runs at the ends may go on outside
-    top = len(run) - 1
-    first = first + (right[np.minimum(first, top)] & (first <= last))
-    last = last - (~right[np.maximum(last, 0)] & (first <= last))
-    some = first <= last
-    lo2 = np.where(some, of[np.minimum(first, top)], 0)
-    hi2 = np.where(some, of[np.maximum(last, 0)] + 1, 0)
-    return out[head], run_text[head], start[at][head], lo2, hi2
+
+    FIELDS = ("names", "words", "seg", "seg_row", "seg_at", "sym", "start", "size", "p", "lo", "hi")
+    SORTED = ("seg", "start", "p", "lo", "hi")
+
+    def __init__(self, window: int, **fields):
+        self.window = window
+        self.__dict__.update(fields)
+
+    @classmethod
+    def of_texts(cls, window: int, rows: np.ndarray, counts: np.ndarray, words: np.ndarray, names: np.ndarray) -> Sequences:
+        first = np.cumsum(counts) - counts
+        p = np.arange(len(words))
+        p = p[p + window <= np.repeat(first + counts, counts)]
+        return cls(
+            window, names=names, words=words, seg=first, seg_row=rows, seg_at=np.zeros(len(rows), np.int64),
+            sym=names[words], start=np.arange(len(words)), size=np.ones(len(words), np.int64), p=p, lo=p, hi=p + window,
+        )
+
+    @classmethod
+    def loaded(cls, window: int, blob: bytes, ids: np.ndarray) -> Sequences:
+        fields = {k: np.cumsum(x) if k in cls.SORTED else x for k, x in zip(cls.FIELDS, unpacked(blob))}
+        sym = fields["sym"]
+        fields["sym"] = np.where(sym < 0, ids[np.maximum(-1 - sym, 0)] if len(ids) else 0, sym)
+        return cls(window, **fields)
+
+    def saved(self) -> bytes:
+        narrow = {"words": np.min_scalar_type(max(len(self.names), 1)), "size": np.int32, "seg_at": np.int64}
+        fields = ((k, getattr(self, k)) for k in self.FIELDS)
+        return packed(*(steps(x) if k in self.SORTED else x.astype(narrow.get(k, np.int64)) for k, x in fields))
+
+    def pick(self, live: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+        """Only these windows, the words they cover, the symbols they determine, and what others say of these."""
+        p, lo, hi = self.p[live], self.lo[live], self.hi[live]
+        keep = in_any(len(self.words), p, p + self.window)
+        begins = keep.copy()
+        begins[1:] &= ~keep[:-1]
+        begins[self.seg] |= keep[self.seg]
+        at, place = np.flatnonzero(begins), after(keep)
+        of = np.searchsorted(self.seg, at, "right") - 1
+        self.seg_row, self.seg_at, self.seg = self.seg_row[of], self.seg_at[of] + at - self.seg[of], place[at]
+        used, words = np.unique(self.words[keep], return_inverse=True)
+        self.names, self.words = self.names[used], words
+        mine = in_any(len(self.sym), lo, hi)
+        self.sym, self.size, self.start = self.sym[mine], self.size[mine], place[self.start[mine]]
+        new = after(mine)
+        self.p, self.lo, self.hi = place[p], new[lo], new[hi]
+        return [x[mine] for x in others]
+
+    def round(self, level: int) -> tuple[list, list]:
+        """One round: stretches of windows whose highest level this is, and the keys that the others wait for."""
+        self.pick(~any_in(self.sym == 0, self.lo, self.hi))
+        n = len(self.sym)
+        if not n:
+            return [], []
+        begins = np.zeros(len(self.words), bool)
+        begins[self.seg] = True
+        follows = np.zeros(n, bool)
+        follows[1:] = (self.start[:-1] + self.size[:-1] == self.start[1:]) & ~begins[self.start[1:]]
+        new = ~follows
+        new[1:] |= self.sym[1:] != self.sym[:-1]
+        at = np.flatnonzero(new)
+        run_of, length, run = np.cumsum(new) - 1, np.diff(np.append(at, n)), self.sym[at]
+        right = (mix(mix(run.astype(U) + U(level)) + length.astype(U)) >> U(63)).astype(bool)
+        paired = np.zeros(len(run), bool)
+        paired[:-1] = ~right[:-1] & right[1:] & follows[at[1:]]
+        head = np.ones(len(run), bool)
+        head[1:] = ~paired[:-1]
+        of = np.cumsum(head) - 1
+        first, last = run_of[self.lo] + 1, run_of[self.hi - 1] - 1  # runs at the ends may go on outside
+        top = len(run) - 1
+        first = first + (right[np.minimum(first, top)] & (first <= last))
+        last = last - (~right[np.maximum(last, 0)] & (first <= last))
+        some = first <= last
+        stretches = self.stretches(np.flatnonzero(~some), begins)
+        size = self.size[at] * length
+        second = np.append(np.flatnonzero(paired) + 1, 0)[:-1]
+        other, other_length, both = np.zeros((3, len(run)), np.int64)
+        other[paired], other_length[paired], both[paired] = run[second], length[second], size[second]
+        self.sym, self.start, self.size = run[head], self.start[at][head], (size + both)[head]
+        self.lo = np.where(some, of[np.minimum(first, top)], 0)
+        self.hi = np.where(some, of[np.maximum(last, 0)] + 1, 0)
+        named = (paired | (length > 1))[head]
+        named, a, b, l = self.pick(some, named, run[head], other[head], (length << 32 | other_length)[head])
+        keys, which, count = distinct_rows([a[named], b[named], l[named]])
+        self.sym[named] = -1 - which
+        return stretches, [*keys, count]
+
+    def stretches(self, done: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+        """Columns of the stretches of these windows (see the module's text)."""
+        if not len(done):
+            return []
+        p = self.p[done]
+        distinct, which = np.unique(self.sym, return_inverse=True)
+        sizes = np.zeros(len(distinct), np.int64)
+        sizes[which] = self.size
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.lexsort((distinct, sizes))] = np.arange(len(distinct))
+        best = range_best(rank[which], self.lo[done], self.hi[done])
+        name, place = self.sym[best], self.start[best]
+        new = np.ones(len(p), bool)
+        new[1:] = (name[1:] != name[:-1]) | (p[1:] != p[:-1] + 1) | begins[p[1:]]
+        at = np.flatnonzero(new)
+        moved = np.zeros(len(p), bool)
+        moved[1:] = (place[1:] != place[:-1]) & ~new[1:]
+        n, p = np.diff(np.append(at, len(p))), p[at]
+        of = np.searchsorted(self.seg, p, "right") - 1
+        data = memoryview(self.names[self.words].tobytes())
+        digests = digests_of(data, 8 * p, 8 * (p + n + self.window - 1))
+        return [name[at], *digests, self.seg_row[of], self.seg_at[of] + p - self.seg[of], n, np.logical_or.reduceat(moved, at)]
+
+
+def digests_of(data, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of these stretches of bytes, as two rows of longs."""
+    out = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
+    return np.frombuffer(out, np.int64).reshape(-1, 2).T
 
 
 def range_best(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Index of the greatest rank in each range, the leftmost of equals."""
-    if not len(lo):
-        return lo
     size = hi - lo
     power = np.log2(size).astype(np.int64)
     out = np.empty(len(lo), np.int64)
@@ -203,60 +252,117 @@ def range_best(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def joined(batch, text_at: int):
-    """Slices of an Arrow batch with about JOINED bytes of text each, and their texts as bytes."""
-    texts = batch.column(text_at)
-    begin, size, some = 0, 0, []
-    for i in range(batch.num_rows):
-        t = (texts[i].as_py() or "").encode()
-        some.append(t)
-        size += len(t)
-        if size >= JOINED or i + 1 == batch.num_rows:
-            yield batch.slice(begin, len(some)), some
-            begin, size, some = i + 1, 0, []
+def slice_kernel(window: int, size: int):
+    """(row, text) to slices of texts that have a window."""
 
+    def one(number, rows, counts, words):
+        local = pa.array(words, pa.binary()).dictionary_encode()
+        index = local.indices.to_numpy()
+        keys = pa.StructArray.from_arrays([local.dictionary, pa.array(np.bincount(index, minlength=len(local.dictionary)))], ["word", "c"])
+        state = packed(np.array(rows, np.int64), np.array(counts, np.int64), index.astype(np.min_scalar_type(max(len(keys), 1))))
+        columns = [pa.array([number], pa.int64()), pa.array([state], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
+        return pa.record_batch(columns, names=["slice", "state", "keys"])
 
-ANCHORS = "name long, span long, doc long, tag int, s long, n int, moves boolean"
+    def kernel(batches):
+        number, rows, counts, words = TaskContext.get().partitionId() << 33, [], [], []
+        for b in few(batches, 256):
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = (text or "").encode().split()
+                if len(found) < window:
+                    continue
+                if words and len(words) + len(found) > size:
+                    yield one(number, rows, counts, words)
+                    number, rows, counts, words = number + 1, [], [], []
+                rows.append(row)
+                counts.append(len(found))
+                words += found
+        if words:
+            yield one(number, rows, counts, words)
 
+    return kernel
+
+
+def round_kernel(window: int, level: int):
+    """(slice, state, named) to the next state; named holds (place of a key, its name)."""
+    schema = pa.schema(
+        [
+            ("slice", pa.int64()), ("state", pa.binary()), ("live", pa.int64()),
+            ("keys", pa.list_(pa.struct([(k, pa.int64()) for k in "abl"] + [("c", pa.int64())]))),
+            ("stretches", pa.list_(pa.struct([(k, pa.int64()) for k in ("name", "h1", "h2", "row", "s", "n")] + [("moves", pa.bool_())]))),
+        ]
+    )
+
+    def listed(columns, kind):
+        fields = list(kind.value_type)
+        arrays = [pa.array(x, f.type) for x, f in zip(columns, fields)] if columns else [pa.array([], f.type) for f in fields]
+        return pa.ListArray.from_arrays(pa.array([0, len(arrays[0])], pa.int32()), pa.StructArray.from_arrays(arrays, fields=fields))
+
+    def names_of(cell, n: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        if cell.is_valid:
+            out[cell.values.field(0).to_numpy()] = cell.values.field(1).to_numpy()
+        return out
 
-def anchor_kernel(window: int, rounds: int):
     def kernel(batches):
-        for b in batches:
-            for part, texts in joined(b, 2):
-                words = Words(texts)
-                name, at, n, moves = anchors(words, window, rounds)
-                span = Sums(words.hash).of(at, at + n + window - 1) if len(at) else name
-                text = words.text[at]
-                docs, tags = part.column(0).to_numpy()[text], part.column(1).to_numpy()[text]
-                yield pa.record_batch(
-                    [pa.array(x) for x in (name.view(np.int64), span.view(np.int64), docs, tags.astype(np.int32), at - words.first[text], n.astype(np.int32), moves)],
-                    names=["name", "span", "doc", "tag", "s", "n", "moves"],
-                )
+        for b in few(batches, 1):
+            blob, given, n = b.column(1)[0].as_py(), b.column(2)[0], b.column(3)[0].as_py()
+            ids = names_of(given, n)
+            seq = Sequences.of_texts(window, *unpacked(blob), ids) if level == 0 else Sequences.loaded(window, blob, ids)
+            stretches, keys = seq.round(level)
+            live = len(seq.p)
+            state = pa.array([seq.saved() if live else None], pa.binary())
+            yield pa.record_batch([b.column(0), state, pa.array([live]), listed(keys, schema.field(3).type), listed(stretches, schema.field(4).type)], schema=schema)
 
     return kernel
 
 
+def named_keys(keys: DataFrame, columns: list[str], level: int, ws: Workspace) -> DataFrame:
+    """(slice, named, sent): the names of each slice's keys that occur twice or more in the corpus.
+
+    keys: slice, pos, the key's columns, c. Names are written before anything reads them, so a task that is
+    repeated can't give others.
+    """
+    often = keys.groupBy(*columns).agg(F.sum("c").alias("c")).filter("c >= 2").select(*columns)
+    names = ws.table(often.withColumn("id", F.monotonically_increasing_id() + F.lit(level * LEVEL + 1)), "names")
+    found = keys.join(names, columns).select("slice", "pos", "id")
+    return found.groupBy("slice").agg(F.collect_list(F.struct("pos", "id")).alias("named")), names
+
+
+def stretches_of(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> DataFrame:
+    """All rounds: the stretches (name, h1, h2, row, s, n, moves) of live windows. texts: row, text."""
+    state = ws.table(texts.mapInArrow(slice_kernel(window, size), SLICES), "slices")
+    columns, level, out = ["word"], 0, []
+    while True:
+        keys = state.select("slice", F.posexplode("keys").alias("pos", "k")).select("slice", "pos", *(f"k.{c}" for c in columns), "k.c")
+        lists, names = named_keys(keys, columns, level, ws)
+        rows = state.select("slice", "state", F.size("keys").alias("sent")).join(lists, "slice", "left")
+        rows = rows.filter("state is not null").select("slice", "state", "named", "sent")
+        after_round = ws.table(rows.mapInArrow(round_kernel(window, level), STATE), f"round-{level}")
+        out.append(ws.table(after_round.select(F.inline("stretches")), "stretches"))
+        live = after_round.agg(F.sum("live")).first()[0]
+        ws.drop(state, names)
+        state, columns, level = after_round, ["a", "b", "l"], level + 1
+        if not live:
+            ws.drop(state)
+            return reduce(DataFrame.unionByName, out)
+
+
 def window_kernel(window: int):
+    """(row, text, list of stretches) to the windows of these stretches, by digests of their words."""
+
     def kernel(batches):
         for b in batches:
-            for part, texts in joined(b, 2):
-                words = Words(texts)
-                sums = Sums(words.hash)
-                lists = part.column(3).combine_chunks() if isinstance(part.column(3), pa.ChunkedArray) else part.column(3)
-                per = np.diff(np.asarray(lists.offsets))
-                flat = lists.flatten()
-                name, s, n, covered = (np.asarray(flat.field(k).to_numpy(zero_copy_only=False)) for k in ("name", "s", "n", "covered"))
-                text = np.repeat(np.arange(len(texts)), per)
-                each = np.repeat(np.arange(len(n)), n)
-                at = s[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                a = at + words.first[text[each]]
-                hashes = sums.of(a, a + window) if len(a) else np.zeros(0, np.uint64)
-                docs, tags = part.column(0).to_numpy(), part.column(1).to_numpy()
-                row = text[each]
-                yield pa.record_batch(
-                    [pa.array(x) for x in (name[each], hashes.view(np.int64), docs[row], tags[row].astype(np.int32), at, ~covered[each].astype(bool))],
-                    names=["name", "hash", "doc", "tag", "s", "wanted"],
-                )
+            for part, texts in joined(b, 1):
+                for i, text in enumerate(texts):
+                    words = text.split()
+                    data = memoryview(b" ".join(words))
+                    place = np.concatenate(([0], np.cumsum(np.array([len(x) + 1 for x in words]))))
+                    name, s, n, covered = (part.column(2)[i].values.field(k).to_numpy(zero_copy_only=False) for k in ("name", "s", "n", "covered"))
+                    each = np.repeat(np.arange(len(n)), n)
+                    at = s[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    h1, h2 = digests_of(data, place[at], place[at + window] - 1)
+                    columns = (name[each], h1, h2, np.repeat(part.column(0)[i : i + 1].to_numpy(), len(at)), at, ~covered[each])
+                    yield pa.record_batch([pa.array(x) for x in columns], names=["name", "h1", "h2", "row", "s", "wanted"])
 
     return kernel
 
@@ -265,14 +371,13 @@ def removal_kernel(window: int, text_at: int, ranges_at: int, names: list[str]):
     def kernel(batches):
         for b in few(batches, 256):
             texts, total, removed = [], [], []
-            for text, ranges in zip(b.column(text_at).to_pylist(), b.column(ranges_at).to_pylist()):
+            for text, ranges in zip(b.column(text_at).to_pylist(), b.column(ranges_at)):
                 words = (text or "").encode().split()
                 total.append(len(words))
-                if ranges:
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, [r["s"] for r in ranges], 1)
-                    np.add.at(step, [r["s"] + r["n"] + window - 1 for r in ranges], -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(step)[:-1] == 0).tolist()]
+                if ranges.is_valid:
+                    s, n = (ranges.values.field(k).to_numpy() for k in (0, 1))
+                    keep = ~in_any(len(words), s, s + n + window - 1)
+                    words = [words[i] for i in np.flatnonzero(keep).tolist()]
                 removed.append(total[-1] - len(words))
                 texts.append(b" ".join(words).decode())
             added = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())]
@@ -290,55 +395,52 @@ def frequent_names(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def marked_by_window(rows: DataFrame) -> DataFrame:
     """Stretches with covered (an equal one is elsewhere) and publish (others of the anchor differ); names that aren't frequent."""
-    group = W.partitionBy("name")
-    order, whole = group.orderBy("span"), group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before, after = F.lag("span").over(order), F.lead("span").over(order)
-    same_before = F.coalesce(before == F.col("span"), F.lit(False))
-    covered = same_before | F.coalesce(after == F.col("span"), F.lit(False))
-    several = F.min("span").over(whole) != F.max("span").over(whole)
-    return rows.select("name", "doc", "tag", "s", "n", covered.alias("covered"), ((~same_before & several) | (F.col("moves") & ~covered)).alias("publish"))
+    group, span = W.partitionBy("name"), F.struct("h1", "h2")
+    order, whole = group.orderBy("h1", "h2"), group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before, later = F.lag(span).over(order), F.lead(span).over(order)
+    same_before = F.coalesce(before == span, F.lit(False))
+    covered = same_before | F.coalesce(later == span, F.lit(False))
+    several = F.min(span).over(whole) != F.max(span).over(whole)
+    return rows.select("name", "row", "s", "n", covered.alias("covered"), ((~same_before & several) | (F.col("moves") & ~covered)).alias("publish"))
 
 
 def marked_by_join(rows: DataFrame, ws: Workspace) -> DataFrame:
     """The same for frequent names: counts with a map-side combine, and a join that the planner may split."""
-    place = F.struct("doc", "tag", "s")
-    kinds = ws.table(rows.groupBy("name", "span").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")), "kinds")
-    several = kinds.groupBy("name").agg((F.min("span") != F.max("span")).alias("several"))  # a row for each frequent name
-    joined = rows.join(kinds, ["name", "span"]).join(F.broadcast(several), "name")
+    place, span = F.struct("row", "s"), ["name", "h1", "h2"]
+    kinds = ws.table(rows.groupBy(*span).agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")), "kinds")
+    several = kinds.groupBy("name").agg((F.min(F.struct("h1", "h2")) != F.max(F.struct("h1", "h2"))).alias("several"))  # a row for each frequent name
+    both = rows.join(kinds, span).join(F.broadcast(several), "name")
     covered = F.col("c") > 1
-    return joined.select("name", "doc", "tag", "s", "n", covered.alias("covered"), (((place == F.col("first")) & F.col("several")) | (F.col("moves") & ~covered)).alias("publish"))
+    return both.select("name", "row", "s", "n", covered.alias("covered"), (((place == F.col("first")) & F.col("several")) | (F.col("moves") & ~covered)).alias("publish"))
 
 
-def repeated_ranges(docs: DataFrame, ws: Workspace, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc, tag, ranges): window starts s..s+n-1 that start elsewhere too. docs: doc, tag, text."""
-    rows = ws.table(docs.mapInArrow(anchor_kernel(window, rounds), ANCHORS), "stretches")
+def repeated_ranges(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> DataFrame:
+    """(row, ranges): window starts s..s+n-1 that start elsewhere too. texts: row, text."""
+    rows = stretches_of(texts, ws, window, size)
     hot = frequent_names(rows)
     marks = marked_by_window(rows.join(F.broadcast(hot), "name", "left_anti"))
     marks = marks.unionByName(marked_by_join(rows.join(F.broadcast(hot), "name", "left_semi"), ws))
     marks = ws.table(marks.filter("covered or publish"), "marks")
-    ws.drop(rows)
-    lists = marks.filter("publish").groupBy("doc", "tag").agg(F.collect_list(F.struct("name", "s", "n", "covered")).alias("list"))
-    published = docs.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "list")
-    windows = ws.table(published.mapInArrow(window_kernel(window), "name long, hash long, doc long, tag int, s long, wanted boolean"), "windows")
-    shared = windows.groupBy("name", "hash").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select("name", "hash")
-    shared = ws.table(shared, "shared")  # a table on both sides lets the planner split the join where a hash is hot
-    found = windows.filter("wanted").join(shared, ["name", "hash"]).select("doc", "tag", "s", F.lit(1).alias("n"))
-    ranges = marks.filter("covered").select("doc", "tag", "s", "n").unionByName(found)
-    ranges = ws.table(ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "ranges")
-    ws.drop(marks, windows, shared)
-    return ranges
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    lists = marks.filter("publish").groupBy("row").agg(F.collect_list(F.struct("name", "s", "n", "covered")).alias("list"))
+    published = texts.join(lists, "row").select("row", "text", "list")
+    windows = ws.table(published.mapInArrow(window_kernel(window), "name long, h1 long, h2 long, row long, s long, wanted boolean"), "windows")
+    key = ["name", "h1", "h2"]
+    shared = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select(*key)
+    shared = ws.table(shared, "shared")  # a table on both sides lets the planner split the join where a window is hot
+    found = windows.filter("wanted").join(shared, key).select("row", "s", F.lit(1).cast("long").alias("n"))
+    ranges = marks.filter("covered").select("row", "s", "n").unionByName(found)
+    return ws.table(ranges.groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "ranges")
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", size: int = SLICE) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the kept words joined by one space)."""
-    docs = docs.drop("n_words", "n_removed", "kept_text", "__doc", "__tag")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)), "__tag": F.hash(text)})
-    ranges = repeated_ranges(
-        keyed.select(F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), text.alias("text")), Workspace(docs.sparkSession), window, rounds
-    )
-    ranges = ranges.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("ranges").alias("__ranges"))
-    out = keyed.join(ranges, ["__doc", "__tag"], "left").select(*docs.columns, "__ranges")
+    docs, ws = docs.drop("n_words", "n_removed", "kept_text", "__row"), Workspace(docs.sparkSession)
+    # each row its own number, written so that it stays the same for all that follows
+    numbered = ws.table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    ranges = repeated_ranges(numbered.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), ws, window, size)
+    ws.keep_only(numbered, ranges)
+    ranges = ranges.select(F.col("row").alias("__row"), F.col("ranges").alias("__ranges"))
+    out = numbered.join(ranges, "__row", "left").select(*docs.columns, "__ranges")
     names = [*docs.columns, "n_words", "n_removed", "kept_text"]
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     kernel = removal_kernel(window, docs.columns.index(text_col), len(docs.columns), names)
