@@ -7,7 +7,10 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import messy
 from pyspark.sql import functions as F
@@ -83,43 +86,61 @@ def test_line_dedup(spark):
 
 
 def state(index):
-    return {struct.pack("<qq", r.k1, r.k2): (r.docs, r.owner) for r in index.counts.collect()}
+    return {struct.pack("<qq", r.k1, r.k2): (r.docs, r.owner) for r in index.state().collect()}
 
 
 def fingerprints(index):
-    filters = {r.shard: line_dedup.CuckooFilter.from_bytes(r.blob) for r in index.filters.collect()}
-    for key in state(index):
-        k1, k2 = struct.unpack("<qq", key)
-        assert filters[k2 & (index.shards - 1)].contains(np.array([k1]).view(np.uint64)).all()
+    """How many the filters hold; each key's is in the filter of its last fresh segment."""
+    filters = {(s["at"], r.shard): line_dedup.CuckooFilter.from_bytes(r.blob) for s in index.inserted for r in index.filters(s).collect()}
+    shards = {s["at"]: s["shards"] for s in index.inserted}
+    for r in index.state().collect():
+        assert filters[r["at"], r.k2 & (shards[r["at"]] - 1)].contains(np.array([r.k1]).view(np.uint64)).all()
     return sum(f.stored for f in filters.values())
 
 
-def test_line_index_is_incremental_and_reversible(spark):
+def lines_of(df):
+    return {(r.doc, r.k1, r.k2) for r in df.collect()}
+
+
+@pytest.mark.parametrize("shard_keys", [8, 1 << 20])
+def test_line_index_is_incremental_and_reversible(spark, shard_keys):
     rnd = random.Random(3)
     pool = [f"shared line number {i} here" for i in range(60)]
     rows = [(i, "\n".join(rnd.choices(pool, k=3) + [f"own line of document {i}", "short"])) for i in range(60)] + [(None, pool[0])]
     frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
     early, late = [r for r in rows if r[0] is None or r[0] < 30], [r for r in rows if r[0] is not None and r[0] >= 30]
-    one = line_dedup.LineIndex(spark, shards=4).insert(frame(late))
-    assert state(one) == line_counts(late) and fingerprints(one) == len(state(one))
+    one = line_dedup.LineIndex(spark, shard_keys=shard_keys).insert(frame(late))
+    assert state(one) == line_counts(late) and fingerprints(one) == len(state(one)) and lines_of(one.lost) == lines_of(one.drops())
     both = one.insert(frame(early))
     assert state(both) == line_counts(rows) and fingerprints(both) == len(state(both))
+    assert lines_of(both.lost) | lines_of(one.lost) == lines_of(both.drops())
     back = both.delete(frame([(i, None) for i, _ in early]))
-    assert state(back) == state(one) and fingerprints(back) == len(state(one))
+    assert state(back) == state(one) and fingerprints(back) == len(state(one)) and lines_of(back.drops()) == lines_of(one.drops())
     assert state(back.insert(frame(late))) == state(one)  # what is there already changes nothing
-    assert {(r.doc, r.k1, r.k2) for r in back.drops().collect()} == {(r.doc, r.k1, r.k2) for r in one.drops().collect()}
+    again = back.insert(frame(early))  # keys that died come back
+    assert state(again) == line_counts(rows) and fingerprints(again) == len(state(again)) and lines_of(again.drops()) == lines_of(both.drops())
+    small = again.compact()
+    assert state(small) == line_counts(rows) and fingerprints(small) == len(state(small)) and len(small.segments) == 1
+    assert state(line_dedup.LineIndex.open(spark, small.root, both.version)) == line_counts(rows)  # older versions stay
+
 
+def test_line_index_compacts_itself(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_SEGMENTS", 3)
+    index, rows = line_dedup.LineIndex(spark), [(i, f"a line that all hold\nown line number {i}") for i in range(4)]
+    for row in rows:
+        index = index.insert(spark.createDataFrame([row], "doc_id long, text string"))
+        assert len(index.segments) < 3 and len(lines_of(index.lost)) == (row[0] > 0)
+    assert state(index) == line_counts(rows) and index.insert(spark.createDataFrame([], "doc_id long, text string")).drops().count() == 3
 
-@pytest.mark.parametrize("stored, more", [(200, 10), (55746, 55746), (57538, 57538)])
-def test_second_insert_meets_filters_of_any_size(spark, stored, more):
-    """Sizes whose bytes are not ASCII; half of the keys that come are known, and the last two filters grow."""
-    lines = [f"line number {i} of many" for i in range(stored)]
-    again = lines[: more // 2] + [f"another line {i} here" for i in range(more - more // 2)]
-    one = line_dedup.LineIndex(spark, shards=1).insert(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
-    two = one.insert(spark.createDataFrame([(2, "\n".join(again))], "doc_id long, text string"))
-    got, want = state(two), line_counts([(1, "\n".join(lines)), (2, "\n".join(again))])
-    assert two.counts.count() == len(want) and not sum(got.get(k) != v for k, v in want.items())
-    assert fingerprints(two) == len(want)
+
+def test_a_batch_reads_the_shards_that_it_needs(spark):
+    """Keys that no filter holds look nothing up; one that is known has one shard read."""
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, shard_keys=16).insert(frame([(1, "\n".join(f"line number {i} of one" for i in range(200)))]))
+    assert index.segments[0]["shards"] == 16
+    added = lambda text: line_dedup.references(frame([(2, text)])).groupBy("k1", "k2").count()
+    assert index._maybe(added("\n".join(f"a new line {i}" for i in range(50)))).count() <= 1
+    assert index._maybe(added("line number 7 of one\nsomething entirely new")).select("shard").distinct().count() == 1
 
 
 def test_cuckoo_filter():
@@ -288,11 +309,33 @@ def test_slices_do_not_matter(spark, size):
 
 def test_names_are_global_and_exact(spark):
     """Equal words have one name in all slices, and nothing else has it."""
-    rows = [(i, f"a b c d{i % 3} " * 12) for i in range(9)]
-    texts = spark.createDataFrame(rows, "row long, text string").repartition(4)
+    rows = [(i.to_bytes(16, "little"), f"a b c d{i % 3} " * 12) for i in range(9)]
+    texts = spark.createDataFrame(rows, "row binary, text string").repartition(4)
     ws = Workspace(spark)
     state = ws.table(texts.mapInArrow(substring_dedup.slice_kernel(35, 1), substring_dedup.SLICES), "slices")
-    keys = state.select("slice", F.posexplode("keys").alias("pos", "k")).select("slice", "pos", "k.word", "k.c")
-    lists, names = substring_dedup.named_keys(keys, ["word"], 0, ws)
-    assert lists.count() == 9 and names.count() == names.select("id").distinct().count() == 6
-    assert {bytes(r.word) for r in names.collect()} == {b"a", b"b", b"c", b"d0", b"d1", b"d2"}
+    names = substring_dedup.named_keys(state, ["word"], 0, ws)
+    keys = state.select("slice", F.posexplode("keys").alias("pos", "k")).join(names, ["slice", "pos"])
+    of = {(bytes(r.k.word), r.id) for r in keys.collect()}
+    assert len(of) == len({w for w, _ in of}) == len({i for _, i in of}) == 6 and {w for w, _ in of} == {b"a", b"b", b"c", b"d0", b"d1", b"d2"}
+    assert keys.select("slice").distinct().count() == 9
+
+
+def test_a_hot_key_that_fills_batches_has_one_name():
+    kernel = substring_dedup.naming_kernel(0, 3)
+    rows = [(1, 1, 1, k, 0, 1) for k in range(3)] + [(2, 2, 2, k, 1, 1) for k in range(25)] + [(3, 3, 3, 0, 2, 1), (4, 4, 4, 0, 3, 2)]
+    batch = pa.record_batch([pa.array(x) for x in zip(*rows)], names=["a", "b", "l", "slice", "pos", "c"])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(substring_dedup, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+        for size in (1, 2, 7, 100):
+            got = [r for b in kernel(batch.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+            names = {r["pos"]: {x["id"] for x in got if x["pos"] == r["pos"]} for r in got}
+            assert len(got) == 29 and set(names) == {0, 1, 3} and all(len(x) == 1 for x in names.values()) and len(set.union(*names.values())) == 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab \t\n\x0b\x0c\r\u00a0\u2003é\x1c", max_size=12), max_size=6), st.integers(0, 2))
+def test_words_are_split_like_python_splits_bytes(texts, skip):
+    column = pa.array(["before", "x y", *texts]).slice(skip)
+    found, count = substring_dedup.words_of_texts(column)
+    want = [t.encode().split() for t in column.to_pylist()]
+    assert found.to_pylist() == [w for words in want for w in words] and count.tolist() == [len(w) for w in want]

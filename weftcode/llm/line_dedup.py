@@ -1,21 +1,23 @@
 """Incremental, reversible line deduplication.
 
-State of a ``LineIndex``, each version a folder of three tables:
+A ``LineIndex`` is a list of segments, one for each change, that are written once and never rewritten. A segment has
 
 * ``refs``: the exact references, one row per line key and document that holds it;
-* ``counts``: the exact reference counts, one row per key (documents, smallest id);
-* ``filters``: one cuckoo filter per shard of the key space, one fingerprint per key.
-
-``insert`` counts a batch's keys (distinct references first, then per key, both with
-a map-side combine, so a line that a third of the rows hold arrives as one
-row per task). The aggregated keys go to their shard, where the filter says which may be
-known. Only those meet the exact counts in a join; all others are new for sure.
-``delete`` takes a document's references away, recounts the keys it touched and
-takes keys without references out of the filters. A filter that would fill up is
-rebuilt at twice the size from its shard's exact keys, so fingerprints never go astray.
-
-``drops`` joins references to the keys that two documents or more hold: all but the
-smallest id lose the line. ``remove_lines`` takes them out of the texts.
+* ``fresh``: the exact reference counts (documents, smallest id) of keys that no earlier segment holds, in a folder a shard;
+* ``more``: what the segment adds to the counts of keys that earlier ones hold;
+* ``filters``: a cuckoo filter for each shard of ``fresh``, one fingerprint per key;
+* after a deletion, ``gone`` (the documents) and ``reset`` (new counts of the keys that they held).
+
+A segment has as many shards as its keys need (``SHARD_KEYS`` each). ``insert`` counts a batch's keys (distinct references
+first, then per key, both with a map-side combine, so a line that a third of the rows hold arrives as one row per task)
+and asks the segments' filters for them. Keys in no filter are new for sure: no exact table is read for them. For the others
+the exact counts decide, of which only the shards that a filter named are read. So a batch costs exchanges of its own size and
+a scan of the filters (two to four bytes a key); exact tables are appended to. ``lost`` has the lines that the batch took
+from documents, its own and earlier ones. ``delete`` recounts the keys that the documents hold and takes the fingerprints of those that no
+document holds any more out of the filters. ``compact`` makes one segment of all; it comes by itself after ``MOST_SEGMENTS``.
+
+``drops`` says the same as all ``lost`` tables together, from the exact tables alone, and is right after deletions too:
+all but the smallest id lose a line that two documents or more hold. ``remove_lines`` takes lines out of the texts.
 
 Defined results: null or empty texts are one empty line. Rows that repeat an id are one
 document: a line of theirs alone is no repetition. Rows with a null id are not
@@ -26,7 +28,9 @@ An empty table gives an empty result; other columns of the input stay as they ar
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +42,14 @@ from .common import SPACES, Workspace, load
 from .packing import few
 
 MIN_POINTS = 10
-SHARDS = 1024
+#: Keys of a shard on average; a shard's filter is held in memory.
+SHARD_KEYS = 1 << 20
+#: Segments from which a change is followed by compact().
+MOST_SEGMENTS = 16
 #: Batches in which line_dedup inserts a corpus.
 INCREMENTS = 2
 SLOTS, MAX_LOAD, MAX_KICKS = 4, 0.85, 500
-HEADER, MEMBER, ADDED, GONE = range(4)
+KEY = ["k1", "k2"]
 
 
 def line_key(line: str) -> bytes | None:
@@ -145,8 +152,8 @@ class CuckooFilter:
         return out
 
 
-def references(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Distinct (shard, k1, k2, doc): which document holds which line key."""
+def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Distinct (k1, k2, doc): which document holds which line key."""
 
     def kernel(batches):
         for b in few(batches):
@@ -156,174 +163,257 @@ def references(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
                 keys += found
                 ids += [doc] * len(found)
             k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            shard = (k[:, 1] & (shards - 1)).astype(np.int32)
-            yield pa.record_batch([pa.array(shard), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(ids, pa.int64())], names=["shard", "k1", "k2", "doc"])
+            yield pa.record_batch([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(ids, pa.int64())], names=["k1", "k2", "doc"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(kernel, "shard int, k1 long, k2 long, doc long").distinct()
+    return rows.mapInArrow(kernel, REFS).distinct()
 
 
-STREAM = "shard int, kind int, blob binary, incoming long, k1 long, k2 long, docs long, owner long"
-REFS = "shard int, k1 long, k2 long, doc long"
-COUNTS = "shard int, k1 long, k2 long, docs long, owner long"
-FILTERS = "shard int, blob binary"
+REFS = "k1 long, k2 long, doc long"
+COUNTS = "k1 long, k2 long, docs long, owner long"
+FILTERS = "shard long, blob binary"
 
 
-def filter_kernel(batches):
-    """Per shard: header, exact keys if the filter grows, then keys to add (flagged if known) or to take out."""
-    schema = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("docs", pa.int64()), ("owner", pa.int64()), ("known", pa.bool_())])
-    shard, held = None, None
+def build_kernel(batches):
+    """(shard, k1), sorted by shard, to one filter per shard."""
+    shard, held = None, []
 
     def last():
-        return pa.record_batch([pa.array([x], f.type) for x, f in zip((shard, held.to_bytes(), None, None, None, None, None), schema)], schema=schema)
+        keys = np.concatenate(held).view(np.uint64)
+        made = CuckooFilter(len(keys))
+        made.insert(keys)
+        return pa.record_batch([pa.array([shard], pa.int64()), pa.array([made.to_bytes()], pa.binary())], names=["shard", "blob"])
 
     for b in batches:
         if not b.num_rows:
             continue
-        shards, kinds = (np.asarray(b.column(i)) for i in (0, 1))
-        cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
-        for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shards)]):
-            part, kind = b.slice(at, to - at), kinds[at]
+        shards, keys = (np.asarray(b.column(i)) for i in (0, 1))
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for at, to in zip(cuts, cuts[1:]):
             if shards[at] != shard:
-                if held is not None:
+                if held:
                     yield last()
-                shard, held = int(shards[at]), None
-            if kind == HEADER:
-                blob, incoming = part.column(2)[0].as_py(), part.column(3)[0].as_py() or 0
-                held = CuckooFilter.from_bytes(blob) if blob else CuckooFilter(incoming)
-                if held.room < incoming:
-                    held = CuckooFilter(2 * (held.stored + incoming))
-                continue
-            keys = np.asarray(part.column(4)).view(np.uint64)
-            if kind == MEMBER:
-                held.insert(keys)
-            elif kind == GONE:
-                held.delete(keys)
-            else:
-                known = held.contains(keys)
-                # a fingerprint for each new key; also for keys that only look known, since a filter
-                # counts: two keys of one fingerprint are two entries, and deletion takes one
-                held.insert(keys)
-                yield pa.record_batch([part.column(0), pa.nulls(len(keys), pa.binary()), *(part.column(i) for i in (4, 5, 6, 7)), pa.array(known)], schema=schema)
-    if held is not None:
+                shard, held = int(shards[at]), []
+            held.append(keys[at:to])
+    if held:
         yield last()
 
 
-def little_endian(column: str, at: int):
-    """The 8-byte number at this place (from 1) of a binary column, as a double.
+def asked_kernel(batches):
+    """(segment, shard, blob, keys) to the keys that the filter may hold."""
+    for b in few(batches, 1):
+        keys = b.column(3)[0].values
+        k1, k2 = (keys.field(i).to_numpy() for i in (0, 1))
+        hit = CuckooFilter.from_bytes(b.column(2)[0].as_py()).contains(k1.view(np.uint64))
+        n = int(hit.sum())
+        columns = [pa.array(np.full(n, b.column(i)[0].as_py())) for i in (0, 1)]
+        yield pa.record_batch([*columns, pa.array(k1[hit]), pa.array(k2[hit])], names=["segment", "shard", *KEY])
 
-    Byte by byte: Spark's reverse() takes binary for text and turns its characters round.
-    """
-    return F.conv(F.concat(*(F.hex(F.substring(column, k, 1)) for k in range(at + 7, at - 1, -1))), 16, 10).cast("double")
+
+def removing_kernel(batches):
+    """(shard, blob, keys) to the filters without these keys; null keys take nothing."""
+    for b in few(batches, 1):
+        blob = b.column(1)[0].as_py()
+        if b.column(2)[0].is_valid:
+            held = CuckooFilter.from_bytes(blob)
+            held.delete(b.column(2)[0].values.to_numpy().view(np.uint64))
+            blob = held.to_bytes()
+        yield pa.record_batch([b.column(0), pa.array([blob], pa.binary())], names=["shard", "blob"])
 
 
 class LineIndex:
-    """See the module's text. Each change makes a new version; older ones stay readable."""
+    """See the module's text. Each change makes a new version; older ones stay readable until ``compact``.
+
+    A version is a list of segments, each {"at": its number, "shards": of fresh and filters (0: none),
+    "filters": the number under which its filters are, "gone": whether it is a deletion}. ``open`` finds them again.
+    """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, version: int = 0, shards: int = SHARDS):
-        self.spark, self.version, self.shards = spark, version, shards
+    def __init__(self, spark: SparkSession, root: str | None = None, shard_keys: int = SHARD_KEYS, segments: list[dict] | None = None, version: int = 0, changed: int = 0):
+        self.spark, self.shard_keys, self.segments, self.version = spark, shard_keys, segments or [], version
+        self.changed = changed or version  # the version that the last change made; compact() makes another
         self.root = root or Workspace(spark).path("lines")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/v{self.version}/{name}")
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, version: int, shard_keys: int = SHARD_KEYS) -> LineIndex:
+        segments = json.loads(spark.read.text(f"{root}/{version}/segments").first()[0])
+        return cls(spark, root, shard_keys, segments, version)
 
-    @property
-    def refs(self) -> DataFrame:
-        return self._read("refs", REFS)
+    # tables
 
-    @property
-    def counts(self) -> DataFrame:
-        return self._read("counts", COUNTS)
+    def _read(self, at: int, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{at}/{name}")
 
-    @property
-    def filters(self) -> DataFrame:
-        return self._read("filters", FILTERS)
+    def _all(self, name: str, schema: str, segments: list[dict]) -> DataFrame:
+        """A table of several segments, with the number of each row's."""
+        parts = [self._read(s["at"], name, schema).withColumn("at", F.lit(s["at"]).cast("long")) for s in segments]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, at long")
 
-    def _write(self, df: DataFrame, name: str) -> DataFrame:
-        where = f"{self.root}/v{self.version + 1}/{name}"
-        df.write.parquet(where)
+    def _write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        where, writer = f"{self.root}/{self.next}/{name}", df.write
+        (writer.partitionBy(by) if by else writer).parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
-    def _through_filters(self, changed: DataFrame, kind: int) -> DataFrame:
-        """Run aggregated keys through their shards' filters."""
-        incoming = changed.groupBy("shard").agg(F.count(F.lit(1)).alias("incoming"))
-        none = F.lit(None)
-        if self.version:
-            header = self.filters.join(incoming, "shard", "full")
-            room = little_endian("blob", 1) * F.lit(SLOTS * MAX_LOAD) - little_endian("blob", 9)
-            growing = header.filter(F.col("blob").isNotNull() & (room < F.col("incoming"))).select("shard") if kind == ADDED else None
-        else:
-            header, growing = incoming.withColumn("blob", none.cast("binary")), None
-        if kind == GONE:
-            header = header.withColumn("incoming", F.lit(0).cast("long"))
-        columns = [x.split()[0] for x in STREAM.split(", ")]
-        stream = header.select("shard", F.lit(HEADER).alias("kind"), "blob", "incoming", *(none.cast("long").alias(c) for c in columns[4:]))
-        keys = lambda df, k: df.select("shard", F.lit(k).alias("kind"), none.cast("binary").alias("blob"), none.cast("long").alias("incoming"), *columns[4:])
-        if growing is not None:
-            stream = stream.unionByName(keys(self.counts.join(growing, "shard", "left_semi"), MEMBER))
-        stream = stream.unionByName(keys(changed, kind))
-        stream = stream.repartition("shard").sortWithinPartitions("shard", "kind")
-        return stream.mapInArrow(filter_kernel, "shard int, blob binary, k1 long, k2 long, docs long, owner long, known boolean")
+    @property
+    def inserted(self) -> list[dict]:
+        return [s for s in self.segments if not s["gone"]]
+
+    @property
+    def deleted(self) -> list[dict]:
+        return [s for s in self.segments if s["gone"]]
+
+    @property
+    def refs(self) -> DataFrame:
+        """All references (k1, k2, doc) of documents that are not deleted since."""
+        rows = self._all("refs", REFS, self.inserted)
+        if self.deleted:
+            gone = self._all("gone", "doc long", self.deleted).groupBy("doc").agg(F.max("at").alias("until"))
+            rows = rows.join(gone, "doc", "left").filter("until is null or until < at")
+        return rows.select(*KEY, "doc")
+
+    def state(self, keys: DataFrame | None = None, shards: dict[int, list[int]] | None = None) -> DataFrame:
+        """(k1, k2, docs, owner, at): current counts of all keys, or of these, at the segment that last held them as fresh.
+
+        shards names, for each segment, the shards of fresh to read.
+        """
+        parts = []
+        for s in self.inserted:
+            for name in ("fresh", "more"):
+                rows = self._read(s["at"], name, COUNTS + (", shard long" if name == "fresh" else ""))
+                if name == "fresh" and shards is not None:
+                    rows = rows.filter(F.col("shard").isin(shards.get(s["at"], [])))
+                parts.append(rows.select(*KEY, "docs", "owner", F.lit(s["at"]).alias("at"), F.lit(name).alias("kind")))
+        parts += [self._read(s["at"], "reset", COUNTS).select(*KEY, "docs", "owner", F.lit(s["at"]).alias("at"), F.lit("reset").alias("kind")) for s in self.deleted]
+        if not parts:
+            return self.spark.createDataFrame([], COUNTS + ", at int")
+        rows = reduce(DataFrame.unionByName, parts)
+        if keys is not None:
+            rows = rows.join(keys, KEY, "left_semi")
+        fresh = F.max(F.when(F.col("kind") == "fresh", F.col("at"))).alias("at")
+        if not self.deleted:
+            return rows.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.min("owner").alias("owner"), fresh)
+        # a key has a row or two a segment; those before its last reset count no more
+        rows = rows.groupBy(*KEY).agg(F.collect_list(F.struct("at", "kind", "docs", "owner")).alias("rows"), F.max(F.when(F.col("kind") == "reset", F.col("at"))).alias("since"), fresh)
+        rows = rows.withColumn("rows", F.filter("rows", lambda r: r["at"] >= F.coalesce("since", F.lit(0))))
+        docs = F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + r["docs"])
+        rows = rows.select(*KEY, docs.alias("docs"), F.array_min(F.transform("rows", lambda r: r["owner"])).alias("owner"), "at")
+        return rows.filter("docs > 0")
+
+    def filters(self, segment: dict) -> DataFrame:
+        return self._read(segment["filters"], f"filters-{segment['at']}", FILTERS)
+
+    # changes
+
+    def _begin(self) -> None:
+        """Number the version that a change makes: above all there are, since several may follow one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        there = [int(f.getPath().getName()) for f in files.listStatus(path)] if files.exists(path) else []
+        self.next = max(there, default=0) + 1
+        files.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.next}"))
+
+    def _next(self, segments: list[dict]) -> LineIndex:
+        out = LineIndex(self.spark, self.root, self.shard_keys, segments, self.next)
+        self.spark.createDataFrame([(json.dumps(segments),)], "value string").coalesce(1).write.text(f"{self.root}/{out.version}/segments")
+        if len(segments) < MOST_SEGMENTS:
+            return out
+        small = out.compact()
+        return LineIndex(self.spark, self.root, self.shard_keys, small.segments, small.version, out.version)
+
+    def _segment(self, fresh: DataFrame) -> dict:
+        """Write fresh counts and their filters."""
+        shards, n = 1, fresh.count()
+        while shards * self.shard_keys < n:
+            shards *= 2
+        sharded = fresh.withColumn("shard", F.col("k2").bitwiseAND(F.lit(shards - 1)))
+        self._write(sharded.repartition("shard").select(*KEY, "docs", "owner", "shard"), "fresh", "shard")
+        rows = sharded.select("shard", "k1").repartition("shard").sortWithinPartitions("shard")
+        at = self.next
+        self._write(rows.mapInArrow(build_kernel, FILTERS), f"filters-{at}")
+        return {"at": at, "shards": shards, "filters": at, "gone": False}
+
+    def _maybe(self, added: DataFrame) -> DataFrame:
+        """(segment, shard, k1, k2): keys that a segment's filter can't rule out."""
+        n, asked = added.count(), []
+        for s in self.inserted:
+            pieces = -(-n // (s["shards"] * self.shard_keys))  # a batch far larger than the segment meets its filters in pieces
+            shard, piece = F.col("k2").bitwiseAND(F.lit(s["shards"] - 1)), F.pmod("k1", F.lit(max(1, pieces)))
+            keys = added.groupBy(shard.alias("shard"), piece.alias("piece")).agg(F.collect_list(F.struct(*KEY)).alias("keys"))
+            asked.append(self.filters(s).join(keys, "shard").select(F.lit(s["at"]).cast("long").alias("segment"), "shard", "blob", "keys"))
+        return reduce(DataFrame.unionByName, asked).mapInArrow(asked_kernel, "segment long, shard long, k1 long, k2 long")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """The next version, with these documents; references that are there already change nothing."""
-        new = references(docs, self.shards, id_col, text_col)
-        if self.version:
-            new = new.join(self.refs, ["shard", "k1", "k2", "doc"], "left_anti")
-        new = self._write(new, "refs-new")
-        added = new.groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner"))
-        out = self._write(self._through_filters(self._write(added, "added"), ADDED), "filtered")
-        keyed = out.filter(F.col("blob").isNull()).drop("blob")
-        # of the first version all keys are new, also those that look like earlier ones of their own batch
-        counts = (keyed.filter(~F.col("known")) if self.version else keyed).select("shard", "k1", "k2", "docs", "owner")
-        if self.version:
-            key = ["shard", "k1", "k2"]
-            known = keyed.filter("known").select(*key, F.col("docs").alias("d"), F.col("owner").alias("o"))
-            met = self.counts.join(known, key, "right")  # exact look-up, for these keys only
-            met = met.select(*key, (F.coalesce("docs", F.lit(0)) + F.col("d")).alias("docs"), F.least("owner", "o").alias("owner"))
-            counts = counts.unionByName(met).unionByName(self.counts.join(known, key, "left_anti"))
-            # a key that was there already got a second fingerprint: take it out again
-            twice = self.counts.join(known, key, "left_semi").select("shard", "k1", "k2", "docs", "owner")
-            fresh = out.filter(F.col("blob").isNotNull()).select("shard", "blob")
-            filters = fix_filters(fresh, twice)
-            new = self.refs.unionByName(new)
-        else:
-            filters = out.filter(F.col("blob").isNotNull()).select("shard", "blob")
-        self._write(counts, "counts")
-        self._write(filters, "filters")
-        self._write(new, "refs")
-        return LineIndex(self.spark, self.root, self.version + 1, self.shards)
+        self._begin()
+        new = references(docs, id_col, text_col)
+        if self.inserted:
+            new = self._write(new, "refs-read")
+            here = self._write(self._all("docs", "doc long", self.inserted).join(new.select("doc").distinct(), "doc", "left_semi").select("doc").distinct(), "docs-here")
+            if not here.isEmpty():
+                new = new.join(self.refs.join(here, "doc", "left_semi"), [*KEY, "doc"], "left_anti")
+        new = self._write(new, "refs")
+        self._write(new.select("doc").distinct(), "docs")
+        added = self._write(new.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner")), "added")
+        if not self.inserted:
+            segment = self._segment(added)
+            self._write(self.spark.createDataFrame([], COUNTS), "more")
+            self._write(self._lost(new, added.select(*KEY, "docs", "owner")), "lost")
+            return self._next([*self.segments, segment])
+        maybe = self._write(self._maybe(added), "maybe")
+        shards: dict[int, list[int]] = {}
+        for r in maybe.select("segment", "shard").distinct().collect():  # at most the index's shards
+            shards.setdefault(r.segment, []).append(r.shard)
+        held = self.state(maybe.select(*KEY).distinct(), shards)
+        known = self._write(held.select(*KEY, F.col("docs").alias("held"), F.col("owner").alias("holder")), "known")
+        segment = self._segment(added.join(known, KEY, "left_anti"))
+        self._write(added.join(known, KEY, "left_semi").select(*KEY, "docs", "owner"), "more")
+        both = added.join(known, KEY, "left")
+        now = both.select(*KEY, (F.col("docs") + F.coalesce("held", F.lit(0))).alias("docs"), F.least("owner", "holder").alias("owner"))
+        passed = both.filter("owner < holder").select(F.col("holder").alias("doc"), *KEY)  # an earlier owner has one smaller now
+        self._write(self._lost(new, self._write(now, "now")).unionByName(passed), "lost")
+        return self._next([*self.segments, segment])
+
+    def _lost(self, refs: DataFrame, counts: DataFrame) -> DataFrame:
+        shared = counts.filter("docs >= 2").select(*KEY, "owner")
+        return refs.join(shared, KEY).filter("doc <> owner").select("doc", *KEY)
+
+    @property
+    def lost(self) -> DataFrame:
+        """(doc, k1, k2): lines that documents lost by the last insertion."""
+        return self._read(self.changed, "lost", "doc long, k1 long, k2 long")
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """The next version, without the documents of these ids."""
-        ids, key = ids.select(F.col(id_col).cast("long").alias("doc")).distinct(), ["shard", "k1", "k2"]
-        touched = self._write(self.refs.join(ids, "doc", "left_semi").select(*key).distinct(), "touched")
-        left = self._write(self.refs.join(ids, "doc", "left_anti").select(*key, "doc"), "refs")
-        recount = left.join(touched, key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner"))
-        recount = self._write(recount, "recount")
-        dead = touched.join(recount, key, "left_anti").withColumns({"docs": F.lit(0).cast("long"), "owner": F.lit(None).cast("long")})
-        filters = self._through_filters(dead, GONE).filter(F.col("blob").isNotNull()).select("shard", "blob")
-        self._write(self.counts.join(touched, key, "left_anti").unionByName(recount), "counts")
-        self._write(filters, "filters")
-        return LineIndex(self.spark, self.root, self.version + 1, self.shards)
+        """The next version, without the documents of these ids. Their references are found by a scan."""
+        self._begin()
+        gone = self._write(ids.select(F.col(id_col).cast("long").alias("doc")).filter("doc is not null").distinct(), "gone")
+        touched = self._write(self.refs.join(gone, "doc", "left_semi").select(*KEY).distinct(), "touched")
+        left = self.refs.join(gone, "doc", "left_anti").join(touched, KEY, "left_semi")
+        recount = left.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner"))
+        zero = [F.coalesce("docs", F.lit(0)).alias("docs"), "owner"]
+        reset = self._write(touched.join(recount, KEY, "left").select(*KEY, *zero), "reset")
+        dead = self._write(self.state(reset.filter("docs = 0").select(*KEY)).select("k1", "k2", "at"), "dead")
+        changed, segments = {r[0] for r in dead.select("at").distinct().collect()}, []
+        for s in self.segments:
+            if s["at"] in changed:
+                shard = F.col("k2").bitwiseAND(F.lit(s["shards"] - 1)).alias("shard")
+                keys = dead.filter(F.col("at") == s["at"]).groupBy(shard).agg(F.collect_list("k1").alias("keys"))
+                rows = self.filters(s).join(keys, "shard", "left").select("shard", "blob", "keys")
+                self._write(rows.mapInArrow(removing_kernel, FILTERS), f"filters-{s['at']}")
+                s = s | {"filters": self.next}
+            segments.append(s)
+        return self._next([*segments, {"at": self.next, "shards": 0, "filters": 0, "gone": True}])
+
+    def compact(self) -> LineIndex:
+        """The next version, of one segment that says the same."""
+        self._begin()
+        new = self._write(self.refs, "refs")
+        self._write(new.select("doc").distinct(), "docs")
+        segment = self._segment(self._write(self.state().select(*KEY, "docs", "owner"), "counts"))
+        self._write(self.spark.createDataFrame([], COUNTS), "more")
+        return self._next([segment])
 
     def drops(self) -> DataFrame:
-        """(doc, key): lines that a document loses; key is the 16 bytes of line_key."""
-        shared = self.counts.filter("docs >= 2").select("k1", "k2", "owner")
-        lost = self.refs.select("k1", "k2", "doc").join(shared, ["k1", "k2"]).filter(F.col("doc") != F.col("owner"))
-        return lost.select("doc", "k1", "k2")
-
-
-def fix_filters(filters: DataFrame, twice: DataFrame) -> DataFrame:
-    """Take one fingerprint of each of these keys out of their shards' filters."""
-    none = F.lit(None)
-    stream = filters.select("shard", F.lit(HEADER).alias("kind"), "blob", F.lit(0).cast("long").alias("incoming"), *(none.cast("long").alias(c) for c in ("k1", "k2", "docs", "owner")))
-    stream = stream.unionByName(twice.select("shard", F.lit(GONE).alias("kind"), none.cast("binary").alias("blob"), none.cast("long").alias("incoming"), "k1", "k2", "docs", "owner"))
-    stream = stream.repartition("shard").sortWithinPartitions("shard", "kind")
-    out = stream.mapInArrow(filter_kernel, "shard int, blob binary, k1 long, k2 long, docs long, owner long, known boolean")
-    return out.select("shard", "blob")
+        """(doc, k1, k2): lines that a document loses, from the exact tables; k1 and k2 are the bytes of line_key."""
+        return self._lost(self.refs, self.state())
 
 
 def remove_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,9 +454,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ws = Workspace(docs.sparkSession)
     index, part = LineIndex(docs.sparkSession, ws.path("index")), F.pmod(F.xxhash64(id_col), F.lit(increments))
+    lost = []
     for k in range(increments):
         index = index.insert(docs.filter(part == k), id_col, text_col)
-    drops = ws.table(index.drops(), "drops")
+        lost.append(index.lost)
+    drops = ws.table(reduce(DataFrame.unionByName, lost), "drops")
     ws.delete(index.root)  # nobody asked for the index itself
     return remove_lines(docs, drops, id_col, text_col)
 
