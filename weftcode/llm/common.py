@@ -26,6 +26,9 @@ SPACES_RE = r"[\x20\x09-\x0D]+"
 JOINED = 1 << 18
 U = np.uint64
 
+#: Spark's setting for removing an execution's shuffle files at its end.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: str | None = None
 _roots: list[str] = []
 
@@ -57,9 +60,14 @@ class Workspace:
         return f"{self.root}/{self._made:03d}-{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the frame that reads it back."""
+        """Write ``df`` and return the frame that reads it back; files of its exchanges are freed once it is written."""
         where = self.path(name)
-        df.write.parquet(where)
+        before = self.spark.conf.get(FREE)
+        self.spark.conf.set(FREE, "true")
+        try:
+            df.write.parquet(where)
+        finally:
+            self.spark.conf.set(FREE, before)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._weft_path = where
         return out

@@ -26,8 +26,11 @@ at its highest level. Equal windows have equal anchors, and consecutive windows
 3. Words that a repeated window covers leave the text.
 
 Sequences live in slices of about ``SLICE`` words (a text is never cut, so one longer text is a slice by
-itself). A slice sends each distinct key once a round, with its count, and gets back names of those that occur twice
-or more: exchanges grow with distinct keys of a slice, a hot key has one row a slice, and no table of names is held in one place.
+itself). A slice sends each distinct key once a round, with its count. Rows of equal keys meet, sorted, in one
+partition, which counts them, names those that occur twice or more, and answers to each slice. So the hottest key has
+one row a slice, a small part of all rows whatever the corpus, and no table of names is held in one place.
+
+A row is named by a 128-bit digest of its id and text; rows that share both are different places and have the same result.
 
 Defined results: null counts as empty; texts of fewer words than a window lose
 nothing. Rows that repeat an id are different places; each is one where the other's windows also start.
@@ -42,6 +45,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,12 +59,13 @@ WINDOW = 35
 #: Share of the stretches from which an anchor's name is frequent.
 SUPPORT = 0.005
 #: Words of a slice, but for a longer text.
-SLICE = 1 << 18
+SLICE = 1 << 20
 #: Names of a level start here; below, partitions times rows of its table of names count up.
 LEVEL = 1 << 52
+IS_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 
 SLICES = "slice long, state binary, keys array<struct<word: binary, c: long>>"
-STRETCH = "name: long, h1: long, h2: long, row: long, s: long, n: long, moves: boolean"
+STRETCH = "name: long, h1: long, h2: long, row: binary, s: long, n: long, moves: boolean"
 STATE = f"slice long, state binary, live long, keys array<struct<a: long, b: long, l: long, c: long>>, stretches array<struct<{STRETCH}>>"
 
 
@@ -79,13 +84,19 @@ def unpacked(blob: bytes):
 
 
 def steps(x: np.ndarray) -> np.ndarray:
-    """A sorted array as differences, which compress well; np.cumsum undoes it."""
-    return np.diff(x, prepend=0).astype(np.int32 if not len(x) or x[-1] < 1 << 31 else np.int64)
+    """A sorted array as differences, which compress well; ``places`` undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def places(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int32)
 
 
 def after(mask: np.ndarray) -> np.ndarray:
     """For each place, how many kept ones precede it."""
-    return np.concatenate(([0], np.cumsum(mask)))
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:])
+    return out
 
 
 def any_in(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -98,6 +109,13 @@ def in_any(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] > 0
 
 
+def renumbered(table: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Only the rows of the table that the index uses, and the index into these."""
+    used = np.zeros(len(table), bool)
+    used[index] = True
+    return table[used], after(used)[index]
+
+
 def distinct_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct rows of equally long columns, which of them each row is, and their counts."""
     order = np.lexsort(columns)
@@ -108,16 +126,23 @@ def distinct_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarr
     return [x[order][new] for x in columns], which, np.bincount(which, minlength=int(new.sum()))
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix."""
+    width = rows.shape[1] * rows.itemsize
+    offsets = np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 class Sequences:
     """A slice: its live words, the symbols that live windows determine, and these windows.
 
     ``words`` index ``names`` (global names of words). Segment k of them begins at ``seg[k]``, which is
-    word ``seg_at[k]`` of row ``seg_row[k]``. A symbol covers ``size`` words from ``start``; a
+    word ``seg_at[k]`` of row ``rows[seg_row[k]]``. A symbol covers ``size`` words from ``start``; a
     window begins at word ``p`` and determines the symbols ``lo`` to ``hi`` - 1. Symbols
     not named yet are -1 - k for the k-th key that the slice sent.
     """
 
-    FIELDS = ("names", "words", "seg", "seg_row", "seg_at", "sym", "start", "size", "p", "lo", "hi")
+    FIELDS = ("rows", "names", "words", "seg", "seg_row", "seg_at", "sym", "start", "size", "p", "lo", "hi")
     SORTED = ("seg", "start", "p", "lo", "hi")
 
     def __init__(self, window: int, **fields):
@@ -126,25 +151,24 @@ class Sequences:
 
     @classmethod
     def of_texts(cls, window: int, rows: np.ndarray, counts: np.ndarray, words: np.ndarray, names: np.ndarray) -> Sequences:
-        first = np.cumsum(counts) - counts
-        p = np.arange(len(words))
-        p = p[p + window <= np.repeat(first + counts, counts)]
+        n, end = len(words), places(counts)
+        p = np.arange(n, dtype=np.int32)
+        p = p[p + window <= np.repeat(end, counts)]
         return cls(
-            window, names=names, words=words, seg=first, seg_row=rows, seg_at=np.zeros(len(rows), np.int64),
-            sym=names[words], start=np.arange(len(words)), size=np.ones(len(words), np.int64), p=p, lo=p, hi=p + window,
+            window, rows=rows, names=names, words=words, seg=end - counts, seg_row=np.arange(len(rows)), seg_at=np.zeros(len(rows), np.int32),
+            sym=names[words], start=np.arange(n, dtype=np.int32), size=np.ones(n, np.int32), p=p, lo=p, hi=p + np.int32(window),
         )
 
     @classmethod
     def loaded(cls, window: int, blob: bytes, ids: np.ndarray) -> Sequences:
-        fields = {k: np.cumsum(x) if k in cls.SORTED else x for k, x in zip(cls.FIELDS, unpacked(blob))}
-        sym = fields["sym"]
-        fields["sym"] = np.where(sym < 0, ids[np.maximum(-1 - sym, 0)] if len(ids) else 0, sym)
+        fields = {k: places(x) if k in cls.SORTED else x for k, x in zip(cls.FIELDS, unpacked(blob))}
+        pending = fields["sym"] < 0
+        fields["sym"][pending] = ids[-1 - fields["sym"][pending]]
         return cls(window, **fields)
 
     def saved(self) -> bytes:
-        narrow = {"words": np.min_scalar_type(max(len(self.names), 1)), "size": np.int32, "seg_at": np.int64}
         fields = ((k, getattr(self, k)) for k in self.FIELDS)
-        return packed(*(steps(x) if k in self.SORTED else x.astype(narrow.get(k, np.int64)) for k, x in fields))
+        return packed(*(steps(x) if k in self.SORTED else x for k, x in fields))
 
     def pick(self, live: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
         """Only these windows, the words they cover, the symbols they determine, and what others say of these."""
@@ -155,9 +179,9 @@ class Sequences:
         begins[self.seg] |= keep[self.seg]
         at, place = np.flatnonzero(begins), after(keep)
         of = np.searchsorted(self.seg, at, "right") - 1
-        self.seg_row, self.seg_at, self.seg = self.seg_row[of], self.seg_at[of] + at - self.seg[of], place[at]
-        used, words = np.unique(self.words[keep], return_inverse=True)
-        self.names, self.words = self.names[used], words
+        self.rows, seg_row = renumbered(self.rows, self.seg_row[of])
+        self.seg_row, self.seg_at, self.seg = seg_row, (self.seg_at[of] + at - self.seg[of]).astype(np.int32), place[at]
+        self.names, self.words = renumbered(self.names, self.words[keep])
         mine = in_any(len(self.sym), lo, hi)
         self.sym, self.size, self.start = self.sym[mine], self.size[mine], place[self.start[mine]]
         new = after(mine)
@@ -177,13 +201,13 @@ class Sequences:
         new = ~follows
         new[1:] |= self.sym[1:] != self.sym[:-1]
         at = np.flatnonzero(new)
-        run_of, length, run = np.cumsum(new) - 1, np.diff(np.append(at, n)), self.sym[at]
+        run_of, length, run = after(new)[1:] - 1, np.diff(np.append(at, n)), self.sym[at]
         right = (mix(mix(run.astype(U) + U(level)) + length.astype(U)) >> U(63)).astype(bool)
         paired = np.zeros(len(run), bool)
         paired[:-1] = ~right[:-1] & right[1:] & follows[at[1:]]
         head = np.ones(len(run), bool)
         head[1:] = ~paired[:-1]
-        of = np.cumsum(head) - 1
+        of = after(head)[1:] - 1
         first, last = run_of[self.lo] + 1, run_of[self.hi - 1] - 1  # runs at the ends may go on outside
         top = len(run) - 1
         first = first + (right[np.minimum(first, top)] & (first <= last))
@@ -194,9 +218,9 @@ class Sequences:
         second = np.append(np.flatnonzero(paired) + 1, 0)[:-1]
         other, other_length, both = np.zeros((3, len(run)), np.int64)
         other[paired], other_length[paired], both[paired] = run[second], length[second], size[second]
-        self.sym, self.start, self.size = run[head], self.start[at][head], (size + both)[head]
-        self.lo = np.where(some, of[np.minimum(first, top)], 0)
-        self.hi = np.where(some, of[np.maximum(last, 0)] + 1, 0)
+        self.sym, self.start, self.size = run[head], self.start[at][head], (size + both)[head].astype(np.int32)
+        self.lo = np.where(some, of[np.minimum(first, top)], np.int32(0))
+        self.hi = np.where(some, of[np.maximum(last, 0)] + np.int32(1), np.int32(0))
         named = (paired | (length > 1))[head]
         named, a, b, l = self.pick(some, named, run[head], other[head], (length << 32 | other_length)[head])
         keys, which, count = distinct_rows([a[named], b[named], l[named]])
@@ -223,8 +247,9 @@ class Sequences:
         n, p = np.diff(np.append(at, len(p))), p[at]
         of = np.searchsorted(self.seg, p, "right") - 1
         data = memoryview(self.names[self.words].tobytes())
-        digests = digests_of(data, 8 * p, 8 * (p + n + self.window - 1))
-        return [name[at], *digests, self.seg_row[of], self.seg_at[of] + p - self.seg[of], n, np.logical_or.reduceat(moved, at)]
+        digests = digests_of(data, 8 * p.astype(np.int64), 8 * (p + n + self.window - 1).astype(np.int64))
+        rows = binaries(self.rows[self.seg_row[of]])
+        return [name[at], *digests, rows, self.seg_at[of] + p - self.seg[of], n, np.logical_or.reduceat(moved, at)]
 
 
 def digests_of(data, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -252,80 +277,142 @@ def range_best(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def words_of_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as one binary array, and how many each has."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    x = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    space = IS_SPACE[x]
+    begins, edges = ~space, ends[:-1][ends[:-1] < ends[1:]]
+    inside = begins[edges]
+    begins[1:] &= space[:-1]
+    begins[edges] = inside
+    starts = np.flatnonzero(begins)
+    letters = after(~space)
+    bounds = np.append(letters[starts], letters[-1]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(x[~space])])
+    return found, np.diff(np.searchsorted(starts, ends)).astype(np.int32)
+
+
 def slice_kernel(window: int, size: int):
     """(row, text) to slices of texts that have a window."""
 
     def one(number, rows, counts, words):
-        local = pa.array(words, pa.binary()).dictionary_encode()
+        local = pa.concat_arrays(words).dictionary_encode()
         index = local.indices.to_numpy()
         keys = pa.StructArray.from_arrays([local.dictionary, pa.array(np.bincount(index, minlength=len(local.dictionary)))], ["word", "c"])
-        state = packed(np.array(rows, np.int64), np.array(counts, np.int64), index.astype(np.min_scalar_type(max(len(keys), 1))))
+        ids = np.frombuffer(b"".join(rows), U).reshape(-1, 2)
+        state = packed(ids, np.array(counts, np.int32), index)
         columns = [pa.array([number], pa.int64()), pa.array([state], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
         return pa.record_batch(columns, names=["slice", "state", "keys"])
 
     def kernel(batches):
-        number, rows, counts, words = TaskContext.get().partitionId() << 33, [], [], []
-        for b in few(batches, 256):
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = (text or "").encode().split()
-                if len(found) < window:
-                    continue
-                if words and len(words) + len(found) > size:
+        number, rows, counts, words, held = TaskContext.get().partitionId() << 33, [], [], [], 0
+        for b in few(batches, 512):
+            texts = b.filter(pc.greater_equal(pc.binary_length(b.column(1)), 2 * window - 1))  # shorter ones have no window
+            found, count = words_of_texts(texts.column(1))
+            ends = np.cumsum(count, dtype=np.int64)
+            for i in np.flatnonzero(count >= window).tolist():
+                n = int(count[i])
+                if held and held + n > size:
                     yield one(number, rows, counts, words)
-                    number, rows, counts, words = number + 1, [], [], []
-                rows.append(row)
-                counts.append(len(found))
-                words += found
-        if words:
+                    number, rows, counts, words, held = number + 1, [], [], [], 0
+                rows.append(texts.column(0)[i].as_py())
+                counts.append(n)
+                words.append(found.slice(ends[i] - n, n))
+                held += n
+        if held:
             yield one(number, rows, counts, words)
 
     return kernel
 
 
 def round_kernel(window: int, level: int):
-    """(slice, state, named) to the next state; named holds (place of a key, its name)."""
+    """(slice, state, sent) and (slice, pos, id), one slice at a time, to its next state; id names the key at pos."""
     schema = pa.schema(
         [
             ("slice", pa.int64()), ("state", pa.binary()), ("live", pa.int64()),
             ("keys", pa.list_(pa.struct([(k, pa.int64()) for k in "abl"] + [("c", pa.int64())]))),
-            ("stretches", pa.list_(pa.struct([(k, pa.int64()) for k in ("name", "h1", "h2", "row", "s", "n")] + [("moves", pa.bool_())]))),
+            ("stretches", pa.list_(pa.struct([*((k, pa.int64()) for k in ("name", "h1", "h2")), ("row", pa.binary()), ("s", pa.int64()), ("n", pa.int64()), ("moves", pa.bool_())]))),
         ]
     )
 
     def listed(columns, kind):
         fields = list(kind.value_type)
-        arrays = [pa.array(x, f.type) for x, f in zip(columns, fields)] if columns else [pa.array([], f.type) for f in fields]
+        arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns or [[]] * len(fields), fields)]
         return pa.ListArray.from_arrays(pa.array([0, len(arrays[0])], pa.int32()), pa.StructArray.from_arrays(arrays, fields=fields))
 
-    def names_of(cell, n: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        if cell.is_valid:
-            out[cell.values.field(0).to_numpy()] = cell.values.field(1).to_numpy()
-        return out
+    def kernel(states: pa.Table, names: pa.Table) -> pa.Table:
+        ids = np.zeros(states["sent"][0].as_py(), np.int64)
+        ids[names["pos"].to_numpy()] = names["id"].to_numpy()
+        blob = states["state"][0].as_py()
+        seq = Sequences.of_texts(window, *unpacked(blob), ids) if level == 0 else Sequences.loaded(window, blob, ids)
+        stretches, keys = seq.round(level)
+        live = len(seq.p)
+        state = pa.array([seq.saved() if live else None], pa.binary())
+        columns = [states["slice"].combine_chunks(), state, pa.array([live]), listed(keys, schema.field(3).type), listed(stretches, schema.field(4).type)]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    return kernel
+
+
+def naming_kernel(level: int, columns: int):
+    """(key columns, slice, pos, c), sorted by key, to (slice, pos, id) for keys whose counts add up to two or more."""
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.ones(t.num_rows, bool)
+        if columns == 1:  # words
+            new[:] = False
+            ends = pc.run_end_encode(t.column(0).combine_chunks()).run_ends.to_numpy()
+            new[0], new[ends[:-1]] = True, True
+        else:
+            new[1:] = reduce(np.logical_or, (x[1:] != x[:-1] for x in (t.column(i).to_numpy() for i in range(columns))))
+        return np.flatnonzero(new)
+
+    def key(b: pa.RecordBatch, at: int) -> tuple:
+        return tuple(b.column(i)[at].as_py() for i in range(columns))
 
     def kernel(batches):
-        for b in few(batches, 1):
-            blob, given, n = b.column(1)[0].as_py(), b.column(2)[0], b.column(3)[0].as_py()
-            ids = names_of(given, n)
-            seq = Sequences.of_texts(window, *unpacked(blob), ids) if level == 0 else Sequences.loaded(window, blob, ids)
-            stretches, keys = seq.round(level)
-            live = len(seq.p)
-            state = pa.array([seq.saved() if live else None], pa.binary())
-            yield pa.record_batch([b.column(0), state, pa.array([live]), listed(keys, schema.field(3).type), listed(stretches, schema.field(4).type)], schema=schema)
+        number, held = level * LEVEL + (TaskContext.get().partitionId() << 33) + 1, []
+
+        def answers(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            place, pos, c = (t.column(columns + i).to_numpy() for i in range(3))
+            often = np.add.reduceat(c, starts) >= 2
+            ids = number + np.cumsum(often) - 1
+            number += int(often.sum())
+            sizes = np.diff(np.append(starts, t.num_rows))
+            mask = np.repeat(often, sizes)
+            return pa.record_batch([pa.array(place[mask]), pa.array(pos[mask]), pa.array(np.repeat(ids, sizes)[mask])], names=["slice", "pos", "id"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if len(held) > 1 and key(b, b.num_rows - 1) == key(held[0], held[0].num_rows - 1) == key(held[0], 0):
+                continue  # one key goes on
+            t = pa.Table.from_batches(held)
+            starts = begins(t)
+            last = int(starts[-1])
+            if last:
+                yield answers(t.slice(0, last), starts[:-1])
+            held = t.slice(last).combine_chunks().to_batches()
+        if held:
+            yield answers(pa.Table.from_batches(held), np.zeros(1, np.int64))
 
     return kernel
 
 
-def named_keys(keys: DataFrame, columns: list[str], level: int, ws: Workspace) -> DataFrame:
-    """(slice, named, sent): the names of each slice's keys that occur twice or more in the corpus.
+def named_keys(state: DataFrame, columns: list[str], level: int, ws: Workspace) -> DataFrame:
+    """(slice, pos, id): names of each slice's keys that occur twice or more in the corpus.
 
-    keys: slice, pos, the key's columns, c. Names are written before anything reads them, so a task that is
-    repeated can't give others.
+    Names are written before anything reads them, so a task that is repeated can't give others.
     """
-    often = keys.groupBy(*columns).agg(F.sum("c").alias("c")).filter("c >= 2").select(*columns)
-    names = ws.table(often.withColumn("id", F.monotonically_increasing_id() + F.lit(level * LEVEL + 1)), "names")
-    found = keys.join(names, columns).select("slice", "pos", "id")
-    return found.groupBy("slice").agg(F.collect_list(F.struct("pos", "id")).alias("named")), names
+    keys = state.select("slice", F.posexplode("keys").alias("pos", "k"))
+    rows = keys.select(*(f"k.{c}" for c in columns), "slice", F.col("pos").cast("long").alias("pos"), "k.c")
+    rows = rows.repartition(*columns).sortWithinPartitions(*columns)
+    return ws.table(rows.mapInArrow(naming_kernel(level, len(columns)), "slice long, pos long, id long"), "names")
 
 
 def stretches_of(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> DataFrame:
@@ -333,15 +420,14 @@ def stretches_of(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: in
     state = ws.table(texts.mapInArrow(slice_kernel(window, size), SLICES), "slices")
     columns, level, out = ["word"], 0, []
     while True:
-        keys = state.select("slice", F.posexplode("keys").alias("pos", "k")).select("slice", "pos", *(f"k.{c}" for c in columns), "k.c")
-        lists, names = named_keys(keys, columns, level, ws)
-        rows = state.select("slice", "state", F.size("keys").alias("sent")).join(lists, "slice", "left")
-        rows = rows.filter("state is not null").select("slice", "state", "named", "sent")
-        after_round = ws.table(rows.mapInArrow(round_kernel(window, level), STATE), f"round-{level}")
-        out.append(ws.table(after_round.select(F.inline("stretches")), "stretches"))
-        live = after_round.agg(F.sum("live")).first()[0]
+        names = named_keys(state, columns, level, ws)
+        rows = state.filter("state is not null").select("slice", "state", F.size("keys").alias("sent"))
+        met = rows.groupBy("slice").cogroup(names.groupBy("slice")).applyInArrow(round_kernel(window, level), STATE)
+        now = ws.table(met, f"round-{level}")
+        out.append(ws.table(now.select(F.inline("stretches")), "stretches"))
+        live = now.agg(F.sum("live")).first()[0]
         ws.drop(state, names)
-        state, columns, level = after_round, ["a", "b", "l"], level + 1
+        state, columns, level = now, ["a", "b", "l"], level + 1
         if not live:
             ws.drop(state)
             return reduce(DataFrame.unionByName, out)
@@ -361,8 +447,9 @@ def window_kernel(window: int):
                     each = np.repeat(np.arange(len(n)), n)
                     at = s[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                     h1, h2 = digests_of(data, place[at], place[at + window] - 1)
-                    columns = (name[each], h1, h2, np.repeat(part.column(0)[i : i + 1].to_numpy(), len(at)), at, ~covered[each])
-                    yield pa.record_batch([pa.array(x) for x in columns], names=["name", "h1", "h2", "row", "s", "wanted"])
+                    row = binaries(np.broadcast_to(np.frombuffer(part.column(0)[i].as_py(), U), (len(at), 2)))
+                    columns = [pa.array(name[each]), pa.array(h1), pa.array(h2), row, pa.array(at), pa.array(~covered[each])]
+                    yield pa.record_batch(columns, names=["name", "h1", "h2", "row", "s", "wanted"])
 
     return kernel
 
@@ -421,26 +508,33 @@ def repeated_ranges(texts: DataFrame, ws: Workspace, window: int = WINDOW, size:
     marks = marked_by_window(rows.join(F.broadcast(hot), "name", "left_anti"))
     marks = marks.unionByName(marked_by_join(rows.join(F.broadcast(hot), "name", "left_semi"), ws))
     marks = ws.table(marks.filter("covered or publish"), "marks")
-    lists = marks.filter("publish").groupBy("row").agg(F.collect_list(F.struct("name", "s", "n", "covered")).alias("list"))
+    # sets, since rows that share id and text send the same
+    lists = marks.filter("publish").groupBy("row").agg(F.collect_set(F.struct("name", "s", "n", "covered")).alias("list"))
     published = texts.join(lists, "row").select("row", "text", "list")
-    windows = ws.table(published.mapInArrow(window_kernel(window), "name long, h1 long, h2 long, row long, s long, wanted boolean"), "windows")
+    windows = ws.table(published.mapInArrow(window_kernel(window), "name long, h1 long, h2 long, row binary, s long, wanted boolean"), "windows")
     key = ["name", "h1", "h2"]
     shared = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select(*key)
     shared = ws.table(shared, "shared")  # a table on both sides lets the planner split the join where a window is hot
     found = windows.filter("wanted").join(shared, key).select("row", "s", F.lit(1).cast("long").alias("n"))
     ranges = marks.filter("covered").select("row", "s", "n").unionByName(found)
-    return ws.table(ranges.groupBy("row").agg(F.collect_list(F.struct("s", "n")).alias("ranges")), "ranges")
+    return ws.table(ranges.groupBy("row").agg(F.collect_set(F.struct("s", "n")).alias("ranges")), "ranges")
+
+
+def row_digest(id_col: str, text_col: str):
+    """128 bits that stand for a row's id and text."""
+    of = lambda c: F.sha2(c.cast("binary"), 256)
+    both = F.concat(F.coalesce(of(F.col(id_col).cast("string")), F.lit("")), of(F.coalesce(F.col(text_col), F.lit(""))))
+    return F.unhex(F.substring(of(both), 1, 32))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", size: int = SLICE) -> DataFrame:
-    """docs with n_words, n_removed and kept_text (the kept words joined by one space)."""
+    """docs with n_words, n_removed and kept_text (the kept words joined by one space). docs are read three times."""
     docs, ws = docs.drop("n_words", "n_removed", "kept_text", "__row"), Workspace(docs.sparkSession)
-    # each row its own number, written so that it stays the same for all that follows
-    numbered = ws.table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    ranges = repeated_ranges(numbered.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), ws, window, size)
-    ws.keep_only(numbered, ranges)
+    keyed = docs.withColumn("__row", row_digest(id_col, text_col))
+    ranges = repeated_ranges(keyed.select(F.col("__row").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ws, window, size)
+    ws.keep_only(ranges)
     ranges = ranges.select(F.col("row").alias("__row"), F.col("ranges").alias("__ranges"))
-    out = numbered.join(ranges, "__row", "left").select(*docs.columns, "__ranges")
+    out = keyed.join(ranges, "__row", "left").select(*docs.columns, "__ranges")
     names = [*docs.columns, "n_words", "n_removed", "kept_text"]
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     kernel = removal_kernel(window, docs.columns.index(text_col), len(docs.columns), names)
