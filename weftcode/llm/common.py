@@ -10,6 +10,7 @@ Results are read from such tables as they are used, so the tables stay until ``r
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -89,6 +90,14 @@ class Workspace:
         delete(self.spark, where)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, as a literal of the plan: no Python worker makes it."""
+    fields = [x.split() for x in schema.split(", ")]
+    data = json.dumps([{name: v for (name, _), v in zip(fields, row)} for row in rows])
+    struct = ", ".join(f"{name}: {kind}" for name, kind in fields)
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{struct}>>")))
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that operators have written so far; results that read them are gone after that."""
     while _roots:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, load
+from .common import Workspace, load, small_table
 
 #: Share of the rows from which a digest surely counts as frequent.
 SUPPORT = 0.005
@@ -47,7 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = ws.table(text_digests(docs, id_col, text_col), "digests")
     frequent = frequent_digests(digests, support)
     verdict = [F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
-    candidates = spark.createDataFrame([(h,) for h in frequent], "h string").select(F.unhex("h").alias("digest"))
+    candidates = small_table(spark, [(h,) for h in frequent], "h string").select(F.unhex("h").alias("digest"))
     winners = digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(*verdict)
     heavy = digests.join(F.broadcast(winners), "digest")
     light = digests.join(F.broadcast(candidates), "digest", "left_anti")
