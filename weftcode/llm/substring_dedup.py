@@ -1,17 +1,20 @@
 """Substring deduplication by recompression.
 
-Texts become sequences of globally named symbols, and Spark rounds rename them. Round 0 names words. Each
-later round groups every maximal run of one symbol, calls each run left or right by a bit of its symbol
+First a sieve: of each window (35 words), the least of the 64-bit hashes of its 8-word stretches is counted over the
+corpus. Equal windows have the same at different places, so a window whose least hash is at one place only can't be repeated: it is dead, and
+words that no live window covers go. (Here alone hashes are compared; that two agree by chance keeps a window, and loses none.)
+
+Texts become sequences of globally named symbols, and Spark rounds rename them. The first round names words (one of up to
+seven bytes is its own name: the bytes and their number). Each later round groups every maximal run of one symbol, calls each run left or right by a bit of its symbol
 and length, and names every run longer than one and every pair of a left run and a right one after
 it. Names are given by a table over the whole corpus, from the exact key (symbol, length, symbol, length): two
 symbols have one name if and only if the same words stand below them. No hash stands for a name.
 
 What a round does depends on neighbours only, so two occurrences of a passage get the same symbols but
-for a few at each end. The symbols that a window (35 words) determines by itself are found level by
+for a few at each end. The symbols that a window determines by itself are found level by
 level: a round loses the run at each end, and then a right run at the left end or a left run at the right end,
 which might pair with something outside. A window that determines a symbol which occurs once in the corpus
-can't be repeated: it is dead, and words that no live window covers leave the sequences. So rounds get small fast.
-Rounds go on until no live window determines a symbol, at most window / 2 times.
+can't be repeated: it is dead too. Rounds go on until no live window determines a symbol, at most window / 2 times.
 
 A window's anchor is the longest symbol (then that of greatest name, then the leftmost) of those it determines
 at its highest level. Equal windows have equal anchors, and consecutive windows mostly share one.
@@ -52,19 +55,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import U, Workspace, joined, load, mix
+from .common import U, Workspace, joined, load, mix, small_table
 from .packing import few
 
 WINDOW = 35
 #: Share of the stretches from which an anchor's name is frequent.
 SUPPORT = 0.005
 #: Words of a slice, but for a longer text.
-SLICE = 1 << 20
-#: Names of a level start here; below, partitions times rows of its table of names count up.
-LEVEL = 1 << 52
+SLICE = 1 << 19
+#: Words of a stretch that the sieve hashes, for windows of WINDOW words.
+STRETCH_WORDS = 8
+#: Names that are given start here, those of each level further up; below, a partition's number and a count of its names.
+NAMES, LEVEL = 1 << 62, 1 << 52
+#: Bytes of the words that are their own names, which are below NAMES.
+OWN_NAME = 7
+BYTE_VALUES = np.random.default_rng(35).integers(1, 1 << 63, 256, dtype=U)
 IS_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 
-SLICES = "slice long, state binary, keys array<struct<word: binary, c: long>>"
+SLICES = "slice long, state binary, keys array<struct<a: long, c: long>>"
+SIEVED = "slice long, state binary, keys array<struct<word: binary, c: long>>"
 STRETCH = "name: long, h1: long, h2: long, row: binary, s: long, n: long, moves: boolean"
 STATE = f"slice long, state binary, live long, keys array<struct<a: long, b: long, l: long, c: long>>, stretches array<struct<{STRETCH}>>"
 
@@ -138,7 +147,7 @@ class Sequences:
 
     ``words`` index ``names`` (global names of words). Segment k of them begins at ``seg[k]``, which is
     word ``seg_at[k]`` of row ``rows[seg_row[k]]``. A symbol covers ``size`` words from ``start``; a
-    window begins at word ``p`` and determines the symbols ``lo`` to ``hi`` - 1. Symbols
+    window begins at word ``p`` and determines the symbols ``lo`` to ``hi`` - 1. Words and symbols
     not named yet are -1 - k for the k-th key that the slice sent.
     """
 
@@ -150,20 +159,20 @@ class Sequences:
         self.__dict__.update(fields)
 
     @classmethod
-    def of_texts(cls, window: int, rows: np.ndarray, counts: np.ndarray, words: np.ndarray, names: np.ndarray) -> Sequences:
-        n, end = len(words), places(counts)
-        p = np.arange(n, dtype=np.int32)
-        p = p[p + window <= np.repeat(end, counts)]
+    def of_texts(cls, window: int, rows: np.ndarray, counts: np.ndarray, words: np.ndarray) -> Sequences:
+        """Of whole texts, with all windows; words are named by their local numbers."""
+        n, end, p = len(words), places(counts), windows_in(window, counts)
         return cls(
-            window, rows=rows, names=names, words=words, seg=end - counts, seg_row=np.arange(len(rows)), seg_at=np.zeros(len(rows), np.int32),
-            sym=names[words], start=np.arange(n, dtype=np.int32), size=np.ones(n, np.int32), p=p, lo=p, hi=p + np.int32(window),
+            window, rows=rows, names=np.arange(words.max() + 1), words=words, seg=end - counts, seg_row=np.arange(len(rows)), seg_at=np.zeros(len(rows), np.int32),
+            sym=words.astype(np.int64), start=np.arange(n, dtype=np.int32), size=np.ones(n, np.int32), p=p, lo=p, hi=p + np.int32(window),
         )
 
     @classmethod
     def loaded(cls, window: int, blob: bytes, ids: np.ndarray) -> Sequences:
         fields = {k: places(x) if k in cls.SORTED else x for k, x in zip(cls.FIELDS, unpacked(blob))}
-        pending = fields["sym"] < 0
-        fields["sym"][pending] = ids[-1 - fields["sym"][pending]]
+        for k in ("names", "sym"):
+            pending = fields[k] < 0
+            fields[k][pending] = ids[-1 - fields[k][pending]]
         return cls(window, **fields)
 
     def saved(self) -> bytes:
@@ -295,16 +304,75 @@ def words_of_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found, np.diff(np.searchsorted(starts, ends)).astype(np.int32)
 
 
+def sliding(least, x: np.ndarray, n: int) -> np.ndarray:
+    """least (np.minimum or np.maximum) of every n values in a row."""
+    size = 1
+    while 2 * size <= n:
+        x, size = least(x[:-size], x[size:]), 2 * size
+    return least(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    x = BYTE_VALUES[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+    starts = ends[:-1] - ends[0]
+    place = np.arange(len(x)) - np.repeat(starts, np.diff(ends))
+    return mix(np.add.reduceat(mix(x + place.astype(U)), starts))
+
+
+def own_names(words: pa.Array) -> np.ndarray:
+    """The names of words of up to OWN_NAME bytes, and 0 for longer ones."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    x, n = np.frombuffer(data, np.uint8), np.diff(ends)
+    out = n << 56
+    for k in range(OWN_NAME):
+        here = n > k
+        out[here] |= x[ends[:-1][here] + k].astype(np.int64) << 8 * k
+    return np.where(n <= OWN_NAME, out, 0)
+
+
+def windows_in(window: int, counts: np.ndarray) -> np.ndarray:
+    """Where windows begin that end in the same text."""
+    end = np.repeat(places(counts), counts)
+    p = np.arange(len(end), dtype=np.int32)
+    return p[p + window <= end]
+
+
+def least_hashes(window: int, hashes: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows inside texts, the least hash of each one's stretches, and the hashes at all places that are some window's least."""
+    k = min(window, STRETCH_WORDS)
+    x, n = hashes[words], len(words)
+    g = np.zeros(n - k + 1, U)
+    for j in range(k):
+        g += x[j : n - k + 1 + j] * U(2 * j + 0x9E3779B97F4A7C15)
+    g = mix(g)
+    width = window - k + 1
+    least = sliding(np.minimum, g, width)  # of the window from each place, across texts too
+    p = windows_in(window, counts)
+    real = np.zeros(len(least) + 2 * (width - 1), U)
+    real[width - 1 + p] = least[p]
+    most = sliding(np.maximum, real, width)  # over the windows that cover each stretch
+    return p, least[p], g[(most == g) & (g > 0)]
+
+
 def slice_kernel(window: int, size: int):
-    """(row, text) to slices of texts that have a window."""
+    """(row, text) to slices of texts that have a window; the keys are least hashes and their numbers of places."""
 
     def one(number, rows, counts, words):
         local = pa.concat_arrays(words).dictionary_encode()
-        index = local.indices.to_numpy()
-        keys = pa.StructArray.from_arrays([local.dictionary, pa.array(np.bincount(index, minlength=len(local.dictionary)))], ["word", "c"])
+        index, counts = local.indices.to_numpy(), np.array(counts, np.int32)
+        _, least, at = least_hashes(window, word_hashes(local.dictionary), index, counts)
+        keys, c = np.unique(at, return_counts=True)
+        turns = np.flatnonzero(np.append(True, least[1:] != least[:-1]))  # windows side by side mostly share it
+        which = np.repeat(np.searchsorted(keys, least[turns]).astype(np.int32), np.diff(np.append(turns, len(least))))
         ids = np.frombuffer(b"".join(rows), U).reshape(-1, 2)
-        state = packed(ids, np.array(counts, np.int32), index)
-        columns = [pa.array([number], pa.int64()), pa.array([state], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
+        _, offsets, data = local.dictionary.buffers()
+        state = packed(ids, counts, which, index, np.frombuffer(offsets, np.int32, len(local.dictionary) + 1), np.frombuffer(data, np.uint8))
+        structs = pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], ["a", "c"])
+        columns = [pa.array([number], pa.int64()), pa.array([state], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), structs)]
         return pa.record_batch(columns, names=["slice", "state", "keys"])
 
     def kernel(batches):
@@ -328,6 +396,35 @@ def slice_kernel(window: int, size: int):
     return kernel
 
 
+def names_at(names: pa.Table, n: int) -> np.ndarray:
+    """The name of each of n keys, 0 for those that have none."""
+    out = np.zeros(n, np.int64)
+    out[names["pos"].to_numpy()] = names["id"].to_numpy()
+    return out
+
+
+def sieve_kernel(window: int):
+    """(slice, state, sent) and (slice, pos, id), one slice at a time, to its live words; keys are the words that need a name, and their counts."""
+    schema = pa.schema([("slice", pa.int64()), ("state", pa.binary()), ("keys", pa.list_(pa.struct([("word", pa.binary()), ("c", pa.int64())])))])
+
+    def kernel(states: pa.Table, names: pa.Table) -> pa.Table:
+        rows, counts, which, words, offsets, data = unpacked(states["state"][0].as_py())
+        vocabulary = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        seq = Sequences.of_texts(window, rows, counts, words)
+        seq.pick(names_at(names, states["sent"][0].as_py())[which] > 0)
+        live = vocabulary.take(pa.array(seq.names))
+        count = np.bincount(seq.words, minlength=len(live)).astype(np.int64)
+        seq.names = own_names(live) if len(live) else np.zeros(0, np.int64)
+        sent = np.flatnonzero(seq.names == 0)
+        seq.names[sent] = -1 - np.arange(len(sent))
+        seq.sym = seq.names[seq.words]
+        keys = pa.StructArray.from_arrays([live.take(pa.array(sent)), pa.array(count[sent])], ["word", "c"])
+        state = pa.array([seq.saved() if len(seq.p) else None], pa.binary())
+        return pa.Table.from_arrays([states["slice"].combine_chunks(), state, pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)], schema=schema)
+
+    return kernel
+
+
 def round_kernel(window: int, level: int):
     """(slice, state, sent) and (slice, pos, id), one slice at a time, to its next state; id names the key at pos."""
     schema = pa.schema(
@@ -344,10 +441,7 @@ def round_kernel(window: int, level: int):
         return pa.ListArray.from_arrays(pa.array([0, len(arrays[0])], pa.int32()), pa.StructArray.from_arrays(arrays, fields=fields))
 
     def kernel(states: pa.Table, names: pa.Table) -> pa.Table:
-        ids = np.zeros(states["sent"][0].as_py(), np.int64)
-        ids[names["pos"].to_numpy()] = names["id"].to_numpy()
-        blob = states["state"][0].as_py()
-        seq = Sequences.of_texts(window, *unpacked(blob), ids) if level == 0 else Sequences.loaded(window, blob, ids)
+        seq = Sequences.loaded(window, states["state"][0].as_py(), names_at(names, states["sent"][0].as_py()))
         stretches, keys = seq.round(level)
         live = len(seq.p)
         state = pa.array([seq.saved() if live else None], pa.binary())
@@ -362,7 +456,7 @@ def naming_kernel(level: int, columns: int):
 
     def begins(t: pa.Table) -> np.ndarray:
         new = np.ones(t.num_rows, bool)
-        if columns == 1:  # words
+        if t.schema.types[0] == pa.binary():  # words
             new[:] = False
             ends = pc.run_end_encode(t.column(0).combine_chunks()).run_ends.to_numpy()
             new[0], new[ends[:-1]] = True, True
@@ -374,7 +468,7 @@ def naming_kernel(level: int, columns: int):
         return tuple(b.column(i)[at].as_py() for i in range(columns))
 
     def kernel(batches):
-        number, held = level * LEVEL + (TaskContext.get().partitionId() << 33) + 1, []
+        number, held = NAMES + level * LEVEL + (TaskContext.get().partitionId() << 33), []
 
         def answers(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
             nonlocal number
@@ -404,33 +498,40 @@ def naming_kernel(level: int, columns: int):
     return kernel
 
 
-def named_keys(state: DataFrame, columns: list[str], level: int, ws: Workspace) -> DataFrame:
+def named_keys(state: DataFrame, columns: list[str], level: int) -> DataFrame:
     """(slice, pos, id): names of each slice's keys that occur twice or more in the corpus.
 
-    Names are written before anything reads them, so a task that is repeated can't give others.
+    A name follows from the partition of its key and the key's place in order there, so a task that is
+    repeated gives the same.
     """
     keys = state.select("slice", F.posexplode("keys").alias("pos", "k"))
     rows = keys.select(*(f"k.{c}" for c in columns), "slice", F.col("pos").cast("long").alias("pos"), "k.c")
     rows = rows.repartition(*columns).sortWithinPartitions(*columns)
-    return ws.table(rows.mapInArrow(naming_kernel(level, len(columns)), "slice long, pos long, id long"), "names")
+    return rows.mapInArrow(naming_kernel(level, len(columns)), "slice long, pos long, id long")
+
+
+def answered(state: DataFrame, columns: list[str], level: int, kernel, schema: str) -> DataFrame:
+    """The next state of each slice, from its state and the names of its keys."""
+    names = named_keys(state, columns, level)
+    rows = state.filter("state is not null").select("slice", "state", F.size("keys").alias("sent"))
+    return rows.groupBy("slice").cogroup(names.groupBy("slice")).applyInArrow(kernel, schema)
 
 
 def stretches_of(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> DataFrame:
     """All rounds: the stretches (name, h1, h2, row, s, n, moves) of live windows. texts: row, text."""
-    state = ws.table(texts.mapInArrow(slice_kernel(window, size), SLICES), "slices")
+    slices = ws.table(texts.mapInArrow(slice_kernel(window, size), SLICES), "slices")
+    state = ws.table(answered(slices, ["a"], 0, sieve_kernel(window), SIEVED), "sieved")
+    ws.drop(slices)
     columns, level, out = ["word"], 0, []
     while True:
-        names = named_keys(state, columns, level, ws)
-        rows = state.filter("state is not null").select("slice", "state", F.size("keys").alias("sent"))
-        met = rows.groupBy("slice").cogroup(names.groupBy("slice")).applyInArrow(round_kernel(window, level), STATE)
-        now = ws.table(met, f"round-{level}")
-        out.append(ws.table(now.select(F.inline("stretches")), "stretches"))
+        now = ws.table(answered(state, columns, level, round_kernel(window, level), STATE), f"round-{level}")
+        out.append(ws.table(now.select(F.inline("stretches")), "stretches")._weft_path)
         live = now.agg(F.sum("live")).first()[0]
-        ws.drop(state, names)
+        ws.drop(state)
         state, columns, level = now, ["a", "b", "l"], level + 1
         if not live:
             ws.drop(state)
-            return reduce(DataFrame.unionByName, out)
+            return ws.spark.read.schema(STRETCH.replace(":", "")).parquet(*out)
 
 
 def window_kernel(window: int):
@@ -477,7 +578,7 @@ def frequent_names(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     """Misra-Gries: all names of more than this share of the stretches, and perhaps others, 1 / support at most."""
     found = rows.freqItems(["name"], support).first()
     names = [(n,) for n in (found[0] or []) if n is not None] if found else []
-    return rows.sparkSession.createDataFrame(names, "name long")
+    return small_table(rows.sparkSession, names, "name long")
 
 
 def marked_by_window(rows: DataFrame) -> DataFrame:
