@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load
+from .common import load, small_table
 from .packing import few
 
 FILTERS, WIDTH, HALF, HIDDEN = 24, 5, 128, 16
@@ -187,11 +187,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chosen, left = {}, SAMPLE_BYTES
     for r in sizes.orderBy(*order).limit(SAMPLE_ROWS).collect():
         if r.n <= left and r.id not in chosen:
-            chosen[r.id] = r.y
+            chosen[r.id] = (r.y, r.n)
             left -= r.n
-    got = texts.filter(F.col("id").isin(sorted(chosen))).collect() if chosen else []
-    got = sorted({r.id: (r.id, r.text.encode(), chosen[r.id]) for r in sorted(got)}.values())
-    return [r[1] for r in got], [r[2] for r in got]
+    if not chosen:
+        return [], []
+    # one text of each id, of the size that was counted
+    picked = small_table(docs.sparkSession, [(i, n) for i, (_, n) in chosen.items()], "id long, n long")
+    sized = texts.withColumn("n", F.octet_length("text").cast("long")).join(F.broadcast(picked), ["id", "n"])
+    got = sorted(sized.groupBy("id").agg(F.min("text").alias("text")).collect())
+    return [r.text.encode() for r in got], [chosen[r.id][0] for r in got]
 
 
 def held_out(doc_id):
