@@ -47,7 +47,7 @@ PREFIX = COORDINATES - MATCHES + 1
 #: Lists of more classes than this are hot.
 HOT = 16
 #: Members of a cluster, and shingles of them, that one task compares with as many others at a time.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 _rng = np.random.default_rng(64)
 XORS = _rng.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
