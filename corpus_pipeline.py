@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
 again as the next one's docs. All but the last return the columns of docs.
+
+Defined results, of every stage: a null text counts as empty; where nothing of a text goes, it stays as it was, null or not, and
+n_chars too. Empty texts are scored like others, have no lines, shingles or passages to lose, and pack into their end id. Rows with a
+null id are scored, keep all lines, are near-duplicates of nothing, and lose passages. Rows that repeat an id are rows of one
+document: they share its lines, near-duplicates by ids keep or drop all of them, and passages are judged row by row. Ties go to the smallest id. An
+empty table gives an empty result, without labels every document stays, and other columns are carried along.
 """
 
 from __future__ import annotations

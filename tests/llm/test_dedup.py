@@ -309,17 +309,29 @@ def test_slices_do_not_matter(spark, size):
 
 def test_names_are_global_and_exact(spark):
     """Equal words have one name in all slices, and nothing else has it."""
-    rows = [(i.to_bytes(16, "little"), f"a b c d{i % 3} " * 12) for i in range(9)]
+    rows = [(i.to_bytes(16, "little"), f"a word-that-is-long another-word d{i % 3}-and-more " * 12) for i in range(9)]
     texts = spark.createDataFrame(rows, "row binary, text string").repartition(4)
     ws = Workspace(spark)
-    state = ws.table(texts.mapInArrow(substring_dedup.slice_kernel(35, 1), substring_dedup.SLICES), "slices")
-    names = substring_dedup.named_keys(state, ["word"], 0, ws)
+    slices = ws.table(texts.mapInArrow(substring_dedup.slice_kernel(35, 1), substring_dedup.SLICES), "slices")
+    state = ws.table(substring_dedup.answered(slices, ["a"], 0, substring_dedup.sieve_kernel(35), substring_dedup.SIEVED), "sieved")
+    names = ws.table(substring_dedup.named_keys(state, ["word"], 0), "names")
     keys = state.select("slice", F.posexplode("keys").alias("pos", "k")).join(names, ["slice", "pos"])
     of = {(bytes(r.k.word), r.id) for r in keys.collect()}
-    assert len(of) == len({w for w, _ in of}) == len({i for _, i in of}) == 6 and {w for w, _ in of} == {b"a", b"b", b"c", b"d0", b"d1", b"d2"}
+    assert len(of) == len({w for w, _ in of}) == len({i for _, i in of}) == 5 and b"a" not in {w for w, _ in of}
+    assert min(i for _, i in of) >= substring_dedup.NAMES
     assert keys.select("slice").distinct().count() == 9
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.binary(min_size=1, max_size=9), min_size=1, max_size=30))
+def test_short_words_are_their_own_names(words):
+    words = sorted(words)
+    names = substring_dedup.own_names(pa.array([b"skip", *words]).slice(1)).tolist()
+    short = [n for n, w in zip(names, words) if len(w) <= 7]
+    assert all((n == 0) == (len(w) > 7) for n, w in zip(names, words)) and len(set(short)) == len(short)
+    assert all(0 < n < substring_dedup.NAMES for n in short)
+
+
 def test_a_hot_key_that_fills_batches_has_one_name():
     kernel = substring_dedup.naming_kernel(0, 3)
     rows = [(1, 1, 1, k, 0, 1) for k in range(3)] + [(2, 2, 2, k, 1, 1) for k in range(25)] + [(3, 3, 3, 0, 2, 1), (4, 4, 4, 0, 3, 2)]

@@ -221,6 +221,16 @@ def pack(docs: DataFrame, vocab: str | None = None, longest: int = MAX_LENGTH, e
     )
 
 
+def write_buckets(packed: DataFrame, where: str) -> None:
+    """Sequences in a folder for each length (a bucket): what is read of one bucket stacks without padding."""
+    packed.write.partitionBy("length").parquet(where)
+
+
+def read_bucket(spark, where: str, length: int) -> DataFrame:
+    """The sequences of one length; other buckets' files aren't opened."""
+    return spark.read.parquet(where).filter(F.col("length") == length)
+
+
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     out = pack(load(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
