@@ -101,6 +101,45 @@ def test_minibatches_partition_the_rows(spark):
     assert patches.minibatches(frame(spark).limit(0), 7).count() == 0
 
 
+def test_minibatches_of_wide_rows_and_small_partitions(spark):
+    """Adaptive execution joins partitions by their bytes: numbers must not depend on that."""
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"]
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        spark.conf.set(names[0], "1m")
+        spark.conf.set(names[1], "40")
+        wide = spark.range(40_000).withColumn("x", F.expr("transform(sequence(1, 80), i -> rand())"))
+        got = patches.minibatches(wide, 64).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("size")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.batch_id, r.n, r["size"]) for r in got) == [(b, 64, 80) for b in range(625)]
+
+
+def test_sampling_of_images_whose_ids_have_gaps(spark):
+    images = patches.exclude(frame(spark), list(range(0, 40, 3)))
+    rows = patches.sample_patches(images, 500, 4, 4, (2, 2)).collect()
+    assert len(rows) == 500 and {r.id for r in rows} == {i for i in range(40) if i % 3}
+    for r in rows[:50]:
+        assert np.array_equal(np.reshape(r.x, (2, 2)), X[r.id].reshape(4, 4)[r.top : r.top + 2, r.left : r.left + 2])
+
+
+def test_numbered_rows_with_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(patches, "BUCKET", 100)
+    ids = spark.range(0, 9000, 3).repartition(7).withColumn("x", F.array(F.col("id").cast("double")))
+    rows = patches.sample_patches(ids, 4000, 2, 2, (1, 1), cols=()).groupBy("id").count().collect()
+    assert sum(r[1] for r in rows) == 4000 and {r.id for r in rows} <= set(range(0, 9000, 3)) and len(rows) > 2000
+    out = patches.minibatches(ids, 10, epoch=4).select("batch_id", "id").collect()
+    assert list(np.bincount([r.batch_id for r in out])) == [10] * 300
+
+
+def test_long_vectors_make_short_plans(spark):
+    wide = frame(spark, RNG.normal(size=(4, 4096)))
+    centred, means = patches.center_components(wide)
+    assert len(means) == 4096 and len(centred._jdf.queryExecution().analyzed().toString()) < 200_000
+    assert np.allclose(column(centred).mean(0), 0)
+
+
 def test_order_of_steps_is_checked():
     for steps in ([("patch", 3, (2, 2)), ("standardize",)], [("tile", (2, 2)), ("filter", None)], [("center_samples",)], [("tile", (2, 2)), ("patch", 3, (1, 1))], [("spin",)]):
         with pytest.raises(ValueError):
@@ -305,6 +344,18 @@ def test_conv_training_and_ica(spark):
         learning.train_ica(lambda t: frame(spark), 1, D, 0.1)
 
 
+def test_no_rows_are_an_error(spark):
+    none = frame(spark).limit(0)
+    calls = [
+        lambda: learning.train_ica(lambda t: none, 1, np.eye(16), 0.1), lambda: learning.code_stats(none.withColumn("code", F.col("x"))),
+        lambda: learning.nonuniformity(none.withColumnRenamed("x", "code"), [[0, 1]], 2),
+        lambda: learning.conv_gradient(none.withColumn("code", F.col("x")), np.ones((1, 1, 2, 2)), (1, 3, 3), (1, 1), (4, 4)),
+    ]
+    for call in calls:
+        with pytest.raises(ValueError, match="no rows"):
+            call()
+
+
 def test_pca(spark):
     centred = X - X.mean(0)
     basis, variances = learning.train_pca(frame(spark, centred))
@@ -501,3 +552,21 @@ def test_maintenance_by_kind(spark):
     for bad in ({"kind": "spin", "action": "reset"}, {"kind": "cosine", "action": "reset"}, {"kind": "random", "action": "hide"}, {"kind": "nonuniform", "action": "prune"}):
         with pytest.raises((KeyError, ValueError)):
             learning.maintain(d, rng=rng, **bad)
+
+
+def test_numbers_without_a_symbol_or_a_code_are_errors(spark):
+    coded = lambda q: jpeg.run_lengths(spark.createDataFrame([(0, q)], "id long, q array<int>"))
+    tables = jpeg.fixed_table(jpeg.ac_alphabet()), jpeg.fixed_table(jpeg.dc_alphabet())
+    for q, match in (([3, 70000, 0, 0], "no symbol"), ([70000, 0, 0, 0], "no symbol"), ([3, 2000, 0, 0], "no code"), ([-(1 << 14), 1, 0, 0], "no code")):
+        with pytest.raises(Exception, match=match):
+            jpeg.encode(coded(q), *tables).collect()
+    (row,) = jpeg.encode(coded([3, -1023, 0, 0]), *tables).collect()
+    assert jpeg.decode(row.bits, *tables, 4) == [3, -1023, 0, 0]
+
+
+def test_image_files_of_other_kinds_have_a_reader_of_their_own(spark, tmp_path):
+    (tmp_path / "a.own").write_bytes(bytes(range(6)))
+    with pytest.raises(NotImplementedError):
+        datasets.read_images(spark, str(tmp_path), "own")
+    (row,) = datasets.read_images(spark, str(tmp_path), "own", lambda data: [np.frombuffer(data, np.uint8).reshape(2, 3).astype(float)]).collect()
+    assert (row.height, row.width, row.channels, row.x) == (2, 3, 1, [0, 1, 2, 3, 4, 5])

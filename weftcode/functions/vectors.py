@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,8 @@ def from_long(df: DataFrame) -> DataFrame:
 
 
 def literal(values) -> F.Column:
-    """A small driver-side vector as an array literal."""
-    return F.array(*(F.lit(float(v)) for v in values))
+    """A driver-side vector as one array literal (an expression a component would make plans of its length)."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def batch_matrix(column) -> np.ndarray:
@@ -85,35 +86,47 @@ def apply_rows(df: DataFrame, ins: list[str], outs: list[str], fn: Callable[...,
     return df.mapInArrow(kernel, T.StructType(fields))
 
 
+#: Blocks that are left after each round of adding up tasks' matrices.
+ROUNDS = (256, 16)
+BLOCK = "name string, height long, data binary, slot long"
+
+
 def sum_matrices(df: DataFrame, ins: list[str], fn: Callable[..., dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Sums over all rows of what fn returns for a batch: {name: matrix}.
 
-    Each task adds up its batches and emits its entries once; entries are then
-    added by (name, i, j) in an ordinary aggregation, so the driver gets one matrix of each name, however
-    many rows or tasks there are.
+    Each task adds up its batches and emits one block of bytes for each matrix; blocks are added up in rounds of
+    tasks, so the driver gets 16 of a name at most, however many rows or tasks there are.
     """
 
-    def kernel(batches):
+    def added(total: dict, name: str, m: np.ndarray) -> None:
+        total[name] = total[name] + m if name in total else m
+
+    def blocks(total: dict[str, np.ndarray]):
+        slot = TaskContext.get().partitionId()
+        for k, m in total.items():
+            yield pa.record_batch([pa.array([k]), pa.array([len(m)]), pa.array([m.tobytes()], pa.binary()), pa.array([slot])], names=["name", "height", "data", "slot"])
+
+    def first(batches):
         total: dict[str, np.ndarray] = {}
         for b in sliced(batches, list(range(len(ins)))):
             if b.num_rows:
                 for k, m in fn(*(batch_matrix(b.column(i)) for i in range(len(ins)))).items():
-                    m = np.atleast_2d(np.asarray(m, np.float64))
-                    total[k] = total[k] + m if k in total else m
-        for k, m in total.items():
-            i, j = np.indices(m.shape)
-            yield pa.record_batch([pa.array([k] * m.size), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(m.ravel())], names=["name", "i", "j", "v"])
+                    added(total, k, np.atleast_2d(np.asarray(m, np.float64)))
+        yield from blocks(total)
 
-    parts = df.select(*ins).mapInArrow(kernel, "name string, i long, j long, v double")
+    def again(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for k, height, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+                added(total, k, np.frombuffer(data).reshape(height, -1))
+        yield from blocks(total)
+
+    parts = df.select(*ins).mapInArrow(first, BLOCK)
+    for most in ROUNDS:
+        parts = parts.repartition(F.pmod("slot", F.lit(most))).mapInArrow(again, BLOCK)
     out: dict[str, np.ndarray] = {}
-    rows = parts.groupBy("name", "i", "j").agg(F.sum("v").alias("v")).toArrow()
-    if rows.num_rows:
-        names = np.array(rows["name"].to_pylist())
-        i, j, v = (rows[c].to_numpy() for c in ("i", "j", "v"))
-        for k in np.unique(names):
-            mine = names == k
-            out[str(k)] = np.zeros((i[mine].max() + 1, j[mine].max() + 1))
-            out[str(k)][i[mine], j[mine]] = v[mine]
+    for r in parts.collect():
+        added(out, r.name, np.frombuffer(r.data).reshape(r.height, -1))
     return out
 
 

@@ -38,10 +38,15 @@ class Stats:
         return (self.cc @ d - self.cx) / self.n
 
 
-def code_stats(df: DataFrame, code: str = "code", col: str = "x") -> Stats:
-    sums = sum_matrices(df, [code, col], lambda c, x: {"cc": c.T @ c, "cx": c.T @ x, "n": [[len(c)]]})
+def needed(sums: dict) -> dict:
+    """The sums, of one row at least."""
     if not sums:
         raise ValueError("no rows")
+    return sums
+
+
+def code_stats(df: DataFrame, code: str = "code", col: str = "x") -> Stats:
+    sums = needed(sum_matrices(df, [code, col], lambda c, x: {"cc": c.T @ c, "cx": c.T @ x, "n": [[len(c)]]}))
     return Stats(sums["cc"], sums["cx"], int(sums["n"][0, 0]))
 
 
@@ -111,7 +116,7 @@ def conv_gradient(df: DataFrame, kernels: np.ndarray, code_shape: tuple[int, int
         g = np.tensordot(codes, views, ((0, 2, 3), (0, 2, 3)))
         return {"g": g.reshape(len(kernels), -1), "e": (codes**2).sum((0, 2, 3)), "n": [[len(c)]]}
 
-    sums = sum_matrices(df, [code, col], fn)
+    sums = needed(sum_matrices(df, [code, col], fn))
     n = int(sums["n"][0, 0])
     return sums["g"].reshape(kernels.shape) / n, sums["e"][0] / n, n
 
@@ -205,7 +210,7 @@ def train_ica(batches: Callable[[int], DataFrame], iterations: int, start: np.nd
         raise ValueError("the dictionary is not square")
     for t in range(iterations):
         inverse = np.linalg.inv(d)
-        sums = sum_matrices(batches(t), ["x"], lambda x, m=inverse: {"cs": (x @ m).T @ np.sign(x @ m), "n": [[len(x)]]})
+        sums = needed(sum_matrices(batches(t), ["x"], lambda x, m=inverse: {"cs": (x @ m).T @ np.sign(x @ m), "n": [[len(x)]]}))
         d = ica_step(d, sums["cs"], int(sums["n"][0, 0]), step)
     return d
 
@@ -296,7 +301,7 @@ def nonuniformity(df: DataFrame, groups: list[list[int]], circles: int, seed: in
                 rows[k * circles + q] = np.histogram(np.arctan2(p[:, 1], p[:, 0]), edges)[0]
         return {"h": rows}
 
-    counts = sum_matrices(df, [code], fn)["h"]
+    counts = needed(sum_matrices(df, [code], fn))["h"]
     total = counts.sum(1, keepdims=True)
     density = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
     return density.var(1).reshape(len(groups), circles).mean(1)

@@ -124,11 +124,33 @@ def center_samples(df: DataFrame, col: str = "x") -> DataFrame:
     return df.withColumn("__mean", mean).withColumn(col, F.transform(col, lambda v: v - F.col("__mean"))).drop("__mean")
 
 
+def numbered(df: DataFrame, bucket, order: tuple[str, ...], out: str = "number") -> DataFrame:
+    """Add the rows' places, from 0, in the order of these columns.
+
+    bucket is a column that never falls in that order and that depends on a row's values alone, so buckets are
+    counted and rows are numbered inside them in plans of their own, whatever these plans' partitions are; one
+    global window would put all rows into one task. Only the buckets' counts go to the driver.
+    """
+    rows = df.withColumn("__bucket", bucket)
+    counts, before, total = sorted(tuple(r) for r in rows.groupBy("__bucket").count().collect()), [], 0
+    for k, n in counts:
+        before.append((k, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(before, "__bucket long, __before long")
+    local = F.row_number().over(W.partitionBy("__bucket").orderBy(*order)) - 1
+    placed = rows.withColumn("__local", local).join(F.broadcast(starts), "__bucket")
+    return placed.withColumn(out, F.col("__before") + F.col("__local")).drop("__bucket", "__local", "__before")
+
+
+#: Rows that a bucket of numbered rows has on average, and the most buckets there are.
+BUCKET, BUCKETS = 1 << 16, 1 << 14
+
+
 def sample_patches(images: DataFrame, n: int, height: int, width: int, patch: tuple[int, int], edge: int = 0, seed: int = 0, cols: tuple[str, ...] = ("x",)) -> DataFrame:
-    """n random patches: (patch_id, id, top, left, columns). images: id 0..k-1 dense, x in (v, h) order.
+    """n random patches: (patch_id, id, top, left, columns). images: distinct integer ids, x in (v, h) order.
 
-    The image and the corner come from seeded hashes of the patch's number, uniform over the
-    images and over corners edge <= corner < size - patch - edge.
+    The image (by its place in the order of the ids) and the corner come from seeded hashes of the patch's number,
+    uniform over the images and over corners edge <= corner < size - patch - edge.
     """
     k = images.count()
     down, across = height - patch[0] - 2 * edge, width - patch[1] - 2 * edge
@@ -139,31 +161,26 @@ def sample_patches(images: DataFrame, n: int, height: int, width: int, patch: tu
         digest = F.md5(F.concat_ws("-", F.lit(what), F.col("patch_id"), F.lit(seed)))
         return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % m).cast("int")
 
+    parts = min(BUCKETS, k // BUCKET)
+    bounds = images.approxQuantile("id", [i / (parts + 1) for i in range(1, parts + 1)], 1 / (4 * parts)) if parts else []
+    bucket = F.size(F.filter(literal(sorted(set(bounds))), lambda x: x <= F.col("id"))).cast("long") if bounds else F.lit(0).cast("long")
+    held = numbered(images.select("id", *cols), bucket, ("id",), "__number")
     picks = images.sparkSession.range(n).withColumnRenamed("id", "patch_id")
-    picks = picks.select("patch_id", draw("image", k).cast("long").alias("id"), (draw("v", down) + edge).alias("top"), (draw("h", across) + edge).alias("left"))
+    picks = picks.select("patch_id", draw("image", k).cast("long").alias("__number"), (draw("v", down) + edge).alias("top"), (draw("h", across) + edge).alias("left"))
     cut = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(patch[0] - 1)), lambda r: F.slice(c, (F.col("top") + r) * width + F.col("left") + 1, patch[1])))
-    return picks.join(images.select("id", *cols), "id").select("patch_id", "id", "top", "left", *(cut(c).alias(c) for c in cols))
+    return picks.join(held, "__number").select("patch_id", "id", "top", "left", *(cut(c).alias(c) for c in cols))
 
 
 def minibatches(df: DataFrame, batch_size: int, epoch: int = 0, id_col: str = "id") -> DataFrame:
     """Add batch_id: rows in the order of a hash of (id, epoch), cut into batches; the last may be short.
 
-    Rows are range-partitioned and numbered inside their partition; only the partitions' counts go to
-    the driver. An order by one global window would put all rows into one task.
+    The hash's first digits are the bucket (see ``numbered``), so buckets are about equally large.
     """
     key = F.md5(F.concat_ws("-", F.col(id_col), F.lit(epoch)))
-    spread = df.withColumn("__key", key).repartitionByRange("__key", id_col).sortWithinPartitions("__key", id_col)
-    spread = spread.withColumn("__part", F.spark_partition_id())
-    counts = dict(spread.groupBy("__part").count().collect())
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(F.lit(total).cast("long"))
-        total += counts.get(p, 0)
-    if not before:
-        return df.withColumn("batch_id", F.lit(0).cast("long"))
-    local = F.row_number().over(W.partitionBy("__part").orderBy("__key", id_col)) - 1
-    number = F.element_at(F.array(*before), F.col("__part") + 1) + local
-    return spread.withColumn("batch_id", F.floor(number / batch_size)).drop("__key", "__part")
+    digits = next(d for d in range(1, 5) if 16**d * BUCKET > df.count() or 16 ** (d + 1) > BUCKETS)
+    bucket = F.conv(F.substring("__key", 1, digits), 16, 10).cast("long")
+    out = numbered(df.withColumn("__key", key), bucket, ("__key", id_col), "__number")
+    return out.withColumn("batch_id", F.floor(F.col("__number") / batch_size)).drop("__key", "__number")
 
 
 class Pipeline:
