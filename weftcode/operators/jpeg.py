@@ -29,6 +29,8 @@ LUMINANCE = np.array(
     ]
 )
 ZERO_RUN, END_OF_BLOCK, NO_DC = "f0", "00", "-"
+#: A symbol has one hexadecimal digit for the number of bits.
+MOST_BITS = 15
 
 
 def bin_widths() -> np.ndarray:
@@ -65,23 +67,32 @@ def bits(v):
     return F.when(v == 0, F.lit("")).when(v > 0, digits).otherwise(F.translate(digits, "01", "10"))
 
 
+def coded_bits(v):
+    """bits(v), if a symbol can tell their number."""
+    long = F.concat(F.lit("no symbol for "), v.cast("string"))
+    return F.when(F.abs(v) < 1 << MOST_BITS, bits(v)).when(v.isNotNull(), F.raise_error(long))
+
+
 def digit(n):
     return F.lower(F.hex(n))
 
 
 def run_lengths(df: DataFrame, col: str = "q") -> DataFrame:
-    """Add ac (symbols to the last nonzero and the end mark), ac_bits (raw bits after each symbol), dc and dc_bits."""
+    """Add ac (symbols to the last nonzero and the end mark), ac_bits (raw bits after each symbol), dc and dc_bits.
+
+    A number of more than ``MOST_BITS`` bits has no symbol, which is an error.
+    """
     last = F.size(col) - 1
     places = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: (i <= last) & (F.get(col, i) != 0))
     with_places = df.withColumn("__at", places)
     gap = lambda i, k: i - F.when(k > 0, F.get("__at", k - 1)).otherwise(F.lit(0)) - 1
-    own = lambda i: bits(F.get(col, i))
+    own = lambda i: coded_bits(F.get(col, i))
     symbol = lambda i, k: F.concat(digit(gap(i, k) % 16), digit(F.length(own(i))))
     long_runs = lambda i, k: F.array_repeat(F.lit(ZERO_RUN), F.floor(gap(i, k) / 16).cast("int"))
     no_bits = lambda i, k: F.array_repeat(F.lit(""), F.floor(gap(i, k) / 16).cast("int"))
     ac = F.flatten(F.transform("__at", lambda i, k: F.concat(long_runs(i, k), F.array(symbol(i, k)))))
     raw = F.flatten(F.transform("__at", lambda i, k: F.concat(no_bits(i, k), F.array(own(i)))))
-    dc = bits(F.get(col, F.lit(0)))
+    dc = coded_bits(F.get(col, F.lit(0)))
     return with_places.withColumns(
         {
             "ac": F.concat(ac, F.array(F.lit(END_OF_BLOCK))), "ac_bits": raw, "dc_bits": dc,
@@ -102,7 +113,7 @@ def ac_alphabet() -> list[str]:
 
 
 def dc_alphabet() -> list[str]:
-    return [NO_DC] + [f"{size:x}" for size in range(1, 15)]
+    return [NO_DC] + [f"{size:x}" for size in range(1, MOST_BITS)]
 
 
 def huffman_code(counts: dict[str, int]) -> dict[str, str]:
@@ -124,7 +135,7 @@ def huffman_code(counts: dict[str, int]) -> dict[str, str]:
             out[symbol] = code
         else:
             todo += [(low, code + "0"), (high, code + "1")]
-    return dict(sorted(out.items(), key=lambda p: (len(p[1]), p)))
+    return out
 
 
 def huffman_tables(coded: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
@@ -142,10 +153,17 @@ def tables_of(found: dict[tuple[str, str], int]) -> tuple[dict[str, str], dict[s
 
 
 def encode(coded: DataFrame, ac_table: dict[str, str], dc_table: dict[str, str], out: str = "bits") -> DataFrame:
-    """Add the bit string: each AC code with its raw bits, the end mark's code, then DC code and bits."""
+    """Add the bit string: each AC code with its raw bits, the end mark's code, then DC code and bits.
+
+    A symbol that its table has no code for is an error.
+    """
     table = lambda t: F.create_map(*(F.lit(x) for kv in t.items() for x in kv))
-    body = F.zip_with(F.slice("ac", 1, F.size("ac") - 1), "ac_bits", lambda s, b: F.concat(F.element_at(table(ac_table), s), b))
-    stream = F.concat(F.array_join(body, ""), F.lit(ac_table[END_OF_BLOCK]), F.element_at(table(dc_table), F.col("dc")), F.col("dc_bits"))
+
+    def code(t, symbol):
+        return F.coalesce(F.element_at(table(t), symbol), F.raise_error(F.concat(F.lit("no code for symbol "), symbol)))
+
+    body = F.zip_with(F.slice("ac", 1, F.size("ac") - 1), "ac_bits", lambda s, b: F.concat(code(ac_table, s), b))
+    stream = F.concat(F.array_join(body, ""), F.lit(ac_table[END_OF_BLOCK]), code(dc_table, F.col("dc")), F.col("dc_bits"))
     return coded.withColumn(out, stream)
 
 
