@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import io
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, or, in a local session that names none, below one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="weftcode-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 IMAGES = "path string, id long, height int, width int, channels int, x array<double>"
 
 
@@ -64,14 +75,18 @@ def pgm_arrays(data: bytes) -> list[np.ndarray]:
     return [np.frombuffer(data, ">u2" if top > 255 else np.uint8, int(np.prod(shape)), at + 1).reshape(shape).astype(np.float64)]
 
 
+#: Kinds of image files; each function takes a file's bytes and returns its images, (h, w) or (h, w, c).
 FORMATS = {"npy": npy_arrays, "pgm": pgm_arrays, "ppm": pgm_arrays}
 
 
-def read_images(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One row per image in files of a kind; sizes may differ. id numbers the images of a file."""
-    if kind not in FORMATS:
+def read_images(spark: SparkSession, path: str, kind: str, parse: Callable[[bytes], list[np.ndarray]] | None = None) -> DataFrame:
+    """One row per image in files of a kind; sizes may differ. id numbers the images of a file.
+
+    parse reads files of a kind that isn't in FORMATS (MATLAB's, HDF5, a pickle that the caller trusts).
+    """
+    parse = parse or FORMATS.get(kind)
+    if parse is None:
         raise NotImplementedError(f"images of kind {kind}")
-    parse = FORMATS[kind]
 
     def kernel(batches):
         for b in batches:
