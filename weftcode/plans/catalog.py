@@ -7,15 +7,17 @@ Results are long tables of integers, strings and numbers rounded to ``DIGITS``.
 from __future__ import annotations
 
 import functools
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters
-from ..functions.transforms import dct, dct_frame, zigzag_order
+from ..functions.transforms import dct, dct_frame, inverse_zigzag, unit_sphere_walk, zigzag_order
 from ..functions.vectors import apply_rows, matrix_table, to_long, vectors
 from ..operators import inference, jpeg, learning, metrics, patches, whitening
+from ..sources import datasets
 
 DIGITS = 6
 SIDE = 8
@@ -255,16 +257,68 @@ def _quarters(spark, sf_dir):
     return tiles.select((F.col("id") * 4 + F.col("tv") * 2 + F.col("th")).alias("id"), "x")
 
 
-@query()
+_MM = lambda a, b: (f"list_transform(range(256), lambda k: list_sum(list_transform(range(16), lambda m: {a}[k // 16 * 16 + m + 1] * {b}[m * 16 + k % 16 + 1])))")
+_EYE = lambda d: f"CASE WHEN k // 16 = k % 16 THEN {d}::DOUBLE ELSE 0.0::DOUBLE END"
+_QUARTERS = (", qt AS (SELECT id * 4 + (v // 4) * 2 + h // 4 AS id, (v % 4) * 4 + h % 4 AS i, x FROM img), mu AS (SELECT i, avg(x) AS m FROM qt GROUP BY i), "
+             "qc AS (SELECT a.i, b.i AS j, avg(a.x * b.x) - avg(a.x) * avg(b.x) AS c FROM qt a JOIN qt b USING (id) GROUP BY a.i, b.i), "
+             "cm AS (SELECT list(c ORDER BY i, j) AS c, sum(c) FILTER (WHERE i = j) AS t FROM qc) ")
+
+
+@query(_QUARTERS + f""", root AS (
+  SELECT 0 AS n, t, list_transform(c, lambda v: v / t) AS y, list_transform(range(256), lambda k: {_EYE('1.0')}) AS z FROM cm
+  UNION ALL
+  SELECT n + 1, t, {_MM('y', 's')}, {_MM('s', 'z')}
+  FROM (SELECT n, t, y, z, list_transform(range(256), lambda k: ({_EYE('3.0')} - zy[k + 1]) / 2) AS s FROM (SELECT *, {_MM('z', 'y')} AS zy FROM root WHERE n < 40))),
+b AS (SELECT list_transform(range(256), lambda k: sqrt(t) * y[k + 1] + {_EYE('1e-4')}) AS b FROM root WHERE n = 40),
+inv AS (
+  SELECT 0 AS n, b, list_transform(b, lambda v: v / list_sum(list_transform(b, lambda u: u * u))) AS x FROM b
+  UNION ALL
+  SELECT n + 1, b, {_MM('x', 'r')} FROM (SELECT n, b, x, list_transform(range(256), lambda k: {_EYE('2.0')} - bx[k + 1]) AS r FROM (SELECT *, {_MM('b', 'x')} AS bx FROM inv WHERE n < 80))),
+w AS (SELECT k // 16 AS i, k % 16 AS j, x[k + 1] AS w FROM inv, range(256) AS r(k) WHERE n = 80)
+SELECT id, j AS i, {R('sum((x - m) * w) + (SELECT avg(m) FROM mu)')} AS x FROM qt JOIN mu USING (i) JOIN w USING (i) GROUP BY id, j""")
 def zca_whiten(spark, sf_dir):
+    """The SQL finds the root of the covariance, then the inverse, by Newton's method."""
     df = _quarters(spark, sf_dir)
     return long_codes(whitening.whiten_zca(df, whitening.fit_zca(df)), "x", "i", "x")
 
 
-@query()
+@query(f"SELECT id * 4 + (v // 4) * 2 + h // 4 AS id, (v % 4) * 4 + h % 4 AS i, {R('x')} AS x FROM img")
+def zca_round_trip(spark, sf_dir):
+    df = _quarters(spark, sf_dir)
+    model = whitening.fit_zca(df)
+    return long_codes(whitening.unwhiten_zca(whitening.whiten_zca(df, model), model), "x", "i", "x")
+
+
+@query(_QUARTERS + f", c2 AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM qc a JOIN qc b ON a.j = b.i GROUP BY a.i, b.j) "
+       f"SELECT 1 AS power, {R('sum(c)')} AS total FROM qc WHERE i = j UNION ALL SELECT 2, {R('sum(c)')} FROM c2 WHERE i = j "
+       f"UNION ALL SELECT 3, {R('sum(a.c * b.c)')} FROM c2 a JOIN qc b ON a.i = b.j AND a.j = b.i UNION ALL SELECT 4, {R('sum(c * c)')} FROM c2 UNION ALL SELECT 0, 0.0::DOUBLE")
 def pca_variances(spark, sf_dir):
-    basis, variances = learning.train_pca(patches.center_components(_quarters(spark, sf_dir))[0])
-    return small(spark, variances[None], "row", "component", "variance").select("component", "variance")
+    """Sums of powers of the variances (traces of powers of the covariance); 0: how far components are from eigenvectors."""
+    df = patches.center_components(_quarters(spark, sf_dir))[0]
+    basis, variances = learning.train_pca(df)
+    rest = np.abs(whitening.covariance(df)[0] @ basis.T - basis.T * variances).max()
+    rows = [(0, float(rest))] + [(p, float((variances**p).sum())) for p in (1, 2, 3, 4)]
+    return spark.createDataFrame(rows, "power int, total double").withColumn("total", rounded("total"))
+
+
+@query(f""", {_GRID}, ker AS (SELECT p.v, p.h, sum(cos(2 * pi() * (p.v * q.v + p.h * q.h) / 8.0) / greatest(q.f, 0.05)) / 64 AS k FROM grid p,
+(SELECT v, h, sqrt(pow((CASE WHEN v < 4 THEN v ELSE v - 8 END) / 8.0, 2) + pow((CASE WHEN h < 4 THEN h ELSE h - 8 END) / 8.0, 2)) AS f FROM grid) q GROUP BY p.v, p.h)
+SELECT id, grid.v * 8 + grid.h AS i, {R('sum(k * x)')} AS x FROM grid, img JOIN ker ON ker.v = (grid.v - img.v + 8) % 8 AND ker.h = (grid.h - img.h + 8) % 8 GROUP BY id, grid.v, grid.h""")
+def unwhiten_center_surround(spark, sf_dir):
+    return long_codes(whitening.unwhiten_center_surround(embedded(spark, sf_dir), SIDE, SIDE, low=0.05), "x", "i", "x")
+
+
+@query("SELECT v, h, " + R("greatest(exp(-pow(sqrt(pow((CASE WHEN v < 4 THEN v ELSE v - 8 END) / 8.0, 2) + pow((CASE WHEN h < 4 THEN h ELSE h - 8 END) / 8.0, 2)) / 0.2, 8)), 1e-3)")
+       + " AS g FROM range(8) AS a(v), range(8) AS b(h)")
+def low_pass_floor(spark, sf_dir):
+    return small(spark, filters.low_pass((SIDE, SIDE), 0.4), "v", "h", "g")
+
+
+@query(ORACLES["filter_images"].removeprefix("WITH RECURSIVE " + BASE))
+def filter_separable(spark, sf_dir):
+    line = filters.binomial_1d(3)
+    out = whitening.per_image(embedded(spark, sf_dir), SIDE, SIDE, lambda i: filters.filter_separable(i, line, line))
+    return patches.as_image(out, SIDE).withColumn("x", rounded("x"))
 
 
 # inference
@@ -276,11 +330,11 @@ _LISTS = """, rws AS (SELECT list(r ORDER BY s) AS rws FROM (SELECT s, list(w OR
 cls AS (SELECT list(r ORDER BY i) AS cls FROM (SELECT i, list(w ORDER BY s) AS r FROM frame GROUP BY i)), """
 
 
-def _ista_sql(codes: str, more: str = "") -> str:
-    """Steps from zero; codes makes the next ones from the list zz that a gradient step gives."""
+def _ista_sql(codes: str, more: str = "", start: str = "list_transform(range(128), lambda j: 0.0::DOUBLE)") -> str:
+    """Steps from zero or other codes; codes makes the next ones from the list zz that a gradient step gives."""
     return _LISTS + f"""
 it AS (
-  SELECT id, e, 0 AS k, list_transform(range(128), lambda j: 0.0::DOUBLE) AS c FROM vec
+  SELECT id, e, 0 AS k, {start} AS c FROM vec
   UNION ALL
   SELECT id, e, k + 1, {codes}
   FROM (SELECT *{more} FROM (
@@ -297,7 +351,7 @@ _SOFT = "CASE WHEN abs(z) > 0.05 THEN sign(z) * (abs(z) - 0.05) ELSE 0.0 END"
 
 
 def _coded(spark, sf_dir, **options):
-    return inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, _STEPS, step=_FRAME_STEP, **options)
+    return inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, _STEPS, **options)
 
 
 @query(_ista_sql(_shrunk(_SOFT)))
@@ -305,6 +359,12 @@ def ista_codes(spark, sf_dir):
     return long_codes(_coded(spark, sf_dir), "code", "s", "code")
 
 
+@query(_ista_sql(_shrunk(_SOFT), start="list_concat(e, e)"))
+def warm_start_codes(spark, sf_dir):
+    df = embedded(spark, sf_dir).withColumn("start", F.concat("x", "x"))
+    return long_codes(inference.infer(df, dct_frame(N), _WEIGHT, _STEPS, start_col="start"), "code", "s", "code")
+
+
 @query(_ista_sql(_shrunk("greatest(z - 0.05, 0.0)")))
 def nonneg_ista_codes(spark, sf_dir):
     return long_codes(_coded(spark, sf_dir, nonnegative=True), "code", "s", "code")
@@ -328,10 +388,21 @@ def fista_codes(spark, sf_dir):
     return long_codes(_coded(spark, sf_dir, variant="fista"), "code", "s", "code")
 
 
-@query()
+_MOST, _EPSILON = 40, 0.004
+
+
+@query(_LISTS + f"""
+it AS (
+  SELECT id, e, 0 AS k, list_transform(range(128), lambda j: 0.0::DOUBLE) AS c, 0.0::DOUBLE AS d FROM vec
+  UNION ALL
+  SELECT id, e, k + 1, n, list_sum(list_transform(range(128), lambda j: abs(n[j + 1] - c[j + 1])))
+  FROM (SELECT *, list_transform(list_transform(range(128), lambda j: c[j + 1] - 0.5 * list_dot_product(res, rws[j + 1])), lambda z: {_SOFT}) AS n
+        FROM (SELECT id, e, k, c, rws, list_transform(range(64), lambda i: list_dot_product(c, cls[i + 1]) - e[i + 1]) AS res FROM it, rws, cls WHERE k < {_MOST}))),
+stop AS (SELECT b, min(k) AS k FROM (SELECT id % 8 AS b, k, avg(d) / 128 / 0.5 AS m FROM it WHERE k > 1 GROUP BY ALL) WHERE m < {_EPSILON} OR k = {_MOST} GROUP BY b)
+SELECT id, s, {R('c[s + 1]')} AS code FROM it JOIN stop ON id % 8 = b AND it.k = stop.k, range(128) AS r(s)""")
 def early_stopping_codes(spark, sf_dir):
     df = embedded(spark, sf_dir).withColumn("batch_id", F.col("id") % 8)
-    coded = inference.infer(df, dct_frame(N), _WEIGHT, 200, epsilon=1e-3, batch_col="batch_id", step=_FRAME_STEP)
+    coded = inference.infer(df, dct_frame(N), _WEIGHT, _MOST, epsilon=_EPSILON, batch_col="batch_id")
     return long_codes(coded, "code", "s", "code")
 
 
@@ -343,28 +414,65 @@ def subspace_pair_codes(spark, sf_dir):
     return long_codes(inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, _STEPS, groups=pairs), "code", "s", "code")
 
 
-@query()
+@query(""", rws AS (SELECT list(r ORDER BY s) AS rws FROM (SELECT s, list(w ORDER BY i) AS r FROM (FROM frame UNION ALL SELECT 128 + s, i, w FROM frame WHERE s < 3) GROUP BY s)),
+cls AS (SELECT list(r ORDER BY i) AS cls FROM (SELECT i, list(w ORDER BY s) AS r FROM (FROM frame UNION ALL SELECT 128 + s, i, w FROM frame WHERE s < 3) GROUP BY i)), """ + f"""
+it AS (
+  SELECT id, e, 0 AS k, list_transform(range(131), lambda j: 0.0::DOUBLE) AS c FROM vec
+  UNION ALL
+  SELECT id, e, k + 1, list_transform(range(131), lambda j: zz[j + 1] * greatest(1 - 0.1 / 3 / CASE WHEN nn[CASE WHEN j < 128 THEN j % 64 + 1 ELSE 65 END] = 0 THEN 1
+      ELSE nn[CASE WHEN j < 128 THEN j % 64 + 1 ELSE 65 END] END, 0))
+  FROM (SELECT *, list_transform(range(65), lambda j: CASE WHEN j < 64 THEN sqrt(zz[j + 1] * zz[j + 1] + zz[j + 65] * zz[j + 65])
+                                                   ELSE sqrt(zz[129] * zz[129] + zz[130] * zz[130] + zz[131] * zz[131]) END) AS nn
+    FROM (SELECT *, list_transform(range(131), lambda j: c[j + 1] - list_dot_product(res, rws[j + 1]) / 3) AS zz
+      FROM (SELECT id, e, k, c, rws, list_transform(range(64), lambda i: list_dot_product(c, cls[i + 1]) - e[i + 1]) AS res FROM it, rws, cls WHERE k < {_STEPS}))))
+SELECT id, s, {R('c[s + 1] + CASE WHEN s < 3 THEN c[s + 129] ELSE 0.0 END')} AS code FROM it, range(128) AS r(s) WHERE k = {_STEPS}""")
 def subspace_codes(spark, sf_dir):
+    """Three elements are in two groups each: their copies make the largest eigenvalue 3."""
     groups = [[k, k + N] for k in range(N)] + [[0, 1, 2]]
-    return long_codes(inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, 10, groups=groups, variant="fista"), "code", "s", "code")
+    return long_codes(inference.infer(embedded(spark, sf_dir), dct_frame(N), _WEIGHT, _STEPS, groups=groups), "code", "s", "code")
 
 
-@query(", haar AS (SELECT s, a, b, CASE WHEN s = 0 OR (s = 1 AND a = 0) OR (s = 2 AND b = 0) OR (s = 3 AND a = b) THEN 0.5 ELSE -0.5 END AS w FROM range(4) AS p(s), range(2) AS q(a), range(2) AS r(b)), "
-       "z AS (SELECT id, s * 16 + (v // 2) * 4 + h // 2 AS s, sum(x * w) AS z FROM img JOIN haar ON a = v % 2 AND b = h % 2 GROUP BY ALL) "
-       f"SELECT id, s, {R('CASE WHEN abs(z) > 0.05 THEN sign(z) * (abs(z) - 0.05) ELSE 0.0 END')} AS code FROM z")
+_HAAR = (", haar AS (SELECT s, a, b, CASE WHEN s = 0 OR (s = 1 AND a = 0) OR (s = 2 AND b = 0) OR (s = 3 AND a = b) THEN 0.5 ELSE -0.5 END AS w "
+         "FROM range(4) AS p(s), range(2) AS q(a), range(2) AS r(b)) ")
+
+
+def _soft(z: str, t: float = 0.05) -> str:
+    return f"CASE WHEN abs({z}) > {t} THEN sign({z}) * (abs({z}) - {t}) ELSE 0.0 END"
+
+
+def haar_kernels() -> np.ndarray:
+    return 0.5 * np.array([[[1, 1], [1, 1]], [[1, 1], [-1, -1]], [[1, -1], [1, -1]], [[1, -1], [-1, 1]]])[:, None]
+
+
+@query(_HAAR + ", z AS (SELECT id, s * 16 + (v // 2) * 4 + h // 2 AS s, sum(x * w) AS z FROM img JOIN haar ON a = v % 2 AND b = h % 2 GROUP BY ALL) "
+       f"SELECT id, s, {R(_soft('z'))} AS code FROM z")
 def conv_haar_codes(spark, sf_dir):
     """Orthonormal kernels side by side: the iterations stay where the first one goes."""
-    haar = 0.5 * np.array([[[1, 1], [1, 1]], [[1, 1], [-1, -1]], [[1, -1], [1, -1]], [[1, -1], [-1, 1]]])[:, None]
-    return long_codes(inference.infer_conv(embedded(spark, sf_dir), haar, (1, SIDE, SIDE), (2, 2), 0.05, 3, variant="fista"), "code", "s", "code")
+    return long_codes(inference.infer_conv(embedded(spark, sf_dir), haar_kernels(), (1, SIDE, SIDE), (2, 2), 0.05, 3, variant="fista"), "code", "s", "code")
 
 
-@query()
+#: Kernels that overlap, at every place of an image padded by one: codes c of one step, residual r inside the padding, gradient g.
+_CONV = (_HAAR + ", px AS (SELECT id, v + 1 AS v, h + 1 AS h, x FROM img), "
+         f"c1 AS (SELECT id, s, p, q, {_soft('z')} AS c FROM (SELECT id, s, v - a AS p, h - b AS q, sum(w * x) AS z FROM px, haar GROUP BY ALL)), "
+         "syn AS (SELECT id, p + a AS v, q + b AS h, sum(c * w) AS y FROM c1 JOIN haar USING (s) GROUP BY ALL), "
+         "res AS (SELECT id, v, h, y - x AS r FROM px JOIN syn USING (id, v, h)), "
+         "gr AS (SELECT id, s, v - a AS p, h - b AS q, sum(r * w) AS g FROM res, haar GROUP BY ALL) ")
+_PADDED = ((1, 1), (1, 1))
+
+
+@query(_CONV + f"SELECT id, s * 81 + p * 9 + q AS s, {R(_soft('(c - g)'))} AS code FROM c1 JOIN gr USING (id, s, p, q)")
 def conv_codes(spark, sf_dir):
-    kernels = learning.unit_rows(np.random.default_rng(4).normal(size=(6, 1, 4, 4)))
-    coded = inference.infer_conv(embedded(spark, sf_dir), kernels, (1, SIDE, SIDE), (2, 2), 0.02, 10, ((2, 2), (2, 2)), variant="fista")
+    coded = inference.infer_conv(embedded(spark, sf_dir), haar_kernels(), (1, SIDE, SIDE), (1, 1), 0.05, 2, _PADDED)
     return long_codes(coded, "code", "s", "code")
 
 
+@query(_CONV + f"SELECT id, (v - 1) * 8 + h - 1 AS i, {R('y')} AS x FROM syn JOIN px USING (id, v, h)")
+def conv_synthesis(spark, sf_dir):
+    coded = inference.infer_conv(embedded(spark, sf_dir), haar_kernels(), (1, SIDE, SIDE), (1, 1), 0.05, 1, _PADDED)
+    back = inference.synthesize_conv(coded, haar_kernels(), (4, 9, 9), (1, 1), (10, 10), _PADDED)
+    return long_codes(back, "recon", "i", "x")
+
+
 @query(f"SELECT id, k, {R('sum(x * w)')} AS code FROM long JOIN dct USING (i) GROUP BY id, k")
 def dct_codes(spark, sf_dir):
     return long_codes(inference.linear_codes(embedded(spark, sf_dir), dct(N), True), "code", "k", "code")
@@ -449,33 +557,99 @@ def ica_step(spark, sf_dir):
     return small(spark, learning.train_ica(lambda t: df, 1, dct(N), 0.1), "s", "i", "value")
 
 
-@query()
+def _subspace_sql(divide: str) -> str:
+    """Groups of a cosine and a pixel; of each pair, the other one's direction less one's own share of it."""
+    return (_CODES + _GRADIENT + "hes AS (SELECT s, avg(c * c) / 100 AS e FROM one GROUP BY s), pr AS (SELECT a.s, sum(a.w * b.w) AS c FROM frame a JOIN frame b ON b.s = (a.s + 64) % 128 AND a.i = b.i GROUP BY a.s), "
+            f"d AS (SELECT f.s, f.i, f.w - 0.01 * (g + 0.5 * (sign(c) * o.w - abs(c) * f.w)) / {divide} AS v FROM grad JOIN frame f USING (s, i) JOIN frame o ON o.s = (f.s + 64) % 128 AND o.i = f.i JOIN pr ON pr.s = f.s JOIN hes ON hes.s = f.s) "
+            f"SELECT s, i, {R('v / sqrt(sum(v * v) OVER (PARTITION BY s))')} AS value FROM d")
+
+
+def _subspace(spark, sf_dir, quadratic: bool):
+    stats = _one_step_stats(spark, sf_dir)
+    hessian = learning.hessian_update(np.zeros(2 * N), stats.energy) if quadratic else None
+    pairs = [[k, k + N] for k in range(N)]
+    return small(spark, learning.subspace_step(dct_frame(N), stats, pairs, 0.5, 0.01, hessian), "s", "i", "value")
+
+
+@query(_subspace_sql("(e + 0.001)"))
+def subspace_quadratic_step(spark, sf_dir):
+    return _subspace(spark, sf_dir, True)
+
+
+@query(_subspace_sql("1.0"))
+def subspace_steepest_step(spark, sf_dir):
+    return _subspace(spark, sf_dir, False)
+
+
+def _round_sql(t: int, weight: float) -> str:
+    """From dictionary d{t} and Hessian h{t}: codes of every fourth row in one step, statistics, the next of both."""
+    return (f", c{t} AS (SELECT id, s, {_soft('z', weight / 2)} AS c FROM (SELECT id, s, 0.5 * sum(x * w) AS z FROM long JOIN d{t} USING (i) WHERE id % 4 = {t} GROUP BY id, s)), "
+            f"n{t} AS (SELECT count(DISTINCT id) AS n FROM c{t}), cc{t} AS (SELECT a.s, b.s AS t, sum(a.c * b.c) AS v FROM c{t} a JOIN c{t} b USING (id) GROUP BY a.s, b.s), "
+            f"cx{t} AS (SELECT s, i, sum(c * x) AS v FROM c{t} JOIN long USING (id) GROUP BY s, i), "
+            f"h{t + 1} AS (SELECT s, 0.99 * any_value(e) + avg(c * c) / 100 AS e FROM c{t} JOIN h{t} USING (s) GROUP BY s), "
+            f"u{t} AS (SELECT s, i, d{t}.w - 0.01 * (q.v - cx{t}.v) / n / (e + 0.001) AS w FROM cx{t} JOIN d{t} USING (s, i) JOIN h{t + 1} USING (s) "
+            f"JOIN (SELECT cc{t}.s, i, sum(v * w) AS v FROM cc{t} JOIN d{t} ON cc{t}.t = d{t}.s GROUP BY cc{t}.s, i) q USING (s, i), n{t}), "
+            f"d{t + 1} AS (SELECT s, i, w / sqrt(sum(w * w) OVER (PARTITION BY s)) AS w FROM u{t}) ")
+
+
+@query(", d0 AS (FROM frame), h0 AS (SELECT s, 0.0 AS e FROM range(128) AS r(s)) " + _round_sql(0, 0.1) + _round_sql(1, 0.05) + f"SELECT s, i, {R('w')} AS value FROM d2")
 def sparse_coding_training(spark, sf_dir):
     df = embedded(spark, sf_dir)
     batches = lambda t: df.filter(F.col("id") % 4 == t % 4)
-    out = learning.train_sparse_coding(batches, 4, dct_frame(N), learning.Schedule({0: 0.1, 2: 0.05}), learning.Schedule({0: 1.0}), 10, "cheap_quadratic", step=None, variant="fista")
+    out = learning.train_sparse_coding(batches, 2, dct_frame(N), learning.Schedule({0: 0.1, 1: 0.05}), learning.Schedule({0: 0.01}), 1, "cheap_quadratic", step=_FRAME_STEP)
     return small(spark, out.dictionary, "s", "i", "value")
 
 
-@query()
-def conv_training(spark, sf_dir):
+def _conv_sql(divide: str) -> str:
+    return (_CONV + ", nn AS (SELECT count(*) AS n FROM vec), en AS (SELECT s, sum(c * c) / any_value(n) / 100 AS e FROM c1, nn GROUP BY s), "
+            f"kg AS (SELECT s, v - p AS a, h - q AS b, sum(c * r) / any_value(n) / any_value({divide}) AS g FROM c1 JOIN res USING (id) JOIN en USING (s), nn "
+            "WHERE v - p BETWEEN 0 AND 1 AND h - q BETWEEN 0 AND 1 GROUP BY s, v - p, h - q), "
+            "kn AS (SELECT s, a, b, w - 0.1 * g * 2 / (SELECT sqrt(sum(g * g)) FROM kg) AS w FROM kg JOIN haar USING (s, a, b)) "
+            f"SELECT s, a * 2 + b AS i, {R('w / sqrt(sum(w * w) OVER (PARTITION BY s))')} AS value FROM kn")
+
+
+def _conv_trained(spark, sf_dir, quadratic: bool):
     df = embedded(spark, sf_dir)
-    start = np.random.default_rng(2).normal(size=(4, 1, 4, 4))
-    out = learning.train_conv(lambda t: df, 2, start, (1, SIDE, SIDE), (2, 2), ((2, 2), (2, 2)), 0.02, 0.1, 10, True)
+    out = learning.train_conv(lambda t: df, 1, haar_kernels(), (1, SIDE, SIDE), (1, 1), _PADDED, 0.05, 0.1, 1, quadratic)
     return small(spark, out.dictionary.reshape(4, -1), "s", "i", "value")
 
 
-@query(f", nv AS (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS u FROM long WHERE id < 40), "
-       f"p AS (SELECT a.id AS a, b.id AS b, sum(a.u * b.u) AS c FROM nv a JOIN nv b ON a.i = b.i AND a.id < b.id GROUP BY a.id, b.id) SELECT a, b, {R('c')} AS cosine FROM p WHERE c > 0.2")
-def cosine_pairs(spark, sf_dir):
-    rows = embedded(spark, sf_dir).filter("id < 40").orderBy("id").collect()
-    pairs = learning.similar_pairs(np.array([r.x for r in rows]), 0.2)
-    return spark.createDataFrame([(rows[a].id, rows[b].id, c) for a, b, c in pairs], "a long, b long, cosine double").withColumn("cosine", rounded("cosine"))
+@query(_conv_sql("1.0"))
+def conv_training(spark, sf_dir):
+    return _conv_trained(spark, sf_dir, False)
+
+
+@query(_conv_sql("(e + 0.001)"))
+def conv_quadratic_training(spark, sf_dir):
+    return _conv_trained(spark, sf_dir, True)
+
+
+@query(f"SELECT row_number() OVER (ORDER BY s) - 1 AS s, norm, first FROM (SELECT s, {R('sqrt(sum(w * w))')} AS norm, {R('sum(w) FILTER (WHERE i = 0)')} AS first FROM frame WHERE s % 5 <> 2 GROUP BY s)")
+def prune_dictionary(spark, sf_dir):
+    d, _ = learning.prune_elements(dct_frame(N), [s for s in range(2 * N) if s % 5 == 2])
+    rows = [(s, float(np.linalg.norm(x)), float(x[0])) for s, x in enumerate(d)]
+    return spark.createDataFrame(rows, "s int, norm double, first double").withColumns({"norm": rounded("norm"), "first": rounded("first")})
+
+
+@query(f"SELECT s, {R('CASE WHEN s < 3 THEN (SELECT avg(n) FROM (SELECT s, sqrt(sum(w * w)) * (1 + s / 100) AS n FROM frame GROUP BY s)) ELSE sqrt(sum(w * w)) * (1 + s / 100) END')} AS norm, "
+       "s < 3 AS changed FROM frame GROUP BY s")
+def reset_dictionary(spark, sf_dir):
+    """Noise of the mean norm in three elements; the others stay."""
+    d = dct_frame(N) * (1 + np.arange(2 * N) / 100)[:, None]
+    out = learning.reset_elements(d, [0, 1, 2], np.random.default_rng(1))
+    rows = [(s, float(np.linalg.norm(x)), bool((x != y).any())) for s, (x, y) in enumerate(zip(out, d))]
+    return spark.createDataFrame(rows, "s int, norm double, changed boolean").withColumn("norm", rounded("norm"))
+
+
+@query(f"SELECT t AS point, i, {R('CASE WHEN i = 0 THEN cos(0.1 * t) WHEN i = 2 THEN sin(0.1 * t) ELSE 0.0 END')} AS value FROM range(50) AS a(t), range(3) AS b(i)")
+def sphere_walk(spark, sf_dir):
+    walk = unit_sphere_walk(np.array([2.0, 0, 0]), 0.1, 50, True, np.array([1.0, 0, 3.0]))
+    return small(spark, walk, "point", "i", "value").withColumn("point", F.col("point").cast("long"))
 
 
 @query(f", u AS (SELECT id, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS u FROM vec), "
        f"p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON a.id < b.id) SELECT a, b, {R('c')} AS cosine FROM p WHERE c > 0.2")
-def cosine_pairs_of_all(spark, sf_dir):
+def cosine_pairs(spark, sf_dir):
     return learning.similar_rows(embedded(spark, sf_dir), 0.2).withColumn("cosine", rounded("cosine"))
 
 
@@ -494,19 +668,45 @@ def dictionary_change(spark, sf_dir):
 
 @query(f"SELECT 20 AS iteration, s, i, {R('w * 20')} AS value FROM frame")
 def checkpoint_latest(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    from ..sources import datasets
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weftcode-")
-    path = f"{base.rstrip('/')}/dictionaries-{uuid.uuid4().hex}"
+    path = datasets.scratch(spark, "dictionaries")
     for t in (0, 5, 20):
         datasets.save_checkpoint(spark, path, t, dct_frame(N) * t)
     last, d = datasets.newest_checkpoint(spark, path)
     return small(spark, d, "s", "i", "value").withColumn("iteration", F.lit(last))
 
 
+@query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'part', count(*) FROM part")
+def registry_tables(spark, sf_dir):
+    registry, names = datasets.Registry(), ("customer", "nation", "part")
+    for name in names:
+        registry.add_table(name, f"{sf_dir}/{name}.parquet")
+    return reduce(DataFrame.unionByName, [registry.read(spark, k).select(F.lit(k).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")) for k in names])
+
+
+@query(f"SELECT CASE WHEN id % 5 = 0 THEN 'validation' ELSE 'training' END AS split, i, count(*) AS n, {R('sum(x)')} AS total FROM long GROUP BY ALL")
+def patch_dataset(spark, sf_dir):
+    path, df = datasets.scratch(spark, "patches"), embedded(spark, sf_dir)
+    datasets.save_patches(df.filter("id % 5 <> 0"), df.filter("id % 5 = 0"), path)
+    both = [part.withColumn("split", F.lit(name)) for name, part in zip(("training", "validation"), datasets.load_patches(spark, path))]
+    long = both[0].unionByName(both[1]).select("split", F.posexplode("x").alias("i", "x"))
+    return long.groupBy("split", "i").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("x")).alias("total"))
+
+
+@query("SELECT t * 10 AS iteration, m AS metric, (CASE m WHEN 'l0' THEN 1.0 / (t + 1) ELSE t * t END)::DOUBLE AS value FROM range(4) AS r(t), (VALUES ('l0'), ('loss')) AS v(m)")
+def scalar_log(spark, sf_dir):
+    path = datasets.scratch(spark, "metrics")
+    for t in range(4):
+        datasets.log_metrics(spark, path, t * 10, {"l0": 1 / (t + 1), "loss": t * t})
+    return spark.read.parquet(path)
+
+
+@query("SELECT * FROM (VALUES ('batch_size', '250'), ('lam', '0.1'), ('stride', '[2, 2]'), ('variant', 'fista')) AS v(name, value)")
+def run_params(spark, sf_dir):
+    path = datasets.scratch(spark, "params")
+    datasets.save_params(spark, path, {"lam": 0.1, "variant": "fista", "batch_size": 250, "stride": (2, 2)})
+    return spark.createDataFrame([(k, str(v)) for k, v in datasets.load_params(spark, path).items()], "name string, value string")
+
+
 @query("SELECT t AS iteration, CASE WHEN t >= 60 THEN 0.01 WHEN t >= 10 THEN 0.05 ELSE 0.1 END::DOUBLE AS value FROM range(100) AS r(t)")
 def parameter_schedule(spark, sf_dir):
     s = learning.Schedule({0: 0.1, 10: 0.05, 60: 0.01})
@@ -568,7 +768,14 @@ def group_lasso(spark, sf_dir):
     return out.select(rounded("lagrange").alias("lagrange"))
 
 
-@query()
+_C1, _C2 = 0.01**2, 0.03**2
+
+
+@query(_KEPT + ", g11 AS (SELECT a, b, exp(-0.5 * (a * a + b * b) / 2.25) AS g FROM range(-5, 6) AS p(a), range(-5, 6) AS q(b)), g11n AS (SELECT a, b, g / sum(g) OVER () AS g FROM g11), "
+       "pix AS (SELECT id, i // 8 AS v, i % 8 AS h, x, y FROM long JOIN rec USING (id, i)), mid AS (SELECT id, v, h FROM pix WHERE v BETWEEN 3 AND 4 AND h BETWEEN 3 AND 4), "
+       "mo AS (SELECT c.id, c.v, c.h, sum(g * x) AS ux, sum(g * y) AS uy, sum(g * x * x) AS xx, sum(g * y * y) AS yy, sum(g * x * y) AS xy "
+       f"FROM mid c, g11n JOIN pix p ON p.id = c.id AND p.v = {_MIRROR.format('c.v - a')} AND p.h = {_MIRROR.format('c.h - b')} GROUP BY c.id, c.v, c.h) "
+       f"SELECT id, {R(f'avg((2 * ux * uy + {_C1}) * (2 * (xy - ux * uy) + {_C2}) / ((ux * ux + uy * uy + {_C1}) * (xx - ux * ux + yy - uy * uy + {_C2})))')} AS ssim FROM mo GROUP BY id")
 def ssim(spark, sf_dir):
     return metrics.ssim(_reconstructed(spark, sf_dir), SIDE, SIDE).select("id", rounded("ssim").alias("ssim"))
 
@@ -654,9 +861,25 @@ def tile_layout(spark, sf_dir):
     return metrics.tile_layout(spark, len(order), SIDE, SIDE, order=order)
 
 
+@query("SELECT k AS level, log, " + R("0.25 + 3 * (CASE WHEN log THEN (sqrt(1 + k / 6) - 1) / (sqrt(2) - 1) ELSE (pow(2, k / 12) - 1) / (sqrt(2) - 1) END)") + " AS height FROM range(7) AS a(k), (VALUES (true), (false)) AS b(log)")
+def contour_levels(spark, sf_dir):
+    rows = [(k, log, float(v)) for log in (True, False) for k, v in enumerate(metrics.contour_levels(0.25, 3.25, 7, log))]
+    return spark.createDataFrame(rows, "level long, log boolean, height double").withColumn("height", rounded("height"))
+
+
+@query('SELECT n_nationkey::INT AS element, n_regionkey::INT AS "group", (2 + n_regionkey * 10)::INT AS top, (2 + (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) * 10)::INT AS "left" FROM nation')
+def grouped_layout(spark, sf_dir):
+    groups: dict[int, list[int]] = {}
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():  # one row per element of a sheet
+        groups.setdefault(r.n_regionkey, []).append(r.n_nationkey)
+    return metrics.grouped_layout(spark, [groups[k] for k in sorted(groups)], SIDE, SIDE)
+
+
 # source coding
 
-_WIDTHS = ", ".join(str(int(w)) for w in jpeg.bin_widths())
+#: Luminance widths along the zigzag.
+_WIDTHS = ("16, 11, 12, 14, 12, 10, 16, 14, 13, 14, 18, 17, 16, 19, 24, 40, 26, 24, 22, 22, 24, 49, 35, 37, 29, 40, 58, 51, 61, 60, 57, 51, "
+           "56, 55, 64, 72, 92, 78, 64, 68, 87, 69, 55, 56, 80, 109, 81, 87, 95, 98, 103, 104, 103, 62, 77, 113, 121, 112, 100, 120, 92, 101, 103, 99")
 _QUANT = (", cod AS (SELECT id, k.k AS v, l.k AS h, sum(x * 255 * k.w * l.w) AS c FROM img JOIN dct8 k ON img.v = k.i JOIN dct8 l ON img.h = l.i GROUP BY id, k.k, l.k), "
           f"q AS (SELECT id, pos, floor(round(c, 9) / ([{_WIDTHS}])[pos + 1] + 0.5)::INT AS q FROM cod JOIN zig USING (v, h)) ")
 _SYMBOLS = (_QUANT + ", nz AS (SELECT id, pos, q, pos - coalesce(lag(pos) OVER (PARTITION BY id ORDER BY pos), 0) - 1 AS gap, "
@@ -700,10 +923,64 @@ def bitstream(spark, sf_dir):
     return jpeg.encode(coded, jpeg.fixed_table(jpeg.ac_alphabet()), jpeg.fixed_table(jpeg.dc_alphabet())).select("id", "bits")
 
 
-@query()
+@query(_QUANT + f"SELECT id, pos, {R(f'q * ([{_WIDTHS}])[pos + 1]')} AS code FROM q")
+def dequantize(spark, sf_dir):
+    return long_codes(jpeg.dequantize(_quantized(spark, sf_dir), jpeg.bin_widths()), "code", "pos", "code")
+
+
+@query("SELECT v, h, (pos + 0.5)::DOUBLE AS value FROM zig")
+def inverse_zigzag_positions(spark, sf_dir):
+    return small(spark, inverse_zigzag(np.arange(N) + 0.5, SIDE, SIDE), "v", "h", "value")
+
+
+_ALPHABET = ("al AS (SELECT 'ac' AS kind, lower(hex(r)) || lower(hex(z)) AS symbol FROM range(16) AS a(r), range(11) AS b(z) UNION ALL SELECT 'dc', '-' "
+             "UNION ALL SELECT 'dc', lower(hex(z)) FROM range(1, 15) AS b(z)) ")
+_COUNTS = (_SYMBOLS + ", ct AS (SELECT 'ac' AS kind, symbol, sum(times)::BIGINT AS n FROM sy GROUP BY symbol UNION ALL SELECT 'ac', '00', count(*) FROM dc UNION ALL "
+           "SELECT 'dc', CASE WHEN bits = '' THEN '-' ELSE lower(hex(length(bits))) END, count(*) FROM dc GROUP BY 2), " + _ALPHABET)
+#: The two lightest nodes meet until one is left; members of the lighter one get a 0 in front, those of the other a 1.
+_TABLES = (_COUNTS + ", tree AS (SELECT kind, 0 AS step, list_sort(list({'n': n, 's': symbol, 'm': [symbol]})) AS nodes, []::VARCHAR[] AS low, []::VARCHAR[] AS high "
+           "FROM (SELECT kind, symbol, coalesce(n, 1) AS n FROM al FULL JOIN ct USING (kind, symbol)) GROUP BY kind UNION ALL "
+           "SELECT kind, step + 1, list_sort(list_append(nodes[3:], {'n': nodes[1].n + nodes[2].n, 's': nodes[1].s, 'm': list_concat(nodes[1].m, nodes[2].m)})), nodes[1].m, nodes[2].m FROM tree WHERE len(nodes) > 1), "
+           "tb AS (SELECT kind, symbol, string_agg(bit, '' ORDER BY step DESC) AS code FROM (SELECT kind, step, unnest(low) AS symbol, '0' AS bit FROM tree UNION ALL SELECT kind, step, unnest(high), '1' FROM tree) GROUP BY kind, symbol) ")
+
+
+def _tables(spark, sf_dir):
+    coded = jpeg.run_lengths(_quantized(spark, sf_dir))
+    return coded, *jpeg.huffman_tables(coded)
+
+
+@query(_TABLES + "SELECT kind, symbol, code FROM tb")
+def huffman_codes(spark, sf_dir):
+    _, ac, dc = _tables(spark, sf_dir)
+    return spark.createDataFrame([(kind, s, c) for kind, t in (("ac", ac), ("dc", dc)) for s, c in t.items()], "kind string, symbol string, code string")
+
+
+@query(_TABLES + ", body AS (SELECT id, string_agg(repeat(code || sy.bits, times::BIGINT), '' ORDER BY pos, z) AS s FROM sy JOIN tb ON kind = 'ac' AND tb.symbol = sy.symbol GROUP BY id) "
+       "SELECT dc.id, coalesce(s, '') || (SELECT code FROM tb WHERE kind = 'ac' AND symbol = '00') || code || bits AS bits FROM dc LEFT JOIN body USING (id) "
+       "JOIN tb ON kind = 'dc' AND symbol = CASE WHEN bits = '' THEN '-' ELSE lower(hex(length(bits))) END")
+def huffman_bitstream(spark, sf_dir):
+    return jpeg.encode(*_tables(spark, sf_dir)).select("id", "bits")
+
+
+_MULTIPLIERS = [0.05, 0.1, 0.2, 0.5, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+
+
+@query(f""", cod AS (SELECT id, k.k AS v, l.k AS h, sum(x * 255 * k.w * l.w) AS c FROM img JOIN dct8 k ON img.v = k.i JOIN dct8 l ON img.h = l.i GROUP BY id, k.k, l.k),
+q AS (SELECT id, pos, m, c, floor(round(c, 9) / (b * m) + 0.5)::INT AS q, b * m AS w FROM (SELECT id, pos, c, ([{_WIDTHS}])[pos + 1] AS b FROM cod JOIN zig USING (v, h)), (SELECT unnest({_MULTIPLIERS})::DOUBLE AS m)),
+ac AS (SELECT m, q, pos - coalesce(lag(pos) OVER (PARTITION BY m, id ORDER BY pos), 0) - 1 AS gap FROM q WHERE pos > 0 AND q <> 0),
+sy AS (SELECT m, 'ac' AS kind, 'f0' AS symbol, sum(gap // 16)::BIGINT AS n FROM ac WHERE gap >= 16 GROUP BY m UNION ALL
+       SELECT m, 'ac', lower(hex(gap % 16)) || lower(hex(length(bin(abs(q))))), count(*) FROM ac GROUP BY ALL UNION ALL SELECT m, 'ac', '00', count(*) FROM q WHERE pos = 0 GROUP BY m UNION ALL
+       SELECT m, 'dc', CASE WHEN q = 0 THEN '-' ELSE lower(hex(length(bin(abs(q))))) END, count(*) FROM q WHERE pos = 0 GROUP BY ALL),
+ct AS (SELECT m, kind, symbol, sum(n)::BIGINT AS n FROM sy GROUP BY ALL), {_ALPHABET},
+tree AS (SELECT m, kind, list_sort(list({{'n': n, 's': symbol, 'r': r}})) AS nodes, 0::BIGINT AS coded
+         FROM (SELECT m, kind, symbol, coalesce(n, 1) AS n, coalesce(n, 0) AS r FROM (SELECT DISTINCT m, kind, symbol FROM (SELECT m, kind, symbol FROM ct UNION ALL SELECT m, kind, symbol FROM al, (SELECT DISTINCT m FROM ct)))
+               LEFT JOIN ct USING (m, kind, symbol)) GROUP BY m, kind
+         UNION ALL SELECT m, kind, list_sort(list_append(nodes[3:], {{'n': nodes[1].n + nodes[2].n, 's': nodes[1].s, 'r': nodes[1].r + nodes[2].r}})), coded + nodes[1].r + nodes[2].r FROM tree WHERE len(nodes) > 1),
+code AS (SELECT m, sum(coded) AS coded FROM tree WHERE len(nodes) = 1 GROUP BY m),
+sums AS (SELECT m, sum(CASE WHEN q <> 0 THEN length(bin(abs(q))) ELSE 0 END) AS raw, sum((c - q * w) * (c - q * w)) / count(*) AS mse, count(*) AS size FROM q GROUP BY m)
+SELECT m AS multiplier, round((raw + coded) / size, 6) AS bits_per_component, round(mse, 6) AS mse, round(10 * log10(255.0 * 255.0 / mse), 6) AS psnr FROM sums JOIN code USING (m)""")
 def huffman_rate(spark, sf_dir):
-    multipliers = [0.05, 0.1, 0.2, 0.5, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
-    return jpeg.rate_distortion(embedded(spark, sf_dir, 255.0), multipliers)
+    return jpeg.rate_distortion(embedded(spark, sf_dir, 255.0), _MULTIPLIERS)
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:
