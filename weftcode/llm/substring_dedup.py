@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import U, Workspace, joined, load, mix, small_table
+from .common import U, Workspace, load, mix
 from .packing import few
 
 WINDOW = 35
@@ -72,10 +72,12 @@ OWN_NAME = 7
 BYTE_VALUES = np.random.default_rng(35).integers(1, 1 << 63, 256, dtype=U)
 IS_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 
-SLICES = "slice long, state binary, keys array<struct<a: long, c: long>>"
+#: A row's number is its slice's and its place there, of fewer than so many.
+ROWS = 1 << 20
+SLICES = "slice long, ids binary, state binary, keys array<struct<a: long, c: long>>"
 SIEVED = "slice long, state binary, keys array<struct<word: binary, c: long>>"
-STRETCH = "name: long, h1: long, h2: long, row: binary, s: long, n: long, moves: boolean"
-STATE = f"slice long, state binary, live long, keys array<struct<a: long, b: long, l: long, c: long>>, stretches array<struct<{STRETCH}>>"
+STRETCH = "name: long, h1: long, h2: long, row: long, s: long, n: long, moves: boolean"
+STATE = f"slice long, state binary, words binary, live long, keys array<struct<a: long, b: long, l: long, c: long>>, stretches array<struct<{STRETCH}>>"
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -135,13 +137,6 @@ def distinct_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarr
     return [x[order][new] for x in columns], which, np.bincount(which, minlength=int(new.sum()))
 
 
-def binaries(rows: np.ndarray) -> pa.Array:
-    """A binary value for each row of a matrix."""
-    width = rows.shape[1] * rows.itemsize
-    offsets = np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
 class Sequences:
     """A slice: its live words, the symbols that live windows determine, and these windows.
 
@@ -257,8 +252,7 @@ class Sequences:
         of = np.searchsorted(self.seg, p, "right") - 1
         data = memoryview(self.names[self.words].tobytes())
         digests = digests_of(data, 8 * p.astype(np.int64), 8 * (p + n + self.window - 1).astype(np.int64))
-        rows = binaries(self.rows[self.seg_row[of]])
-        return [name[at], *digests, rows, self.seg_at[of] + p - self.seg[of], n, np.logical_or.reduceat(moved, at)]
+        return [name[at], *digests, self.rows[self.seg_row[of]], self.seg_at[of] + p - self.seg[of], n, np.logical_or.reduceat(moved, at)]
 
 
 def digests_of(data, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -345,9 +339,12 @@ def least_hashes(window: int, hashes: np.ndarray, words: np.ndarray, counts: np.
     """Windows inside texts, the least hash of each one's stretches, and the hashes at all places that are some window's least."""
     k = min(window, STRETCH_WORDS)
     x, n = hashes[words], len(words)
-    g = np.zeros(n - k + 1, U)
-    for j in range(k):
-        g += x[j : n - k + 1 + j] * U(2 * j + 0x9E3779B97F4A7C15)
+    size, g = 1, x
+    while 2 * size <= k:
+        g = g[:-size] * U(0x9E3779B97F4A7C15 + 2 * size) + g[size:]
+        size *= 2
+    if size < k:
+        g = g[: n - k + 1] * U(0xD6E8FEB86659FD93) + g[k - size :]
     g = mix(g)
     width = window - k + 1
     least = sliding(np.minimum, g, width)  # of the window from each place, across texts too
@@ -368,24 +365,23 @@ def slice_kernel(window: int, size: int):
         keys, c = np.unique(at, return_counts=True)
         turns = np.flatnonzero(np.append(True, least[1:] != least[:-1]))  # windows side by side mostly share it
         which = np.repeat(np.searchsorted(keys, least[turns]).astype(np.int32), np.diff(np.append(turns, len(least))))
-        ids = np.frombuffer(b"".join(rows), U).reshape(-1, 2)
         _, offsets, data = local.dictionary.buffers()
-        state = packed(ids, counts, which, index, np.frombuffer(offsets, np.int32, len(local.dictionary) + 1), np.frombuffer(data, np.uint8))
+        state = packed(number + np.arange(len(rows)), counts, which, index, np.frombuffer(offsets, np.int32, len(local.dictionary) + 1), np.frombuffer(data, np.uint8))
         structs = pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(c)], ["a", "c"])
-        columns = [pa.array([number], pa.int64()), pa.array([state], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), structs)]
-        return pa.record_batch(columns, names=["slice", "state", "keys"])
+        cells = [pa.array([number], pa.int64()), pa.array([b"".join(rows)], pa.binary()), pa.array([state], pa.binary())]
+        return pa.record_batch([*cells, pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), structs)], names=["slice", "ids", "state", "keys"])
 
     def kernel(batches):
-        number, rows, counts, words, held = TaskContext.get().partitionId() << 33, [], [], [], 0
+        number, rows, counts, words, held = TaskContext.get().partitionId() << 40, [], [], [], 0
         for b in few(batches, 512):
             texts = b.filter(pc.greater_equal(pc.binary_length(b.column(1)), 2 * window - 1))  # shorter ones have no window
             found, count = words_of_texts(texts.column(1))
             ends = np.cumsum(count, dtype=np.int64)
             for i in np.flatnonzero(count >= window).tolist():
                 n = int(count[i])
-                if held and held + n > size:
+                if held and (held + n > size or len(rows) == ROWS):
                     yield one(number, rows, counts, words)
-                    number, rows, counts, words, held = number + 1, [], [], [], 0
+                    number, rows, counts, words, held = number + ROWS, [], [], [], 0
                 rows.append(texts.column(0)[i].as_py())
                 counts.append(n)
                 words.append(found.slice(ends[i] - n, n))
@@ -429,23 +425,27 @@ def round_kernel(window: int, level: int):
     """(slice, state, sent) and (slice, pos, id), one slice at a time, to its next state; id names the key at pos."""
     schema = pa.schema(
         [
-            ("slice", pa.int64()), ("state", pa.binary()), ("live", pa.int64()),
+            ("slice", pa.int64()), ("state", pa.binary()), ("words", pa.binary()), ("live", pa.int64()),
             ("keys", pa.list_(pa.struct([(k, pa.int64()) for k in "abl"] + [("c", pa.int64())]))),
-            ("stretches", pa.list_(pa.struct([*((k, pa.int64()) for k in ("name", "h1", "h2")), ("row", pa.binary()), ("s", pa.int64()), ("n", pa.int64()), ("moves", pa.bool_())]))),
+            ("stretches", pa.list_(pa.struct([*((k, pa.int64()) for k in ("name", "h1", "h2", "row", "s", "n")), ("moves", pa.bool_())]))),
         ]
     )
 
     def listed(columns, kind):
         fields = list(kind.value_type)
-        arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns or [[]] * len(fields), fields)]
+        arrays = [pa.array(x, f.type) for x, f in zip(columns or [[]] * len(fields), fields)]
         return pa.ListArray.from_arrays(pa.array([0, len(arrays[0])], pa.int32()), pa.StructArray.from_arrays(arrays, fields=fields))
 
     def kernel(states: pa.Table, names: pa.Table) -> pa.Table:
         seq = Sequences.loaded(window, states["state"][0].as_py(), names_at(names, states["sent"][0].as_py()))
+        words = None
+        if level == 0:  # all that can be repeated is here still, with its words' names
+            seq.pick(~any_in(seq.sym == 0, seq.lo, seq.hi))
+            words = packed(seq.names, seq.words, seq.seg, seq.rows[seq.seg_row], seq.seg_at)
         stretches, keys = seq.round(level)
         live = len(seq.p)
-        state = pa.array([seq.saved() if live else None], pa.binary())
-        columns = [states["slice"].combine_chunks(), state, pa.array([live]), listed(keys, schema.field(3).type), listed(stretches, schema.field(4).type)]
+        cells = [pa.array([seq.saved() if live else None], pa.binary()), pa.array([words], pa.binary()), pa.array([live])]
+        columns = [states["slice"].combine_chunks(), *cells, listed(keys, schema.field(4).type), listed(stretches, schema.field(5).type)]
         return pa.Table.from_arrays(columns, schema=schema)
 
     return kernel
@@ -517,44 +517,65 @@ def answered(state: DataFrame, columns: list[str], level: int, kernel, schema: s
     return rows.groupBy("slice").cogroup(names.groupBy("slice")).applyInArrow(kernel, schema)
 
 
-def stretches_of(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> DataFrame:
-    """All rounds: the stretches (name, h1, h2, row, s, n, moves) of live windows. texts: row, text."""
+def stretches_of(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rounds: the stretches (name, h1, h2, row, s, n, moves) of live windows, and each slice's words and rows. texts: row, text."""
     slices = ws.table(texts.mapInArrow(slice_kernel(window, size), SLICES), "slices")
+    ids = ws.table(slices.select("slice", "ids"), "ids")
     state = ws.table(answered(slices, ["a"], 0, sieve_kernel(window), SIEVED), "sieved")
     ws.drop(slices)
     columns, level, out = ["word"], 0, []
     while True:
         now = ws.table(answered(state, columns, level, round_kernel(window, level), STATE), f"round-{level}")
+        if level == 0:
+            words = ws.table(now.select("slice", "words"), "words")
         out.append(ws.table(now.select(F.inline("stretches")), "stretches")._weft_path)
         live = now.agg(F.sum("live")).first()[0]
         ws.drop(state)
         state, columns, level = now, ["a", "b", "l"], level + 1
         if not live:
             ws.drop(state)
-            return ws.spark.read.schema(STRETCH.replace(":", "")).parquet(*out)
+            return ws.spark.read.schema(STRETCH.replace(":", "")).parquet(*out), words, ids
 
 
 def window_kernel(window: int):
-    """(row, text, list of stretches) to the windows of these stretches, by digests of their words."""
-
-    def kernel(batches):
-        for b in batches:
-            for part, texts in joined(b, 1):
-                for i, text in enumerate(texts):
-                    words = text.split()
-                    data = memoryview(b" ".join(words))
-                    place = np.concatenate(([0], np.cumsum(np.array([len(x) + 1 for x in words]))))
-                    name, s, n, covered = (part.column(2)[i].values.field(k).to_numpy(zero_copy_only=False) for k in ("name", "s", "n", "covered"))
-                    each = np.repeat(np.arange(len(n)), n)
-                    at = s[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                    h1, h2 = digests_of(data, place[at], place[at + window] - 1)
-                    row = binaries(np.broadcast_to(np.frombuffer(part.column(0)[i].as_py(), U), (len(at), 2)))
-                    columns = [pa.array(name[each]), pa.array(h1), pa.array(h2), row, pa.array(at), pa.array(~covered[each])]
-                    yield pa.record_batch(columns, names=["name", "h1", "h2", "row", "s", "wanted"])
+    """(slice, words) and the stretches that a slice publishes to their windows, by digests of their words' names."""
+    schema = pa.schema([*((k, pa.int64()) for k in ("name", "h1", "h2", "row", "s")), ("wanted", pa.bool_())])
+
+    def kernel(words: pa.Table, published: pa.Table) -> pa.Table:
+        if not published.num_rows or not words.num_rows:
+            return schema.empty_table()
+        names, index, seg, seg_row, seg_at = unpacked(words["words"][0].as_py())
+        name, row, s, n = (published[k].to_numpy() for k in ("name", "row", "s", "n"))
+        place = lambda row, at: (row % ROWS << 32) + at
+        of = np.searchsorted(place(seg_row, seg_at), place(row, s), "right") - 1
+        each = np.repeat(np.arange(len(n)), n)
+        more = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        at = (seg[of] + s - seg_at[of])[each] + more
+        h1, h2 = digests_of(memoryview(names[index].tobytes()), 8 * at, 8 * (at + window))
+        columns = [name[each], h1, h2, row[each], s[each] + more, ~published["covered"].to_numpy(zero_copy_only=False)[each]]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], schema=schema)
 
     return kernel
 
 
+def ranges_kernel(ids: pa.Table, found: pa.Table) -> pa.Table:
+    """(slice, ids) and (slice, row, s, n) to each row's digest and its ranges, joined where they touch."""
+    schema = pa.schema([("row", pa.binary()), ("ranges", pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())])))])
+    if not found.num_rows or not ids.num_rows:
+        return schema.empty_table()
+    data = ids["ids"][0].as_py()
+    row, s, n = (found[k].to_numpy() for k in ("row", "s", "n"))
+    order = np.lexsort((s, row))
+    row, s, end = row[order], s[order], (s + n)[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (s[1:] != end[:-1]))
+    at = np.flatnonzero(new)
+    row, s, end = row[at], s[at], end[np.append(at[1:], len(end)) - 1]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(s), pa.array(end - s)], ["s", "n"]))
+    digests = [data[16 * i : 16 * i + 16] for i in (row[first] % ROWS).tolist()]
+    return pa.Table.from_arrays([pa.array(digests, pa.binary()), lists], schema=schema)
+
+
 def removal_kernel(window: int, text_at: int, ranges_at: int, names: list[str]):
     def kernel(batches):
         for b in few(batches, 256):
@@ -574,11 +595,10 @@ def removal_kernel(window: int, text_at: int, ranges_at: int, names: list[str]):
     return kernel
 
 
-def frequent_names(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
+def frequent_names(rows: DataFrame, support: float = SUPPORT) -> list[int]:
     """Misra-Gries: all names of more than this share of the stretches, and perhaps others, 1 / support at most."""
     found = rows.freqItems(["name"], support).first()
-    names = [(n,) for n in (found[0] or []) if n is not None] if found else []
-    return small_table(rows.sparkSession, names, "name long")
+    return [n for n in (found[0] or []) if n is not None] if found else []
 
 
 def marked_by_window(rows: DataFrame) -> DataFrame:
@@ -603,22 +623,23 @@ def marked_by_join(rows: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def repeated_ranges(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> DataFrame:
-    """(row, ranges): window starts s..s+n-1 that start elsewhere too. texts: row, text."""
-    rows = stretches_of(texts, ws, window, size)
-    hot = frequent_names(rows)
-    marks = marked_by_window(rows.join(F.broadcast(hot), "name", "left_anti"))
-    marks = marks.unionByName(marked_by_join(rows.join(F.broadcast(hot), "name", "left_semi"), ws))
+    """(row, ranges): window starts s..s+n-1 that start elsewhere too. texts: row (16 bytes), text."""
+    rows, words, ids = stretches_of(texts, ws, window, size)
+    hot = F.col("name").isin(frequent_names(rows))
+    marks = marked_by_window(rows.filter(~hot)).unionByName(marked_by_join(rows.filter(hot), ws))
     marks = ws.table(marks.filter("covered or publish"), "marks")
-    # sets, since rows that share id and text send the same
-    lists = marks.filter("publish").groupBy("row").agg(F.collect_set(F.struct("name", "s", "n", "covered")).alias("list"))
-    published = texts.join(lists, "row").select("row", "text", "list")
-    windows = ws.table(published.mapInArrow(window_kernel(window), "name long, h1 long, h2 long, row binary, s long, wanted boolean"), "windows")
+    by_slice = lambda df: df.groupBy((F.col("row") - F.col("row") % ROWS).alias("slice"))
+    published = by_slice(marks.filter("publish").select("name", "row", "s", "n", "covered"))
+    windows = words.groupBy("slice").cogroup(published).applyInArrow(window_kernel(window), "name long, h1 long, h2 long, row long, s long, wanted boolean")
+    windows = ws.table(windows, "windows")
     key = ["name", "h1", "h2"]
     shared = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select(*key)
     shared = ws.table(shared, "shared")  # a table on both sides lets the planner split the join where a window is hot
     found = windows.filter("wanted").join(shared, key).select("row", "s", F.lit(1).cast("long").alias("n"))
-    ranges = marks.filter("covered").select("row", "s", "n").unionByName(found)
-    return ws.table(ranges.groupBy("row").agg(F.collect_set(F.struct("s", "n")).alias("ranges")), "ranges")
+    ranges = by_slice(marks.filter("covered").select("row", "s", "n").unionByName(found))
+    ranges = ids.groupBy("slice").cogroup(ranges).applyInArrow(ranges_kernel, "row binary, ranges array<struct<s: long, n: long>>")
+    # rows that share id and text have the same ranges
+    return ws.table(ranges.groupBy("row").agg(F.first("ranges").alias("ranges")), "ranges")
 
 
 def row_digest(id_col: str, text_col: str):
@@ -629,7 +650,7 @@ def row_digest(id_col: str, text_col: str):
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", size: int = SLICE) -> DataFrame:
-    """docs with n_words, n_removed and kept_text (the kept words joined by one space). docs are read three times."""
+    """docs with n_words, n_removed and kept_text (the kept words joined by one space). docs are read twice."""
     docs, ws = docs.drop("n_words", "n_removed", "kept_text", "__row"), Workspace(docs.sparkSession)
     keyed = docs.withColumn("__row", row_digest(id_col, text_col))
     ranges = repeated_ranges(keyed.select(F.col("__row").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ws, window, size)
