@@ -36,27 +36,23 @@ from .license_texts import TEMPLATES
 
 LICENSE_FILE = r"(?i)^(un)?licen[cs]e([-._].*)?$|^copying([-._].*)?$"
 #: A text of which lines with one of these words make up half is a licence file of the query's virtual tree.
-FILE_WORDS = ("license", "licence", "copyright", "public domain")
-TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+FILE_WORDS = r"(?i)licen[cs]e|copyright|public domain"
+TERM = r"[a-zA-Z0-9]+(?:[.-][a-zA-Z0-9]+)*"
 BLANK = r"\n[\x20\x09-\x0D]*\n"
 NEGATED = (
     r"(?i)(?:^|[^a-zA-Z0-9_])(?:not|never|no longer)[\x20\x09-\x0D]+(?:[a-zA-Z]+[\x20\x09-\x0D]+){0,2}"
     r"(?:released|licensed|distributed|available|published|provided|offered)[\x20\x09-\x0D]+(?:[a-zA-Z]+[\x20\x09-\x0D]+)?under(?:$|[^a-zA-Z0-9_])"
 )
-SPDX = "spdx-license-identifier:"
-SPDX_ID = r"(?i)spdx-license-identifier:[\x20\x09(]*([a-z0-9.+-]+)"
+SPDX = "spdx-license-identifier"
+SPDX_ID = r"(?i)(?:^|[^a-zA-Z0-9.-])spdx-license-identifier:[\x20\x09(]*([a-zA-Z0-9.+-]+)"
 SPDX_LATER = r"(?i)(?:-only|-or-later|\+)$"
 MIN_SCORE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def lowered(text):
-    return F.translate(text, UPPER, LOWER)
-
-
 def terms_of(text):
-    """Array of the terms of a text column in lower case."""
-    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    """Array of the terms of a text column, in lower case (they are ASCII; a whole text is not folded)."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
 def words_literal(words):
@@ -76,7 +72,7 @@ def basename(path):
 def template_rows(spark, templates) -> DataFrame:
     """(template, license, term, tf) of all templates."""
     rows = small_table(spark, [(i, k, text) for i, (k, text) in enumerate(templates)], "template int, license string, text string")
-    return rows.select("template", "license", F.explode(terms_of(lowered(F.col("text")))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select("template", "license", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 class Model:
@@ -86,7 +82,7 @@ class Model:
         spark = files.sparkSession
         counted = template_rows(spark, templates).collect()  # what the templates have, whatever the files
         vocabulary = words_literal({r.term for r in counted})
-        found = F.array_intersect(terms_of(lowered(F.coalesce("text", F.lit("")))), vocabulary)
+        found = F.array_intersect(terms_of(F.coalesce("text", F.lit(""))), vocabulary)
         seen = files.select(F.explode(F.concat(F.array(F.lit("")), found)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         df = {r.term: r.n for r in seen.collect()}  # a row for each term of the templates, and one for all files
         total = df.get("", 0)
@@ -110,9 +106,9 @@ class Model:
 
 def units_of(files: DataFrame, keys: set[str]) -> DataFrame:
     """(path, unit, spdx) of the files (path, text) that may have a licence; of those units that share a key, or name an SPDX id."""
-    key, low = words_literal(keys), lowered(F.col("text"))
-    files = files.filter("path is not null and text is not null").filter(F.arrays_overlap(terms_of(low), key) | F.contains(low, F.lit(SPDX)))
-    keyed = lambda x: F.arrays_overlap(terms_of(lowered(x)), key)
+    key = words_literal(keys)
+    keyed = lambda x: F.arrays_overlap(terms_of(x), key)
+    files = files.filter(F.arrays_overlap(terms_of(F.col("text")), words_literal(keys | {SPDX}))).filter("path is not null")
     files = files.select("path", "text", F.split("text", "\n").alias("lines"))
     files = files.withColumn("hit", F.transform("lines", keyed))
     at = lambda c, i: F.get(c, i)
@@ -121,8 +117,7 @@ def units_of(files: DataFrame, keys: set[str]) -> DataFrame:
     paragraphs = F.filter(F.split("text", BLANK), keyed)
     plain = F.filter(F.concat(one, two, paragraphs), lambda x: ~x.rlike(NEGATED))
     whole = F.when(basename(F.col("path")).rlike(LICENSE_FILE), F.array("text")).otherwise(F.array())
-    named = F.filter("lines", lambda x: F.contains(lowered(x), F.lit(SPDX)))
-    ids = F.transform(named, lambda x: F.regexp_replace(F.regexp_extract(x, SPDX_ID, 1), SPDX_LATER, ""))
+    ids = F.transform("lines", lambda x: F.regexp_replace(F.regexp_extract(x, SPDX_ID, 1), SPDX_LATER, ""))
     unit = lambda x, s: F.struct(x.alias("unit"), s.alias("spdx"))
     both = F.concat(
         F.transform(F.array_distinct(F.concat(plain, whole)), lambda x: unit(x, F.lit(None).cast("string"))),
@@ -134,7 +129,7 @@ def units_of(files: DataFrame, keys: set[str]) -> DataFrame:
 def score_units(units: DataFrame, model: Model) -> DataFrame:
     """(uid, license, score) of each distinct unit that is like a template. units: uid, unit."""
     distinct = units.groupBy("uid").agg(F.first("unit").alias("unit"))
-    tf = distinct.select("uid", F.explode(terms_of(lowered(F.col("unit")))).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = distinct.select("uid", F.explode(terms_of(F.col("unit"))).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(model.unseen))
     weighted = tf.join(F.broadcast(model.terms), "term", "left").select("uid", "term", weight.alias("w"))
     norm = weighted.groupBy("uid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nw"))
@@ -148,6 +143,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     """One row per input row: path, license, score, origin (own or inherited), origin_dir."""
     ws = Workspace(files.sparkSession)
     files = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
+    paths = ws.table(files.select("path"), "paths")  # a path may follow from the text: no later step reads that for it
     model = Model(files, templates)
     units = ws.table(units_of(files, model.keys).withColumn("uid", F.sha2("unit", 256)), "units")
     scored = ws.table(score_units(units.filter("spdx is null"), model), "scored")
@@ -158,7 +154,6 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     licensed = own.filter(basename(F.col("path")).rlike(LICENSE_FILE)).withColumn("dir", directory(F.col("path")))
     licensed = licensed.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("b"))
     licensed = licensed.select(F.col("dir").alias("above"), F.col("b.license").alias("above_license"), (-F.col("b.s")).alias("above_score"))
-    paths = files.select("path")
     dirs = paths.filter(F.col("path").isNotNull()).select(directory(F.col("path")).alias("dir")).distinct()
     steps = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
@@ -180,9 +175,9 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
 def document_files(docs: DataFrame) -> DataFrame:
     """Documents as files: source/lang/ID.txt, or source/lang/LICENSE-ID if lines with a licence word make up half of the text."""
     text = F.coalesce("text", F.lit(""))
-    worded = lambda x: F.exists(F.array(*map(F.lit, FILE_WORDS)), lambda w: F.contains(lowered(x), w))
-    cued = F.when(worded(text), F.filter(F.split(text, "\n"), worded)).otherwise(F.array())
-    mostly = (2 * F.length(F.array_join(cued, "\n")) >= F.length(text)) & (F.size(cued) > 0)
+    worded = lambda x: x.rlike(FILE_WORDS)
+    size = F.aggregate(F.filter(F.split(text, "\n"), worded), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    mostly = worded(text) & (2 * (size - 1) >= F.length(text))
     name = F.when(mostly, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     folder = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
     return docs.select(F.concat(folder, F.lit("/"), name).alias("path"), "text")
@@ -196,7 +191,7 @@ def op3_license_scan(spark, sf_dir: str) -> DataFrame:
 _QUOTE = lambda text: "'" + text.replace("'", "''") + "'"
 _TEMPLATE_ROWS = ", ".join(f"({i}, {_QUOTE(k)}, {_QUOTE(text)})" for i, (k, text) in enumerate(TEMPLATES))
 _LOW = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
-_WORDED = lambda x: "(" + " OR ".join(f"contains({_LOW(x)}, '{w}')" for w in FILE_WORDS) + ")"
+_WORDED = lambda x: f"regexp_matches({x}, '{FILE_WORDS}')"
 
 QUERIES = {"op3_license_scan": op3_license_scan}
 ORACLES = {
@@ -216,7 +211,7 @@ u AS (
   UNION SELECT path, text FROM f WHERE path LIKE '%/LICENSE-%'),
 spdx AS (
   SELECT path, regexp_replace(regexp_extract(line, '{SPDX_ID}', 1), '{SPDX_LATER}', '') AS license, 1.0::DOUBLE AS score
-  FROM (SELECT path, unnest(lines) AS line FROM f) WHERE contains({_LOW('line')}, '{SPDX}') AND regexp_extract(line, '{SPDX_ID}', 1) <> ''),
+  FROM (SELECT path, unnest(lines) AS line FROM f) WHERE regexp_extract(line, '{SPDX_ID}', 1) <> ''),
 t AS (
   SELECT template, license, term, count(*) AS tf
   FROM (SELECT template, license, unnest(regexp_extract_all({_LOW('text')}, '{TERM}')) AS term
