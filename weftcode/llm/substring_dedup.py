@@ -20,7 +20,7 @@ A window's anchor is the longest symbol (then that of greatest name, then the le
 at its highest level. Equal windows have equal anchors, and consecutive windows mostly share one.
 
 1. Each stretch of windows with one anchor is one row: anchor, digest of the word names that the stretch
-   spans, place. Rows meet by anchor: in a window function, or, for anchors that Misra-Gries counters
+   spans, place. Rows meet by anchor: sorted, or, for anchors that Misra-Gries counters
    find frequent, in an aggregation and a join that split.
 2. Stretches equal to another one are repeated as a whole. Where an anchor has several different
    stretches (ends of passages, edited copies), or a stretch may repeat within itself (runs), one of each
@@ -53,7 +53,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from .common import U, Workspace, load, mix
 from .packing import few
@@ -451,49 +450,52 @@ def round_kernel(window: int, level: int):
     return kernel
 
 
-def naming_kernel(level: int, columns: int):
-    """(key columns, slice, pos, c), sorted by key, to (slice, pos, id) for keys whose counts add up to two or more."""
-
-    def begins(t: pa.Table) -> np.ndarray:
-        new = np.ones(t.num_rows, bool)
-        if t.schema.types[0] == pa.binary():  # words
-            new[:] = False
-            ends = pc.run_end_encode(t.column(0).combine_chunks()).run_ends.to_numpy()
-            new[0], new[ends[:-1]] = True, True
+def begins_of(t: pa.Table, columns: int) -> np.ndarray:
+    """Where rows begin that differ from the one before in the first columns."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for i in range(columns):
+        if t.schema.types[i] == pa.binary():  # words
+            new[pc.run_end_encode(t.column(i).combine_chunks()).run_ends.to_numpy()[:-1]] = True
         else:
-            new[1:] = reduce(np.logical_or, (x[1:] != x[:-1] for x in (t.column(i).to_numpy() for i in range(columns))))
-        return np.flatnonzero(new)
+            x = t.column(i).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches, columns: int):
+    """Tables of sorted batches, cut only where the first columns change, and where groups begin in them."""
+    key = lambda b, at: tuple(b.column(i)[at].as_py() for i in range(columns))
+    held: list = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if len(held) > 1 and key(b, b.num_rows - 1) == key(held[0], 0):
+            continue  # one group goes on
+        t = pa.Table.from_batches(held)
+        starts = begins_of(t, columns)
+        last = int(starts[-1])
+        if last:
+            yield t.slice(0, last), starts[:-1]
+        held = t.slice(last).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held), np.zeros(1, np.int64)
 
-    def key(b: pa.RecordBatch, at: int) -> tuple:
-        return tuple(b.column(i)[at].as_py() for i in range(columns))
 
-    def kernel(batches):
-        number, held = NAMES + level * LEVEL + (TaskContext.get().partitionId() << 33), []
+def naming_kernel(level: int, columns: int):
+    """(key columns, slice, pos, c), sorted by key, to (slice, pos, id) for keys whose counts add up to two or more."""
 
-        def answers(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-            nonlocal number
+    def kernel(batches):
+        number = NAMES + level * LEVEL + (TaskContext.get().partitionId() << 33)
+        for t, starts in whole_groups(batches, columns):
             place, pos, c = (t.column(columns + i).to_numpy() for i in range(3))
             often = np.add.reduceat(c, starts) >= 2
             ids = number + np.cumsum(often) - 1
             number += int(often.sum())
             sizes = np.diff(np.append(starts, t.num_rows))
             mask = np.repeat(often, sizes)
-            return pa.record_batch([pa.array(place[mask]), pa.array(pos[mask]), pa.array(np.repeat(ids, sizes)[mask])], names=["slice", "pos", "id"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            if len(held) > 1 and key(b, b.num_rows - 1) == key(held[0], held[0].num_rows - 1) == key(held[0], 0):
-                continue  # one key goes on
-            t = pa.Table.from_batches(held)
-            starts = begins(t)
-            last = int(starts[-1])
-            if last:
-                yield answers(t.slice(0, last), starts[:-1])
-            held = t.slice(last).combine_chunks().to_batches()
-        if held:
-            yield answers(pa.Table.from_batches(held), np.zeros(1, np.int64))
+            yield pa.record_batch([pa.array(place[mask]), pa.array(pos[mask]), pa.array(np.repeat(ids, sizes)[mask])], names=["slice", "pos", "id"])
 
     return kernel
 
@@ -601,15 +603,24 @@ def frequent_names(rows: DataFrame, support: float = SUPPORT) -> list[int]:
     return [n for n in (found[0] or []) if n is not None] if found else []
 
 
-def marked_by_window(rows: DataFrame) -> DataFrame:
-    """Stretches with covered (an equal one is elsewhere) and publish (others of the anchor differ); names that aren't frequent."""
-    group, span = W.partitionBy("name"), F.struct("h1", "h2")
-    order, whole = group.orderBy("h1", "h2"), group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    before, later = F.lag(span).over(order), F.lead(span).over(order)
-    same_before = F.coalesce(before == span, F.lit(False))
-    covered = same_before | F.coalesce(later == span, F.lit(False))
-    several = F.min(span).over(whole) != F.max(span).over(whole)
-    return rows.select("name", "row", "s", "n", covered.alias("covered"), ((~same_before & several) | (F.col("moves") & ~covered)).alias("publish"))
+def marks_kernel(batches):
+    """Stretches sorted by name, h1 and h2 to those that are covered or published."""
+    for t, starts in whole_groups(batches, 1):
+        spans = begins_of(t, 3)
+        first = np.zeros(t.num_rows, bool)
+        first[spans] = True
+        several = np.repeat(np.add.reduceat(first.astype(np.int64), starts) > 1, np.diff(np.append(starts, t.num_rows)))
+        sizes = np.diff(np.append(spans, t.num_rows))
+        covered = np.repeat(sizes > 1, sizes)
+        publish = (first & several) | (t["moves"].to_numpy(zero_copy_only=False) & ~covered)
+        columns = [*(t[k].to_numpy() for k in ("name", "row", "s", "n")), covered, publish]
+        yield pa.record_batch([pa.array(x[covered | publish]) for x in columns], names=["name", "row", "s", "n", "covered", "publish"])
+
+
+def marked_by_sorting(rows: DataFrame) -> DataFrame:
+    """Stretches with covered (an equal one is elsewhere) and publish (others of the anchor differ), if either; for names that aren't frequent."""
+    rows = rows.select("name", "h1", "h2", "row", "s", "n", "moves").repartition("name").sortWithinPartitions("name", "h1", "h2")
+    return rows.mapInArrow(marks_kernel, "name long, row long, s long, n long, covered boolean, publish boolean")
 
 
 def marked_by_join(rows: DataFrame, ws: Workspace) -> DataFrame:
@@ -626,7 +637,7 @@ def repeated_ranges(texts: DataFrame, ws: Workspace, window: int = WINDOW, size:
     """(row, ranges): window starts s..s+n-1 that start elsewhere too. texts: row (16 bytes), text."""
     rows, words, ids = stretches_of(texts, ws, window, size)
     hot = F.col("name").isin(frequent_names(rows))
-    marks = marked_by_window(rows.filter(~hot)).unionByName(marked_by_join(rows.filter(hot), ws))
+    marks = marked_by_sorting(rows.filter(~hot)).unionByName(marked_by_join(rows.filter(hot), ws))
     marks = ws.table(marks.filter("covered or publish"), "marks")
     by_slice = lambda df: df.groupBy((F.col("row") - F.col("row") % ROWS).alias("slice"))
     published = by_slice(marks.filter("publish").select("name", "row", "s", "n", "covered"))
