@@ -844,13 +844,27 @@ def safe_log10(spark, sf_dir):
     return metrics.safe_log10(long).select("id", "i", rounded("log").alias("log"))
 
 
-@query(", m AS (SELECT id, i, x, min(x) OVER (PARTITION BY id) AS lo, max(x) OVER (PARTITION BY id) AS hi FROM (SELECT id, i, x + CASE id % 3 WHEN 1 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END AS x FROM long)) "
-       f"SELECT id, i, {R('CASE WHEN lo >= 0 THEN x / hi WHEN hi <= 0 THEN x / -lo + 1 ELSE x / (2 * greatest(-lo, hi)) + 0.5 END')} AS shown FROM m")
-def display_range(spark, sf_dir):
+_SHIFTED = "(SELECT id, i, x + CASE id % 3 WHEN 1 THEN 1.0 WHEN 2 THEN -1.0 ELSE 0.0 END AS x FROM long)"
+
+
+def _shifted(spark, sf_dir):
+    """Rows of one sign, of the other, and of both."""
     shift = F.when(F.col("id") % 3 == 1, 1.0).when(F.col("id") % 3 == 2, -1.0).otherwise(0.0)
     df = embedded(spark, sf_dir).withColumn("__shift", shift)
-    df = df.withColumn("x", F.transform("x", lambda v: v + F.col("__shift"))).drop("__shift")
-    return long_codes(metrics.display_range(df), "shown", "i", "shown")
+    return df.withColumn("x", F.transform("x", lambda v: v + F.col("__shift"))).drop("__shift")
+
+
+@query(f", m AS (SELECT id, i, x, min(x) OVER (PARTITION BY id) AS lo, max(x) OVER (PARTITION BY id) AS hi FROM {_SHIFTED}) "
+       f"SELECT id, i, {R('CASE WHEN lo >= 0 THEN x / hi WHEN hi <= 0 THEN x / -lo + 1 ELSE x / (2 * greatest(-lo, hi)) + 0.5 END')} AS shown FROM m")
+def display_range(spark, sf_dir):
+    return long_codes(metrics.display_range(_shifted(spark, sf_dir)), "shown", "i", "shown")
+
+
+@query(f", m AS (SELECT id, min(x) AS lo, max(x) AS hi FROM {_SHIFTED} GROUP BY id) "
+       f"SELECT id, {R('CASE WHEN lo >= 0 THEN 0.0 WHEN hi <= 0 THEN lo ELSE least(lo, -hi) END')} AS at_zero, "
+       f"{R('CASE WHEN lo >= 0 THEN hi / 2 WHEN hi <= 0 THEN lo / 2 ELSE 0.0 END')} AS at_half, {R('CASE WHEN lo >= 0 THEN hi WHEN hi <= 0 THEN 0.0 ELSE greatest(-lo, hi) END')} AS at_one FROM m")
+def display_ends(spark, sf_dir):
+    return metrics.display_range(_shifted(spark, sf_dir)).select("id", *(rounded(c).alias(c) for c in ("at_zero", "at_half", "at_one")))
 
 
 @query("SELECT n_nationkey::INT AS element, p::INT AS place, (2 + (p // 5) * 10)::INT AS top, (2 + (p % 5) * 10)::INT AS \"left\" "
