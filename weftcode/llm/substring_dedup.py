@@ -62,6 +62,8 @@ WINDOW = 35
 SUPPORT = 0.005
 #: Words of a slice, but for a longer text.
 SLICE = 1 << 19
+#: Words leave a slice when more than one in so many windows is dead.
+FEW = 8
 #: Words of a stretch that the sieve hashes, for windows of WINDOW words.
 STRETCH_WORDS = 8
 #: Names that are given start here, those of each level further up; below, a partition's number and a count of its names.
@@ -173,9 +175,19 @@ class Sequences:
         fields = ((k, getattr(self, k)) for k in self.FIELDS)
         return packed(*(steps(x) if k in self.SORTED else x for k, x in fields))
 
-    def pick(self, live: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    def pick(self, live: np.ndarray, *others: np.ndarray, cut: bool = False) -> list[np.ndarray]:
         """Only these windows, the words they cover, the symbols they determine, and what others say of these."""
         p, lo, hi = self.p[live], self.lo[live], self.hi[live]
+        if cut or FEW * (len(live) - len(p)) > len(live):  # else words that go are too few to move the others
+            p = self.cut(p)
+        mine = in_any(len(self.sym), lo, hi)
+        self.sym, self.size, self.start = self.sym[mine], self.size[mine], self.start[mine]
+        new = after(mine)
+        self.p, self.lo, self.hi = p, new[lo], new[hi]
+        return [x[mine] for x in others]
+
+    def cut(self, p: np.ndarray) -> np.ndarray:
+        """Only the words that these windows cover; returns where the windows begin then. Symbols of other words have no place any more."""
         keep = in_any(len(self.words), p, p + self.window)
         begins = keep.copy()
         begins[1:] &= ~keep[:-1]
@@ -185,11 +197,8 @@ class Sequences:
         self.rows, seg_row = renumbered(self.rows, self.seg_row[of])
         self.seg_row, self.seg_at, self.seg = seg_row, (self.seg_at[of] + at - self.seg[of]).astype(np.int32), place[at]
         self.names, self.words = renumbered(self.names, self.words[keep])
-        mine = in_any(len(self.sym), lo, hi)
-        self.sym, self.size, self.start = self.sym[mine], self.size[mine], place[self.start[mine]]
-        new = after(mine)
-        self.p, self.lo, self.hi = place[p], new[lo], new[hi]
-        return [x[mine] for x in others]
+        self.start = place[self.start]
+        return place[p]
 
     def round(self, level: int) -> tuple[list, list]:
         """One round: stretches of windows whose highest level this is, and the keys that the others wait for."""
@@ -406,7 +415,7 @@ def sieve_kernel(window: int):
         rows, counts, which, words, offsets, data = unpacked(states["state"][0].as_py())
         vocabulary = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         seq = Sequences.of_texts(window, rows, counts, words)
-        seq.pick(names_at(names, states["sent"][0].as_py())[which] > 0)
+        seq.pick(names_at(names, states["sent"][0].as_py())[which] > 0, cut=True)
         live = vocabulary.take(pa.array(seq.names))
         count = np.bincount(seq.words, minlength=len(live)).astype(np.int64)
         seq.names = own_names(live) if len(live) else np.zeros(0, np.int64)
