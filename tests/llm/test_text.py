@@ -475,6 +475,59 @@ def test_members_of_several_records_are_salvaged():
     assert numbers(warc.salvage(bytes(hurt) + after)) == ["0", "1", "2", "3", "4", "5", "9"]
 
 
+def shape(items):
+    return [(type(x).__name__, x.start, x.end, x.block if isinstance(x, warc.Record) else x.reason) for x in items]
+
+
+@pytest.mark.parametrize("piece", [1, 64, 1000, 1 << 20])
+def test_pieces_of_an_archive_do_not_matter(monkeypatch, piece):
+    rnd = random.Random(3)
+    records = [warc.record(i, f"http://a/{i}", bytes(rnd.choices(range(256), k=rnd.randint(0, 700)))) for i in range(12)]
+    members = [warc.member(r) for r in records]
+    hurt = bytearray(members[4])
+    hurt[len(hurt) // 2] ^= 255
+    sources = [
+        b"".join(members), b"".join(records), b"".join(members[:4]) + bytes(hurt) + b"".join(members[5:]), b"".join(members)[:-40], b"".join(records)[:-40],
+        b"junk" * 50 + members[0] + b"\x1f\x8b\x08 no member" + records[1] + b"WARC/1.1\r\nno header" + members[2] + b"tail", warc.member(b"".join(records[:6])) + members[7], b"", b"x",
+    ]
+    monkeypatch.setattr(warc, "PIECE", piece)
+    for data in sources:
+        want = shape(warc.salvage(data))
+        assert want or not data
+        for size in (1, 7, 500):
+            assert shape(warc.salvage(data[i : i + size] for i in range(0, len(data), size))) == want
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"a\n", b"\n", b"\n\n", b"a\nb", b"a\n\nb\n\n", bytes(range(256)) * 3])
+def test_lines_are_joined_to_what_they_were(monkeypatch, data):
+    lines = data.split(b"\n")
+    lines = lines[:-1] if lines[-1] == b"" else lines  # as a line reader has them
+    for piece in (1, 2, 1 << 20):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert b"".join(warc.joined_lines(lines, len(data))) == data
+
+
+def test_archives_are_read_whatever_their_names(spark, tmp_path):
+    """Names that say gzip, or another kind, or nothing: the bytes are read as they lie, and in order."""
+    rnd = random.Random(5)
+    records = [warc.record(i, f"http://a/{i}", bytes(rnd.choices(range(256), k=rnd.randint(0, 3000)))) for i in range(60)]
+    packed = b"".join(map(warc.member, records))
+    files = {"a.warc.gz": packed, "b.warc": b"".join(records), "c.txt": packed[:-30], "d": b"".join(records[:5]), "e.bz2": packed, "f.xz": packed, "g.gz": b"not gzip at all\n"}
+    (tmp_path / "in").mkdir()
+    for name, data in files.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    got = warc.read_archives(spark, f"{tmp_path}/in", with_payload=True).collect()
+    for name, data in files.items():
+        mine = sorted((r.start, r.end, r.problem or r.payload_digest) for r in got if r.file.endswith("/" + name))
+        want = sorted((x.start, x.end, x.reason if isinstance(x, warc.Gap) else warc.digest(x.payload)) for x in warc.salvage(data))
+        assert mine == want and mine
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:  # splits smaller than a file don't cut it
+        assert warc.read_archives(spark, f"{tmp_path}/in/b.warc").count() == 60
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_long_urls_are_read_back(spark, tmp_path, monkeypatch):
     pages = [(1, "data:," + "x" * 70_000, "<p>same</p>"), (2, " " * 30_000 + "u", "<p>same</p>"), (3, "u3", "<p>3</p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

@@ -12,6 +12,7 @@ and digests that agree; a member must decompress and its checksum agree. If not,
 gzip member or version line from which a record can be read, goes on there and logs the
 bytes between as a gap. It does the same inside a member's content, and of a member that is cut off or damaged
 it keeps the records before that (of a damaged one, those whose digests agree). It reads compressed and plain archives.
+Archives are read as they lie, line by line, one task a file: a worker holds a record (or member) and as much again, not the archive.
 
 Defined results: a null payload is empty. A null URL is written as the record's own
 name. Rows that repeat an id: with equal payloads each is a response (or each a
@@ -26,7 +27,9 @@ import base64
 import hashlib
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,14 +104,18 @@ class Damaged(ValueError):
     pass
 
 
+class Short(Damaged):
+    """What more bytes might mend."""
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """Headers, block and end of the plain record at this place."""
     line = data.find(b"\r\n", at, at + 32)
     if not re.fullmatch(rb"WARC/\d\.\d", data[at : max(line, at)]):
-        raise Damaged("no version line")
+        raise (Short if line < 0 and len(data) - at < 32 else Damaged)("no version line")
     stop = data.find(b"\r\n\r\n", line)
     if stop < 0:
-        raise Damaged("headers do not end")
+        raise Short("headers do not end")
     headers: dict[str, str] = {}
     for x in data[line + 2 : stop].decode("utf-8", "replace").split("\r\n"):
         k, colon, v = x.partition(":")
@@ -120,7 +127,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     begin = stop + 4
     end = begin + int(headers["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
-        raise Damaged("the block does not end where its length says")
+        raise (Short if end + 4 > len(data) else Damaged)("the block does not end where its length says")
     block = data[begin:end]
     check(headers, "warc-block-digest", block)
     if headers.get("warc-type") == "response" and headers.get("content-type", "").startswith("application/http"):
@@ -168,16 +175,19 @@ STARTS = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 VERSIONS = re.compile(rb"WARC/\d\.\d\r\n")
 
 
-def records_at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+def records_at(data: bytes, at: int, plain: bool, done: bool) -> tuple[list[Record | Gap], int, str]:
     """What begins here, its end and its problem: a plain record, or what a member holds (an empty one: nothing).
 
     Records of a member, and gaps between them, have the member's place in the file. Of a
-    damaged member only those records count that have a block digest, which agrees.
+    damaged member only those records count that have a block digest, which agrees. plain: members are not looked
+    into. Without done there may be more data.
     """
-    if data[at : at + 3] != b"\x1f\x8b\x08":
+    if plain or data[at : at + 3] != b"\x1f\x8b\x08":
         headers, block, end = parse_record(data, at)
         return [Record(at, end, headers, block)], end, ""
     content, end, problem = inflate(data, at)
+    if problem == CUT and not done:
+        raise Short(problem)
     found = list(salvage(content, plain=True))
     if problem:
         found = [x for x in found if isinstance(x, Record) and (problem == CUT or "warc-block-digest" in x.headers)]
@@ -192,35 +202,66 @@ def records_at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
     return out, end, problem
 
 
-def salvage(data: bytes, plain: bool = False):
-    """Yield each Record that can be read and a Gap for each stretch of bytes that can't; plain: no members are looked for."""
-    at = 0
-    while at < len(data):
-        try:
-            if plain:
-                headers, block, end = parse_record(data, at)
-                found, reason = [Record(at, end, headers, block)], ""
-            else:
-                found, end, reason = records_at(data, at)
-            yield from found
-            if not reason:
-                at = end
-                continue
-        except Damaged as x:
-            reason = str(x)
-        start, after = at, len(data)
-        for m in (VERSIONS if plain else STARTS).finditer(data, at + 1):
-            try:
-                if plain:
-                    parse_record(data, m.start())
-                elif not any(isinstance(x, Record) for x in records_at(data, m.start())[0]):
-                    continue
-                after = m.start()
+#: Bytes that are read on at least.
+PIECE = 1 << 20
+
+
+def salvage(source, plain: bool = False):
+    """Yield each Record that can be read and a Gap for each stretch of bytes that can't; plain: no members are looked for.
+
+    source is bytes, or pieces of them, of which no more are held than the largest record needs.
+    """
+    pieces = iter([source] if isinstance(source, (bytes, bytearray, memoryview)) else source)
+    starts = VERSIONS if plain else STARTS
+    data, base, at, done = b"", 0, 0, False
+    gap: tuple[int, str] | None = None  # where bytes begin that can't be read, and why; the search goes on at at
+    while not done:
+        more = [data[at:]]
+        base, at, size, want = base + at, 0, 0, max(PIECE, len(data) - at)
+        done = True
+        for piece in pieces:
+            more.append(piece)
+            size += len(piece)
+            if size >= want:
+                done = False
                 break
-            except Damaged:
-                continue
-        yield Gap(start, after, reason)
-        at = after
+        data = b"".join(more)
+        try:
+            while at < len(data):
+                if gap is None:
+                    try:
+                        found, end, reason = records_at(data, at, plain, done)
+                        yield from (replace(x, start=base + x.start, end=base + x.end) for x in found)
+                        if not reason:
+                            at = end
+                            continue
+                    except Damaged as x:
+                        if isinstance(x, Short) and not done:
+                            raise
+                        reason = str(x)
+                    gap, at = (base + at, reason), at + 1
+                for m in starts.finditer(data, at):
+                    at = m.start()
+                    try:
+                        good = any(isinstance(x, Record) for x in records_at(data, at, plain, done)[0])
+                    except Damaged as x:
+                        if isinstance(x, Short) and not done:
+                            raise
+                        good = False
+                    if good:
+                        yield Gap(gap[0], base + at, gap[1])
+                        gap = None
+                        break
+                    at += 1
+                else:
+                    if not done:
+                        at = max(at, len(data) - 16)  # the first bytes of a start may be there
+                        break
+                    at = len(data)
+        except Short:
+            pass  # read on
+    if gap is not None:
+        yield Gap(gap[0], base + len(data), gap[1])
 
 
 def with_verdicts(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
@@ -280,9 +321,10 @@ def read_archives(spark: SparkSession, where: str, with_payload: bool = False) -
         def batch(rows):
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        for b in few(batches, 1):
-            path, data, rows = b.column(0)[0].as_py(), b.column(1)[0].as_py(), []
-            for x in salvage(data):
+        lines = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3))))
+        for (path, size), mine in groupby(lines, key=lambda r: r[:2]):
+            rows = []
+            for x in salvage(joined_lines((r[2] for r in mine), size)):
                 rows.append(row(path, x))
                 if len(rows) == 256:
                     yield batch(rows)
@@ -290,8 +332,45 @@ def read_archives(spark: SparkSession, where: str, with_payload: bool = False) -
             if rows:
                 yield batch(rows)
 
-    files = spark.read.format("binaryFile").load(where).select("path", "content")
-    return files.mapInArrow(kernel, schema)
+    return raw_lines(spark, where).mapInArrow(kernel, schema)
+
+
+def raw_lines(spark: SparkSession, where: str) -> DataFrame:
+    """(path, size, line): the bytes of each file as they lie, cut at line feeds, in order and in one task a file.
+
+    Hadoop's pass-through codec, set for the names' last part, keeps a file whole and its bytes as they are, also
+    where the name says that it is compressed. A name without a dot has no such part: that file is one line.
+    """
+    files = spark.read.format("binaryFile").load(where)
+    end = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    kinds = [r[0] for r in files.select(end.alias("end")).distinct().collect()]  # a few ends of names
+    codec, parts = spark._jvm.org.apache.hadoop.io.compress, []
+    for kind in kinds:
+        mine = files.filter(end == kind)
+        if not kind:
+            parts.append(mine.select("path", F.col("length").alias("size"), F.col("content").alias("line")))
+            continue
+        places = where if len(kinds) == 1 else [r[0] for r in mine.select("path").collect()]
+        options = {"lineSep": "\n", "io.compression.codecs": codec.PassthroughCodec.CLASSNAME, codec.PassthroughCodec.OPT_EXTENSION: kind}
+        text = spark.read.options(**options).text(places)
+        parts.append(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "path string, size long, line binary")
+
+
+def joined_lines(lines, size: int):
+    """The bytes of a file of this size from its lines, in pieces; the last line may end in a line feed or not."""
+    held, n, total = [], 0, -1
+    for line in lines:
+        held.append(line)
+        n += len(line) + 1
+        if n >= PIECE:
+            yield (b"\n" if total >= 0 else b"") + b"\n".join(held)
+            total, held, n = total + n, [], 0
+    if held:
+        yield (b"\n" if total >= 0 else b"") + b"\n".join(held)
+        total += n
+    if total < size and size:
+        yield b"\n"
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
