@@ -10,11 +10,13 @@ Results are read from such tables as they are used, so the tables stay until ``r
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ SPACES_RE = r"[\x20\x09-\x0D]+"
 JOINED = 1 << 18
 U = np.uint64
 
+#: Spark's setting for the bytes of an Arrow batch, which else holds up to 10,000 texts, and what load() makes of its default.
+BATCH, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20)
 #: Spark's setting for removing an execution's shuffle files at its end.
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -52,6 +56,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
         self._made = 0
         _roots.append(self.root)
@@ -109,8 +114,32 @@ def delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let workers get texts in batches of a few megabytes, unless the session says otherwise."""
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
+def trim() -> None:
+    """Give a worker's freed memory back to the system: it is kept for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def frugal(kernel):
+    """A kernel that trims its worker's memory at its end."""
+
+    def run(batches):
+        yield from kernel(batches)
+        trim()
+
+    return run
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as it lies; one of no more bytes than a single split may have is dealt over all cores."""
+    small_batches(spark)
     where = f"{sf_dir}/{name}.parquet"
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()

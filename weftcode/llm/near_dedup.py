@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Workspace, joined, load, mix
+from .common import U, Workspace, frugal, joined, load, mix
 from .components import components
 from .packing import few
 
@@ -286,7 +286,7 @@ class NearLinks:
 
     def __init__(self, docs: DataFrame, ws: Workspace):
         self.docs, self.ws = docs, ws
-        self.sets = ws.table(docs.mapInArrow(set_kernel, "id long, n long, f1 long, f2 long, sig binary"), "sets")
+        self.sets = ws.table(docs.mapInArrow(frugal(set_kernel), "id long, n long, f1 long, f2 long, sig binary"), "sets")
         real = self.sets.filter("n > 0 and id is not null")
         least = real.groupBy("f1", "f2").agg(F.min(F.struct("id", "n", "sig")).alias("r"))
         self.classes = ws.table(least.select(F.col("r.id").alias("node"), F.col("r.n").alias("n"), "f1", "f2", F.col("r.sig").alias("sig")), "classes")
@@ -323,13 +323,13 @@ class NearLinks:
                     yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["node", "set"])
 
         texts = self.docs.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
-        return self.ws.table(texts.mapInArrow(kernel, "node long, set binary"), "full")
+        return self.ws.table(texts.mapInArrow(frugal(kernel), "node long, set binary"), "full")
 
     def confirmed(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
         """Of these pairs, those that the full sets confirm."""
         side = lambda x: full.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-        return self.ws.table(both.mapInArrow(confirm_kernel, "a long, b long").distinct(), "links")
+        return self.ws.table(both.mapInArrow(frugal(confirm_kernel), "a long, b long").distinct(), "links")
 
     def viable(self, nodes: DataFrame, parts: DataFrame, full: DataFrame, short: DataFrame) -> DataFrame:
         """(node, n, m, s, component): m shingles of a node are held in another component of these nodes too, by half of their digests.
@@ -389,7 +389,7 @@ class NearLinks:
         blocks = self.blocks(hot, viable, full)
         if blocks is None:
             return parts
-        new = self.ws.table(blocks.mapInArrow(block_kernel, "a long, b long").distinct(), "joins")
+        new = self.ws.table(blocks.mapInArrow(frugal(block_kernel), "a long, b long").distinct(), "joins")
         return parts if new.isEmpty() else self.merged(parts, new)
 
     def open_nodes(self, hot: DataFrame, parts: DataFrame) -> DataFrame | None:

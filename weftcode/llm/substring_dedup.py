@@ -54,14 +54,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, Workspace, load, mix
+from .common import U, Workspace, frugal, load, mix, trim
 from .packing import few
 
 WINDOW = 35
 #: Share of the stretches from which an anchor's name is frequent.
 SUPPORT = 0.005
 #: Words of a slice, but for a longer text.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Words leave a slice when more than one in so many windows is dead.
 FEW = 8
 #: Words of a stretch that the sieve hashes, for windows of WINDOW words.
@@ -424,6 +424,7 @@ def sieve_kernel(window: int):
         seq.sym = seq.names[seq.words]
         keys = pa.StructArray.from_arrays([live.take(pa.array(sent)), pa.array(count[sent])], ["word", "c"])
         state = pa.array([seq.saved() if len(seq.p) else None], pa.binary())
+        trim()
         return pa.Table.from_arrays([states["slice"].combine_chunks(), state, pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)], schema=schema)
 
     return kernel
@@ -453,6 +454,7 @@ def round_kernel(window: int, level: int):
         stretches, keys = seq.round(level)
         live = len(seq.p)
         cells = [pa.array([seq.saved() if live else None], pa.binary()), pa.array([words], pa.binary()), pa.array([live])]
+        trim()
         columns = [states["slice"].combine_chunks(), *cells, listed(keys, schema.field(4).type), listed(stretches, schema.field(5).type)]
         return pa.Table.from_arrays(columns, schema=schema)
 
@@ -530,7 +532,7 @@ def answered(state: DataFrame, columns: list[str], level: int, kernel, schema: s
 
 def stretches_of(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rounds: the stretches (name, h1, h2, row, s, n, moves) of live windows, and each slice's words and rows. texts: row, text."""
-    slices = ws.table(texts.mapInArrow(slice_kernel(window, size), SLICES), "slices")
+    slices = ws.table(texts.mapInArrow(frugal(slice_kernel(window, size)), SLICES), "slices")
     ids = ws.table(slices.select("slice", "ids"), "ids")
     state = ws.table(answered(slices, ["a"], 0, sieve_kernel(window), SIEVED), "sieved")
     ws.drop(slices)
