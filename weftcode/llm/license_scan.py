@@ -26,7 +26,7 @@ path first in order. An empty table gives an empty result. Other columns are ign
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
