@@ -305,7 +305,9 @@ class NearLinks:
     def postings(self) -> DataFrame:
         tokens = self.nodes.select("node", "sig").mapInArrow(token_kernel, "key long, node long, at int")
         hot = self.ws.table(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select("key"), "hot")
-        masks = tokens.join(hot, "key").groupBy("node").agg(F.expr("bit_or(shiftleft(1L, at))").alias("hot"))
+        # all tokens of a node are still side by side: they are one row before the exchange
+        known = tokens.join(hot.withColumn("is_hot", F.lit(True)), "key", "left")
+        masks = known.groupBy("node").agg(F.expr("bit_or(if(is_hot, shiftleft(1L, at), 0L))").alias("hot"))
         marked = self.nodes.join(masks, "node", "left").select("node", "sig", F.coalesce("hot", F.lit(0).cast("long")).alias("hot"))
         return self.ws.table(marked.mapInArrow(prefix_kernel, "key long, node long, hot boolean"), "postings")
 
