@@ -78,6 +78,10 @@ class Workspace:
         out._weft_path = where
         return out
 
+    def part(self, what: DataFrame, name: str) -> DataFrame:
+        """Write a small part of a table just written, in no more files than there are cores."""
+        return self.table(what.coalesce(self.spark.sparkContext.defaultParallelism), name)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later step reads."""
         for t in tables:

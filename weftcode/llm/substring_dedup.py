@@ -533,15 +533,15 @@ def answered(state: DataFrame, columns: list[str], level: int, kernel, schema: s
 def stretches_of(texts: DataFrame, ws: Workspace, window: int = WINDOW, size: int = SLICE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rounds: the stretches (name, h1, h2, row, s, n, moves) of live windows, and each slice's words and rows. texts: row, text."""
     slices = ws.table(texts.mapInArrow(frugal(slice_kernel(window, size)), SLICES), "slices")
-    ids = ws.table(slices.select("slice", "ids"), "ids")
+    ids = ws.part(slices.select("slice", "ids"), "ids")
     state = ws.table(answered(slices, ["a"], 0, sieve_kernel(window), SIEVED), "sieved")
     ws.drop(slices)
     columns, level, out = ["word"], 0, []
     while True:
         now = ws.table(answered(state, columns, level, round_kernel(window, level), STATE), f"round-{level}")
         if level == 0:
-            words = ws.table(now.select("slice", "words"), "words")
-        out.append(ws.table(now.select(F.inline("stretches")), "stretches")._weft_path)
+            words = ws.part(now.select("slice", "words"), "words")
+        out.append(ws.part(now.select(F.inline("stretches")), "stretches")._weft_path)
         live = now.agg(F.sum("live")).first()[0]
         ws.drop(state)
         state, columns, level = now, ["a", "b", "l"], level + 1
