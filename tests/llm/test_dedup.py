@@ -143,6 +143,18 @@ def test_a_batch_reads_the_shards_that_it_needs(spark):
     assert index._maybe(added("line number 7 of one\nsomething entirely new")).select("shard").distinct().count() == 1
 
 
+def test_line_index_starts_no_other_python_workers(spark, monkeypatch, tmp_path):
+    """Rows that the driver parallelizes go through workers of another kind than kernels do, beside theirs in each executor."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('a line of number ', id % 7, '\nand one of ', id) AS text")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows of the driver"))
+    index = line_dedup.LineIndex(spark, f"file://{tmp_path}/lines")
+    assert index.drops().count() == 0
+    index = index.insert(docs.filter("doc_id < 30")).insert(docs.filter("doc_id >= 30"))
+    assert index.drops().count() == 40 - 7
+    index = line_dedup.LineIndex.open(spark, index.root, index.delete(docs.filter("doc_id < 7")).version)
+    assert index.drops().count() == index.compact().drops().count() == 33 - 7
+
+
 def test_cuckoo_filter():
     keys = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
     f = line_dedup.CuckooFilter(4000)

@@ -93,6 +93,14 @@ def test_pieces_are_powers_of_two(n):
     assert len(set(lengths) - {packing.MAX_LENGTH}) == sum(x < packing.MAX_LENGTH for x in lengths)
 
 
+def test_frugal_kernels_drop_what_others_remember():
+    """A worker that goes on to another stage must not hold the tokenizers of the last one."""
+    held = packing.chunk_encoder(WORDS), byte_bpe.codec_of(RANKS)
+    assert (packing.chunk_encoder(WORDS), byte_bpe.codec_of(RANKS)) == held
+    assert list(common.frugal(lambda batches: batches)([1, 2])) == [1, 2]
+    assert packing.chunk_encoder.cache_info().currsize == byte_bpe.codec_of.cache_info().currsize == 0
+
+
 def test_packing_of_rows(spark):
     encoder, end = packing.ChunkEncoder(WORDS), (1).to_bytes(4, "little")
     rows = packing.pack(messy.frame(spark)).collect()

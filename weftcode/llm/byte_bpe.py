@@ -24,7 +24,6 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, remembered
 from .packing import few, joined_values
 
 #: Pieces that a worker remembers, and the longest of them.
@@ -269,7 +268,7 @@ class Codec:
         return self.blob[np.repeat(self.first[n] - at, size) + np.arange(at[-1] + size[-1])].tobytes()
 
 
-@cache
+@remembered
 def codec_of(vocab: str) -> Codec:
     """One for all tasks of a worker process."""
     return Codec(vocab)

@@ -14,6 +14,7 @@ import ctypes
 import json
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: str | None = None
 _roots: list[str] = []
+#: What kernels of a worker process remember between tasks.
+_remembered: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -107,6 +110,11 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{struct}>>")))
 
 
+def empty_table(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows; no Python worker makes it."""
+    return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("row")).select("row.*")
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that operators have written so far; results that read them are gone after that."""
     while _roots:
@@ -131,10 +139,22 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def remembered(make):
+    """A function whose values a worker process keeps for its next tasks, until a frugal kernel starts there."""
+    _remembered.append(cache(make))
+    return _remembered[-1]
+
+
+def forget() -> None:
+    for make in _remembered:
+        make.cache_clear()
+
+
 def frugal(kernel):
-    """A kernel that trims its worker's memory at its end."""
+    """A kernel that drops what others remember in its worker, and trims the worker's memory at its end."""
 
     def run(batches):
+        forget()
         yield from kernel(batches)
         trim()
 

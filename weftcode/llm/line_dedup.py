@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, Workspace, load
+from .common import SPACES, Workspace, empty_table, frugal, load, small_table
 from .packing import few
 
 MIN_POINTS = 10
@@ -166,7 +166,7 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.record_batch([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(ids, pa.int64())], names=["k1", "k2", "doc"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(kernel, REFS).distinct()
+    return rows.mapInArrow(frugal(kernel), REFS).distinct()
 
 
 REFS = "k1 long, k2 long, doc long"
@@ -246,7 +246,7 @@ class LineIndex:
     def _all(self, name: str, schema: str, segments: list[dict]) -> DataFrame:
         """A table of several segments, with the number of each row's."""
         parts = [self._read(s["at"], name, schema).withColumn("at", F.lit(s["at"]).cast("long")) for s in segments]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, at long")
+        return reduce(DataFrame.unionByName, parts) if parts else empty_table(self.spark, f"{schema}, at long")
 
     def _write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         where, writer = f"{self.root}/{self.next}/{name}", df.write
@@ -284,7 +284,7 @@ class LineIndex:
                 parts.append(rows.select(*KEY, "docs", "owner", F.lit(s["at"]).alias("at"), F.lit(name).alias("kind")))
         parts += [self._read(s["at"], "reset", COUNTS).select(*KEY, "docs", "owner", F.lit(s["at"]).alias("at"), F.lit("reset").alias("kind")) for s in self.deleted]
         if not parts:
-            return self.spark.createDataFrame([], COUNTS + ", at int")
+            return empty_table(self.spark, COUNTS + ", at int")
         rows = reduce(DataFrame.unionByName, parts)
         if keys is not None:
             rows = rows.join(keys, KEY, "left_semi")
@@ -313,7 +313,7 @@ class LineIndex:
 
     def _next(self, segments: list[dict]) -> LineIndex:
         out = LineIndex(self.spark, self.root, self.shard_keys, segments, self.next)
-        self.spark.createDataFrame([(json.dumps(segments),)], "value string").coalesce(1).write.text(f"{self.root}/{out.version}/segments")
+        small_table(self.spark, [(json.dumps(segments),)], "value string").write.text(f"{self.root}/{out.version}/segments")
         if len(segments) < MOST_SEGMENTS:
             return out
         small = out.compact()
@@ -355,7 +355,7 @@ class LineIndex:
         added = self._write(new.groupBy(*KEY).agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("owner")), "added")
         if not self.inserted:
             segment = self._segment(added)
-            self._write(self.spark.createDataFrame([], COUNTS), "more")
+            self._write(empty_table(self.spark, COUNTS), "more")
             self._write(self._lost(new, added.select(*KEY, "docs", "owner")), "lost")
             return self._next([*self.segments, segment])
         maybe = self._write(self._maybe(added), "maybe")
@@ -408,7 +408,7 @@ class LineIndex:
         new = self._write(self.refs, "refs")
         self._write(new.select("doc").distinct(), "docs")
         segment = self._segment(self._write(self.state().select(*KEY, "docs", "owner"), "counts"))
-        self._write(self.spark.createDataFrame([], COUNTS), "more")
+        self._write(empty_table(self.spark, COUNTS), "more")
         return self._next([segment])
 
     def drops(self) -> DataFrame:
@@ -444,7 +444,7 @@ def remove_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=names)
 
-    return joined.mapInArrow(kernel, schema)
+    return joined.mapInArrow(frugal(kernel), schema)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", increments: int = INCREMENTS) -> DataFrame:

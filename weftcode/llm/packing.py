@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, remembered, trim
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -167,7 +166,7 @@ def plain_tokenizer(vocab: str):
     return Tokenizer.from_str(json.dumps(spec))
 
 
-@cache
+@remembered
 def chunk_encoder(vocab: str) -> ChunkEncoder:
     """One for all tasks of a worker process."""
     return ChunkEncoder(vocab)
@@ -212,6 +211,7 @@ def pack(docs: DataFrame, vocab: str | None = None, longest: int = MAX_LENGTH, e
                         col.append(x)
                     at += size
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     pieces = rows.mapInArrow(kernel, "row long, start long, length long, ids binary, doc_tokens long")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, small_table
+from .common import frugal, load, small_table
 from .packing import few
 
 FILTERS, WIDTH, HALF, HIDDEN = 24, 5, 128, 16
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             texts = [(t or "").encode() for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(texts), pa.float64())], names=[*b.schema.names, score_col])
 
-    return docs.mapInArrow(kernel, schema)
+    return docs.mapInArrow(frugal(kernel), schema)
 
 
 def op1_quality_model(spark, sf_dir: str) -> DataFrame:

@@ -682,7 +682,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     names = [*docs.columns, "n_words", "n_removed", "kept_text"]
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     kernel = removal_kernel(window, docs.columns.index(text_col), len(docs.columns), names)
-    return out.mapInArrow(kernel, T.StructType([*docs.schema.fields, *added]))
+    return out.mapInArrow(frugal(kernel), T.StructType([*docs.schema.fields, *added]))
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
